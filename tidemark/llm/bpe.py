@@ -66,10 +66,14 @@ class Vocabulary:
         self.tokens |= {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
+        # Latin text needs no property look-ups: there the letters are these, and no digits but 0-9
+        self.latin = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f\u2010-\u2027]*")
+        self.latin_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|[0-9]|[^\t-\r a-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
         self.beyond = regex.compile("[\u0530-\U0010ffff]")  # below this no Unicode version adds characters any more
         self.library = pre_tokenizers.Split(Regex(_LIBRARY_PATTERN), "removed", invert=True)
-        self.cache: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
+        #: pre-token -> its ids as bytes, its tokens' text; the older generation is dropped when the newer one is full
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     # -- pre-tokens ------------------------------------------------------------------------------------------
 
@@ -79,6 +83,8 @@ class Vocabulary:
 
     def split(self, text: str) -> list[str]:
         """Words of a normalised text. Characters newer than Python's tables are classed by the library's own splitter."""
+        if self.latin.fullmatch(text):
+            return self.latin_words.findall(text)
         if self.beyond.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
             return [w for w, _ in self.library.pre_tokenize_str(text)]
         return self.words.findall(text)
@@ -103,62 +109,73 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], -1)
 
-    def encode_batch(self, rows: list[bytes]) -> list[list[int]]:
-        """Ids of pre-tokens of at most LONG bytes, all trees of one size at a time."""
-        out: list = [None] * len(rows)
+    def encode_batch(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of at most LONG bytes, all in a row, and where each one's begin (one place more at the end)."""
         length = np.fromiter(map(len, rows), np.int64, len(rows))
         size = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(length, 2))).astype(np.int64))
+        parts, counts = [], np.zeros(len(rows), np.int64)
+        order = np.argsort(size, kind="stable")
         for p in np.unique(size):
-            at = np.flatnonzero(size == p)
-            for i in range(0, len(at), 20_000):
-                self._encode_rows(rows, at[i : i + 20_000], int(p), out)
-        return out
-
-    def _encode_rows(self, rows: list[bytes], at: np.ndarray, p: int, out: list) -> None:
-        n = len(at)
-        data = np.frombuffer(b"".join(rows[i].ljust(p, b"\0") for i in at), np.uint8).reshape(n, p)
-        length = np.fromiter((len(rows[i]) for i in at), np.int64, n)
-        sym = np.full((n, p + 2), -1, np.int64)  # column p and p + 1 stand for "none"
+            at = order[size[order] == p]
+            for i in range(0, len(at), 8_000):
+                ids, n = self._encode_rows([rows[j] for j in at[i : i + 8_000]], length[at[i : i + 8_000]], int(p))
+                parts.append(ids)
+                counts[at[i : i + 8_000]] = n
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        # from the order of sizes back to the order of rows
+        n = counts[order]
+        begin = np.zeros(len(rows), np.int64)
+        begin[order] = np.cumsum(n) - n
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return flat[np.repeat(begin - ends[:-1], counts) + np.arange(ends[-1])], ends
+
+    def _encode_rows(self, rows: list[bytes], length: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """One tree of p leaves for each row; every round merges the leftmost pair of lowest rank of each row that has one."""
+        n, w = len(rows), p + 1  # place p of each row stands for "no symbol"
+        data = np.frombuffer(b"".join([x.ljust(p, b"\0") for x in rows]), np.uint8).reshape(n, p)
         live = np.arange(p) < length[:, None]
+        sym = np.full((n, w), -1, np.int64)
         sym[:, :p] = np.where(live, self.first[data], -1)
         lines = np.arange(n)
         sym[lines, length - 1] = self.last[data[lines, length - 1]]
-        after = np.minimum(np.tile(np.arange(1, p + 3), (n, 1)), p + 1)
-        after[:, :p] = np.where(after[:, :p] < length[:, None], after[:, :p], p + 1)
-        before = np.tile(np.arange(-1, p + 1), (n, 1))
-        before[:, 0] = p + 1
+        after = np.minimum(np.arange(1, w + 1)[None, :], np.full((n, 1), p))
+        after[lines, length - 1] = p
+        before = np.tile(np.arange(-1, p), (n, 1))
+        before[:, 0] = p
         tree = np.full((n, 2 * p), _INF, np.int64)
         rank = self._pair(sym[:, : p - 1], sym[:, 1:p])
         tree[:, p : 2 * p - 1] = np.where(rank >= 0, rank * p + np.arange(p - 1), _INF)
-        for i in range(p - 1, 0, -1):
-            tree[:, i] = np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1])
-        act = np.flatnonzero(tree[:, 1] < _INF)
+        low = p
+        while low > 1:
+            tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
+            low //= 2
+        sym, after, before, tree = sym.ravel(), after.ravel(), before.ravel(), tree.ravel()
+        act = np.flatnonzero(tree[1 :: 2 * p] < _INF)
         while len(act):
-            root = tree[act, 1]
-            pos, rank = root % p, root // p
-            right = after[act, pos]
-            sym[act, pos] = self.made[rank]
-            sym[act, right] = -1
-            nxt, prv = after[act, right], before[act, pos]
-            after[act, pos] = nxt
-            before[act, nxt] = pos
-            for leaf, a, b in ((right, None, None), (pos, pos, nxt), (prv, prv, pos)):
-                if a is None:
-                    value = np.full(len(act), _INF)
-                else:
-                    r = self._pair(sym[act, a], sym[act, b])
-                    value = np.where((r >= 0) & (a < p) & (b < p), r * p + a, _INF)
-                real = leaf < p
-                line, node = act[real], leaf[real] + p
-                tree[line, node] = value[real]
-                while len(node) and node[0] > 1:
-                    node = node >> 1
-                    tree[line, node] = np.minimum(tree[line, 2 * node], tree[line, 2 * node + 1])
-            sym[act, p + 1] = -1
-            act = act[tree[act, 1] < _INF]
-        for j, i in enumerate(at):
-            s = sym[j, :p]
-            out[i] = s[s >= 0].tolist()
+            root = tree[act * (2 * p) + 1]
+            pos, base, top = root % p, act * w, act * (2 * p)
+            right = after[base + pos]
+            sym[base + pos] = self.made[root // p]
+            sym[base + right] = -1
+            nxt, prv = after[base + right], before[base + pos]
+            after[base + pos] = nxt
+            before[base + nxt] = pos
+            # the three leaves that change: the symbol that went, the merged one, the one before it
+            here = self._pair(sym[base + pos], sym[base + nxt])
+            there = self._pair(sym[base + prv], sym[base + pos])
+            leaf = np.concatenate([right, pos, np.where(prv < p, prv, right)])
+            value = np.concatenate([np.full(len(act), _INF), np.where(here >= 0, here * p + pos, _INF), np.where(there >= 0, there * p + prv, _INF)])
+            at = np.tile(top, 3)
+            node = leaf + p
+            tree[at + node] = value
+            for _ in range(p.bit_length() - 1):
+                node >>= 1
+                two = at + 2 * node
+                tree[at + node] = np.minimum(tree[two], tree[two + 1])
+            act = act[tree[top + 1] < _INF]
+        sym = sym.reshape(n, w)[:, :p]
+        kept = sym >= 0
+        return sym[kept], kept.sum(axis=1)
 
     def encode_long(self, word: bytes) -> list[int]:
         """Ids of one pre-token of any length."""
@@ -206,30 +223,38 @@ class Vocabulary:
     # -- documents -------------------------------------------------------------------------------------------
 
     def learn(self, words: set[str]) -> None:
-        """Encode what the cache doesn't have."""
+        """Encode what the cache doesn't have: ids as bytes and the tokens' text. What wasn't used lately goes first."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
-            self.shown.clear()
-        new = [w for w in words if w not in self.cache]
-        ids: dict[str, list[int]] = {}
+            self.old, self.cache = self.cache, {}
+        cache, old, tokens = self.cache, self.old, self.tokens
+        new = words.difference(cache)
+        known = new.intersection(old)
+        for w in known:
+            cache[w] = old[w]
         short, long = [], []
-        for w in new:
+        for w in new - known:
             if w[0] == "\0" and w[1:] in self.special:
-                ids[w] = [self.special[w[1:]]]
+                self._put(w, [self.special[w[1:]]])
+            elif len(b := w.encode()) <= LONG:
+                short.append((w, b))
             else:
-                b = w.encode()
-                (short if len(b) <= LONG else long).append((w, b))
-        ids |= zip((w for w, _ in short), self.encode_batch([b for _, b in short]))
-        ids |= {w: self.encode_long(b) for w, b in long}
-        for w, x in ids.items():
-            self.cache[w] = np.array(x, "<u4").tobytes()
-            self.shown[w] = " ".join(map(self.tokens.__getitem__, x))
+                long.append((w, b))
+        for w, b in long:
+            self._put(w, self.encode_long(b))
+        flat, ends = self.encode_batch([b for _, b in short])
+        raw, ends, shown = flat.astype("<u4").tobytes(), ends.tolist(), [tokens[i] for i in flat.tolist()]
+        for i, (w, _) in enumerate(short):
+            a, b = ends[i], ends[i + 1]
+            cache[w] = raw[4 * a : 4 * b], " ".join(shown[a:b]).encode()
+
+    def _put(self, word: str, ids: list[int]) -> None:
+        self.cache[word] = np.array(ids, "<u4").tobytes(), " ".join(map(self.tokens.__getitem__, ids)).encode()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         words = self.pre_tokens(text)
         self.learn(set(words))
-        return b"".join(map(self.cache.__getitem__, words))
+        return b"".join([self.cache[w][0] for w in words])
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces: what a file without a decoder decodes to, special tokens kept."""
@@ -261,13 +286,14 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "tex
         v.learn(every)
         n, made, sha, plain = [], [], [], []
         for words in rows:
-            b = b"".join(map(v.cache.__getitem__, words))
+            found = list(map(v.cache.__getitem__, words))
+            b = b"".join([x for x, _ in found])
             n.append(len(b) // 4)
             if ids:
                 made.append(np.frombuffer(b, "<u4").astype(np.int32))
             sha.append(hashlib.sha256(b).hexdigest())
             # a pre-token's tokens decode alike wherever it stands
-            plain.append(hashlib.sha256(" ".join(map(v.shown.__getitem__, words)).encode()).hexdigest())
+            plain.append(hashlib.sha256(b" ".join([x for _, x in found])).hexdigest())
         return {"n_tokens": n, "ids": made, "ids_sha256": sha, "decoded_sha256": plain}
 
     new = [("n_tokens", T.LongType())] + ([("ids", T.ArrayType(T.IntegerType()))] if ids else []) + [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
