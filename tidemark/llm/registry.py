@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that defines a function of that name (and ORACLE where SQL can express it)
 MODULES = {
+    "op1_nearest": "nearest",
     "op2_substring_dedup": "substring_dedup",
     "op4_warc": "warc",
     "op6_mixing": "mixing",
