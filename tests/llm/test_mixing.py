@@ -12,8 +12,8 @@ def test_fill_reshares_excess():
 def test_contract(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "case when doc_id % 7 = 0 then null when doc_id % 3 = 0 then 'a' when doc_id < 120 then 'b' else 'é' end source", "1 as taken")
     docs = docs.unionByName(spark.createDataFrame([(10_000, None, "a", 1), (10_001, "", None, 1), (10_002, None, "zero", 1)], docs.schema))
-    a = sorted(tuple(r) for r in mixing.mix(docs).drop("position").collect())
-    assert a == sorted(tuple(r) for r in mixing.mix(docs.repartition(7)).drop("position").collect())
+    a = sorted(tuple(r) for r in mixing.mix(docs).drop("position", "positions").collect())
+    assert a == sorted(tuple(r) for r in mixing.mix(docs.repartition(7)).drop("position", "positions").collect())
     rows = mixing.mix(docs).collect()
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect()}
     assert {r.doc_id: r["size"] for r in rows} == size and len(rows) == docs.count()
@@ -24,6 +24,7 @@ def test_contract(spark):
         own = [r for r in rows if r.source == s]
         assert all(r.source_size == n and abs(r.target - t) < 1e-6 and r.taken <= 2 * r["size"] for r in own)
         assert abs(sum(r.taken for r in own) - t) <= 1
+        assert all(r.positions is None or (len(r.positions) == r.copies and r.positions[0] == r.position and r.positions == sorted(r.positions)) for r in own)
         assert all(r.position is None or 0 <= r.position <= 1 for r in own)
     ordered = [r.position for r in mixing.training_order(mixing.mix(docs)).collect()]
     assert ordered == sorted(ordered)

@@ -58,10 +58,10 @@ def sized(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sourc
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, tilt: float = 0.5, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, taken, copies, position) for every document.
+    """(id, source, size, source_size, target, taken, copies, position, positions) for every document.
 
     taken counts words, repeats included; position is the training time of the document's first token, in [0, 1], null where
-    nothing is taken. Schedules tilt by turns: even sources (in order) fade from 1 + tilt to 1 - tilt, odd ones rise likewise.
+    nothing is taken, and positions holds that of each copy. Schedules tilt by turns: even sources (in order) fade from 1 + tilt to 1 - tilt, odd ones rise likewise.
     """
     spark = docs.sparkSession
     rows = stash(sized(docs, text_col, id_col, source_col), "sized")
@@ -87,11 +87,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     placed = placed.withColumn("passes", passes).withColumn("rest", rest).withColumn("part", part.cast("long"))
     taken = F.col("passes") * F.col("size") + F.col("part")
     # t with a t + b t^2 = y, where the schedule is proportional to 1 + rise * (2 t - 1): a = 1 - rise, b = rise
-    y = F.least(F.lit(1.0), F.col("at") / F.col("target"))
-    t = F.when(F.col("rise") == 0, y).otherwise((F.sqrt((1 - F.col("rise")) * (1 - F.col("rise")) + 4 * F.col("rise") * y) - (1 - F.col("rise"))) / (2 * F.col("rise")))
+    def when(c):
+        y, flat = F.least(F.lit(1.0), c / F.col("target")), 1 - F.col("rise")
+        return F.when(F.col("rise") == 0, y).otherwise((F.sqrt(flat * flat + 4 * F.col("rise") * y) - flat) / (2 * F.col("rise")))
+
+    copies = F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)
+    some = (taken > 0) & (F.col("target") > 0)
+    positions = F.when(some, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda j: when(F.col("at") + j * F.col("source_size"))))
     return placed.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"),
-        (F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)).alias("copies"), F.when((taken > 0) & (F.col("target") > 0), t).alias("position"), F.col("turn").alias("__turn"),
+        copies.alias("copies"), F.when(some, when(F.col("at"))).alias("position"), positions.alias("positions"),
     )
 
 
