@@ -274,7 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, text_col
     else:
         share = totals[1] / (totals[0] + totals[1])
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        model.weights = logistic(seen[["a", "b"]].to_numpy(float), y, weight)
+        # the fewer examples of the rarer class, the less is read into them
+        model.weights = logistic(seen[["a", "b"]].to_numpy(float), y, weight, ridge=1.0 / min(y.sum(), len(y) - y.sum()) ** 2)
     return model
 
 
