@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     positions = F.when(some, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda j: when(F.col("at") + j * F.col("source_size"))))
     return placed.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"),
-        copies.alias("copies"), F.when(some, when(F.col("at"))).alias("position"), positions.alias("positions"),
+        F.when(some, copies).otherwise(0).alias("copies"), F.when(some, when(F.col("at"))).alias("position"), positions.alias("positions"),
     )
 
 
