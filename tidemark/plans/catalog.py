@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "decision_board"
+from . import series_queries
+
+FLAGSHIP = "wn01_anomalies"
+MODULES = [series_queries]
 
 
 def queries() -> dict:
-    return {}
+    return {name: make for m in MODULES for name, make in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
