@@ -116,21 +116,6 @@ def json_object(text: Column) -> Column:
     return F.nullif(F.when(fenced != "", fenced).otherwise(braces), F.lit(""))
 
 
-def hash_embedding(text: Column, size: int = 256) -> Column:
-    """FN27: hashed character 3-grams (weight 1) and word bigrams (weight 1.5), scaled to length 1."""
-    low = F.lower(text)
-
-    def bucket(g):
-        return F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")
-
-    grams = F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: bucket(low.substr(i, F.lit(3))) % size)).otherwise(F.array().cast("array<bigint>"))
-    words = F.filter(F.split(low, r"[ \t\n\r]+"), lambda w: w != "")
-    pairs = F.when(F.size(words) >= 2, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: (bucket(F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))) * 7) % size)).otherwise(F.array().cast("array<bigint>"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(grams, lambda x: x == b)) + 1.5 * F.size(F.filter(pairs, lambda x: x == b)))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-
-
 def cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict[str, tuple[float, float]]) -> Column:
     """FN22: price by the first provider whose name the model contains, per million tokens."""
     out = F.lit(0.0)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import series_queries
+from . import series_queries, text_queries
 
 FLAGSHIP = "wn01_anomalies"
-MODULES = [series_queries]
+MODULES = [series_queries, text_queries]
 
 
 def queries() -> dict:
