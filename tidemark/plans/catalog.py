@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import series_queries, text_queries
+from . import decision_queries, series_queries, text_queries
 
-FLAGSHIP = "wn01_anomalies"
-MODULES = [series_queries, text_queries]
+FLAGSHIP = "sg02_decision_board"
+MODULES = [series_queries, text_queries, decision_queries]
 
 
 def queries() -> dict:
