@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hash, pieces, stash, table, texts, with_arrow, word_table
+from .common import gram_hash, mix64, pieces, stash, table, texts, with_arrow, word_table
 
 WINDOW, PHRASE = 20, 8
 #: Phrases of a shard, on average, and words of a chunk.
-PHRASES, CHUNK = 4096, 65_536
+PHRASES, CHUNK = 2048, 262_144
 _SECOND = 0xA0761D6478BD642F
 
 
@@ -81,35 +81,44 @@ def stretches(found: DataFrame, shards: int, window: int) -> DataFrame:
     def run(batches):
         engine = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for doc, packed, key, confirmed in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text = pa.record_batch([pa.array([engine.decompress(packed).decode()], pa.string())], ["text"])
-                raw, start, end, hashes, first = word_table(text)
-                g, starts, anchor = anchors(hashes, first, window)
-                h = np.array([x["h"] for x in confirmed], np.int64)
-                src = np.array([x["src"] for x in confirmed], np.int64)
-                order = np.argsort(h)
-                h, src = h[order], src[order]
-                mine = g[anchor].view(np.int64)
-                at = np.minimum(np.searchsorted(h, mine), len(h) - 1)
-                ok = h[at] == mine
-                shard = np.where(ok, (src[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % shards, -1)
-                data = raw.tobytes()
-
-                def words(a, b):
-                    return b" ".join([data[start[i] : end[i]] for i in range(a, b)])
-
-                edge = np.flatnonzero((np.diff(shard) != 0) | (np.diff(starts) != 1)) + 1
-                for run_ in np.split(np.arange(len(starts)), edge):
-                    if len(run_) and shard[run_[0]] >= 0:
-                        a, b = int(starts[run_[0]]), int(starts[run_[-1]]) + window
-                        out.append((int(shard[run_[0]]), 1, doc, key, a, b - a, words(a, b)))
-                own = np.flatnonzero(ok & (src[at] == doc))  # this document holds these phrases first
-                _, one = np.unique(mine[own], return_index=True)
-                for i in own[one]:
-                    a = int(anchor[i])
-                    out.append((int(shard[i]), 0, doc, key, a, 0, words(a, a + PHRASE)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+            for part in pieces(batch, "packed", 1_000_000):
+                yield cut(part, engine)
+
+    def cut(part: pa.RecordBatch, engine) -> pa.RecordBatch:
+        doc, key = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        plain = pa.record_batch([pa.array([engine.decompress(x) for x in part.column(1).to_pylist()], pa.binary()).cast(pa.string())], ["text"])
+        raw, start, end, hashes, first = word_table(plain)
+        g, starts, anchor = anchors(hashes, first, window)
+        row = np.searchsorted(first, starts, side="right") - 1
+        lists = part.column(3)
+        both = lists.flatten()
+        h, src = (both.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        of = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+        # a window's anchor is confirmed for its own document if (hash, row) is in the lists
+        order = np.lexsort((of, h))
+        h, src, of = h[order], src[order], of[order]
+        mixed = h.view(np.uint64) ^ mix64(of.astype(np.uint64) + np.uint64(1))
+        order = np.argsort(mixed)
+        h, src, of, mixed = h[order], src[order], of[order], mixed[order]
+        mine = g[anchor].view(np.int64)
+        at = np.minimum(np.searchsorted(mixed, mine.view(np.uint64) ^ mix64(row.astype(np.uint64) + np.uint64(1))), max(0, len(h) - 1))
+        ok = (h[at] == mine) & (of[at] == row) if len(h) else np.zeros(len(mine), bool)
+        shard = np.where(ok, (src[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % shards, -1)
+        data, out = raw.tobytes(), []
+        new = np.ones(len(starts), bool)
+        new[1:] = (shard[1:] != shard[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])
+        lead = np.flatnonzero(new)
+        last = np.append(lead[1:], len(starts)) - 1
+        lead, last = lead[shard[lead] >= 0], last[shard[lead] >= 0]
+        a, b = starts[lead], starts[last] + window
+        for s, r, i, j in zip(shard[lead].tolist(), row[lead].tolist(), a.tolist(), b.tolist()):
+            out.append((s, 1, doc[r], key[r], i - first[r], j - i, data[start[i] : end[j - 1]]))
+        own = np.flatnonzero(ok & (src[at] == doc[row]))  # these documents hold these phrases first
+        _, one = np.unique(mine[own], return_index=True)
+        for w in own[one].tolist():
+            i, r = int(anchor[w]), row[w]
+            out.append((int(shard[w]), 0, doc[r], key[r], i - first[r], 0, data[start[i] : end[i + PHRASE - 1]]))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
     return found.mapInArrow(run, "shard int, kind int, doc long, text_key long, start long, n long, words binary")
 
