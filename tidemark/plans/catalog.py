@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decision_queries, series_queries, text_queries
+from . import decision_queries, series_queries, table_queries, text_queries
 
 FLAGSHIP = "sg02_decision_board"
-MODULES = [series_queries, text_queries, decision_queries]
+MODULES = [series_queries, text_queries, decision_queries, table_queries]
 
 
 def queries() -> dict:
