@@ -17,11 +17,11 @@ of one class only every score is that class; held_out is null for a null id. Ext
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +33,8 @@ BITS, SYMBOLS = 10, 1000
 START, END = 1, 2
 #: A longer word is read as pieces of this many letters.
 LETTERS = 32
-CACHE = 400_000
-_WORD = regex.compile(r"[^\W\d_]+")
+CACHE = 600_000
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -104,49 +104,72 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Both class models over the shared lower orders; `ratio` gives the difference of log-likelihoods of words."""
+    """Both class models over the shared lower orders; `ratios` gives the difference of log-likelihoods of words.
+
+    The table of an order has the n-grams of that length and the contexts of the next order, so that where an n-gram was found
+    is also where the next symbol's context is: one look-up for each order and symbol.
+    """
 
     def __init__(self, toxic: dict, ordinary: dict, shared: dict, weights=(0.0, 0.0, 0.0)):
         low = levels(shared, SHARED + 1)[:SHARED]  # the order above only counts left neighbours
-        a, b = levels(toxic, ORDER)[SHARED:], levels(ordinary, ORDER)[SHARED:]
-        self.low = [self._merge(x, x) for x in low]
-        self.high = [self._merge(x, y) for x, y in zip(a, b)]
+        a, b = levels(toxic, ORDER), levels(ordinary, ORDER)
+        pairs = [(x, x) for x in low] + list(zip(a[SHARED:], b[SHARED:]))
+        self.tables = []
+        self.first = np.array([x["rest"][0] if len(x["rest"]) else 1.0 for x in pairs[0]], np.float32)
+        for k, own in enumerate(pairs):
+            above = pairs[k + 1] if k + 1 < len(pairs) else ()
+            code = np.unique(np.concatenate([x["code"] for x in own] + [x["context"] for x in above]))
+            share, rest = np.zeros((len(code) + 1, 2), np.float32), np.ones((len(code) + 1, 2), np.float32)  # the last row: not found
+            for i, x in enumerate(own):
+                share[_find(code, x["code"]), i] = x["share"]
+            for i, x in enumerate(above):
+                rest[_find(code, x["context"]), i] = x["rest"]
+            direct = None
+            if k < 2:  # short n-grams are places of an array themselves
+                direct = np.full(1 << BITS * (k + 1), len(code), np.int32)
+                direct[code] = np.arange(len(code))
+            self.tables.append((code, share, rest, direct))
         self.weights = np.array(weights, float)
-        self.cache: dict[str, float] = {}
-
-    @staticmethod
-    def _merge(a: dict, b: dict) -> tuple:
-        """One table for both classes; the last row stands for what neither has: no share, all to the lower order."""
-        code, context = np.union1d(a["code"], b["code"]), np.union1d(a["context"], b["context"])
-        share, rest = np.zeros((len(code) + 1, 2), np.float32), np.ones((len(context) + 1, 2), np.float32)
-        for i, x in enumerate((a, b)):
-            share[_find(code, x["code"]), i] = x["share"]
-            rest[_find(context, x["context"]), i] = x["rest"]
-        return code, share, context, rest
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.value, self.length = np.zeros(0), np.zeros(0)
 
     def ratios(self, words: list[str]) -> np.ndarray:
         data, place, first = symbols(words)
-        p = np.full((len(data), 2), 1.0 / SYMBOLS, np.float64)
-        before = np.zeros(len(data), np.int64)
-        for k, (code, share, context, rest) in enumerate(self.low + self.high, 1):
-            g = grams(data, place, k)
-            ok = (g >= 0) & (place > 0)
-            before = np.where(ok, g >> BITS, -1)
-            q = share[_find(code, g)] + rest[_find(context, before)] * p
-            p = np.where(ok[:, None], q, p)
+        p = np.full((len(data), 2), 1.0 / SYMBOLS)
+        g, rest = np.zeros(len(data), np.int64), self.first[None, :]
+        for k, (code, share, after, direct) in enumerate(self.tables):
+            if k:
+                g = np.concatenate([[0], g[:-1]]) << BITS
+            g = g | data
+            live = place >= k
+            at = np.where(live, direct[g & (len(direct) - 1)] if direct is not None else _find(code, g), len(code))
+            q = share[at] + rest * p
+            p = np.where((live & (place > 0))[:, None], q, p)
+            rest = after[np.concatenate([[len(code)], at[:-1]])]
         value = np.where(place > 0, np.log(p[:, 0]) - np.log(p[:, 1]), 0.0)
         return np.add.reduceat(value, first)
 
     def look(self, words: set[str]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
+        """Add the words that the cache lacks; a full cache keeps what these words have in it."""
+        if len(self.row) > CACHE:
+            kept = [w for w in words if w in self.row]
+            at = np.fromiter(map(self.row.__getitem__, kept), np.int64, len(kept))
+            self.row, self.value, self.length = dict(zip(kept, range(len(kept)))), self.value[at], self.length[at]
+        new = sorted(words.difference(self.row))
+        values = [self.value]
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            cut = [[w[j : j + LETTERS] for j in range(0, len(w), LETTERS)] for w in part]
-            r = self.ratios([x for c in cut for x in c])
-            at = np.cumsum([0, *map(len, cut[:-1])])
-            self.cache.update(zip(part, np.add.reduceat(r, at).tolist()))
+            if max(map(len, part)) <= LETTERS:
+                values.append(self.ratios(part))
+            else:
+                cut = [[w[j : j + LETTERS] for j in range(0, len(w), LETTERS)] for w in part]
+                values.append(np.add.reduceat(self.ratios([x for c in cut for x in c]), np.cumsum([0, *map(len, cut[:-1])])))
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+        self.value = np.concatenate(values)
+        self.length = np.concatenate([self.length, np.fromiter(map(len, new), np.float64, len(new))])
 
     def features(self, rows: list[list[str]]) -> np.ndarray:
         """For each document: the length-normalised difference, and the largest difference of one expression."""
@@ -154,10 +177,15 @@ class Model:
         every.update(*rows)
         self.look(every)
         out = np.zeros((len(rows), 2))
-        for i, words in enumerate(rows):
-            if words:
-                x = np.fromiter(map(self.cache.__getitem__, words), np.float64, len(words))
-                out[i] = x.sum() / sum(map(len, words)), x.max()
+        full = [w for w in rows if w]
+        if full:
+            count = np.fromiter(map(len, full), np.int64, len(full))
+            at = np.concatenate([np.fromiter(map(self.row.__getitem__, w), np.int64, len(w)) for w in full])
+            first = np.cumsum(count) - count
+            value = self.value[at]
+            on = np.array([bool(w) for w in rows])
+            out[on, 0] = np.add.reduceat(value, first) / np.add.reduceat(self.length[at], first)
+            out[on, 1] = np.maximum.reduceat(value, first)
         return out
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
@@ -166,13 +194,13 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
     def bare(self) -> tuple:
-        return self.low, self.high, self.weights
+        return self.tables, self.first, self.weights
 
 
 def _restore(state: tuple) -> Model:
     m = Model.__new__(Model)
-    m.low, m.high, m.weights = state
-    m.cache = {}
+    m.tables, m.first, m.weights = state
+    m.clear()
     return m
 
 
@@ -204,20 +232,20 @@ def shared_counts(docs: DataFrame, text_col: str = "text") -> dict:
         total: Counter = Counter()
 
         def flush():
-            words = list(total)
-            counts = np.fromiter(total.values(), np.float64, len(words))
+            words, counts = [], []
+            for w, n in total.items():
+                for j in range(0, len(w), LETTERS):
+                    words.append(w[j : j + LETTERS])
+                    counts.append(n)
             total.clear()
+            counts = np.array(counts, np.float64)
             for k, (code, n) in (gram_counts(words, counts, SHARED + 1) if words else {}).items():
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(code), pa.int32()), pa.array(code), pa.array(n)], ["k", "code", "n"])
 
         for batch in batches:
             for part in pieces(batch, text_col):
                 for text in texts(part, text_col):
-                    for w in (found := words_of(text)):
-                        if len(w) > LETTERS:
-                            found = [w[j : j + LETTERS] for w in found for j in range(0, len(w), LETTERS)]
-                            break
-                    total.update(found)
+                    total.update(words_of(text))
                 if len(total) > CACHE:
                     yield from flush()
         yield from flush()
