@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, pre_tokenizers
 
-from .common import table, texts, with_arrow
+from .common import table, tenant, texts, with_arrow
 
 #: Pre-tokens above this many symbols get their own tree.
 LONG = 32
-CACHE = 400_000
+CACHE = 300_000
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the split pattern of the public vocabulary file.
 _LIBRARY_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -265,6 +265,7 @@ _loaded: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(digest: str, spec: str) -> Vocabulary:
+    tenant("bpe", _loaded.clear)
     if digest not in _loaded:
         _loaded.clear()
         _loaded[digest] = Vocabulary(json.loads(spec))

@@ -112,6 +112,20 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+# --- caches of Python workers ----------------------------------------------------------------------------------
+
+_tenant: dict[str, Callable[[], None]] = {}
+
+
+def tenant(name: str, drop: Callable[[], None]) -> None:
+    """Note whose caches a Python worker holds. Workers outlive stages, so a new operator's first call drops the last one's."""
+    if name not in _tenant:
+        for other in _tenant.values():
+            other()
+        _tenant.clear()
+        _tenant[name] = drop
+
+
 # --- word hashes, for a whole slice of documents at once -------------------------------------------------------
 
 _M64 = (1 << 64) - 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, mix64, pieces, table, texts, with_arrow
+from .common import column, mix64, pieces, table, tenant, texts, with_arrow
 from .toxicity import in_fold, words_of
 
 LETTERS = 32
@@ -154,6 +154,7 @@ _at_work: dict = {}
 
 
 def _pieces(names: list[str]) -> Pieces:
+    tenant("language_id", _at_work.clear)
     key = (len(names), names[-1])
     if _at_work.get("names") != key:
         _at_work.update({"names": key, "pieces": Pieces(names)})
@@ -216,6 +217,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
     langs = model["languages"]
 
     def make(part: pa.RecordBatch) -> dict:
+        tenant("language_id", _at_work.clear)
         m = shared.value
         if _at_work.get("of") is not m:
             _at_work.update({"of": m, "row": {}, "table": np.zeros((0, len(langs)))})

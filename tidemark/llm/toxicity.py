@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, table, texts, with_arrow
+from .common import pieces, table, tenant, texts, with_arrow
 
 ORDER, SHARED = 6, 3
 BITS, SYMBOLS = 10, 1000
 START, END = 1, 2
 #: A longer word is read as pieces of this many letters.
 LETTERS = 32
-CACHE = 600_000
+CACHE = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -229,6 +229,7 @@ def shared_counts(docs: DataFrame, text_col: str = "text") -> dict:
     """Counts of n-grams up to SHARED + 1 symbols over all documents."""
 
     def run(batches):
+        tenant("toxicity", _at_work.clear)
         total: Counter = Counter()
 
         def flush():
@@ -326,6 +327,7 @@ _at_work: dict = {}
 
 def _worker_model(state) -> Model:
     """The model with its word cache, kept while a Python worker serves tasks of the same broadcast."""
+    tenant("toxicity", _at_work.clear)
     value = state.value
     if _at_work.get("of") is not value:
         _at_work.update({"of": value, "model": _restore(value)})
