@@ -32,7 +32,7 @@ def test_recall_and_scores(spark, monkeypatch):
     odd = [(5000, None, ""), (5020, [0.0] * 24, ""), (5040, [float("nan")] * 24, ""), (5060, [1.0, 2.0], ""), (5080, [None] + [1.0] * 23, ""), (None, [1.0] * 24, "")]
     got = run(spark, [(i, x.tolist(), "x") for i, x in zip(ids, v)] + odd)
     want = brute(ids, v)
-    assert set(got) == set(want)
+    assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
     hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
     for q, found in got.items():

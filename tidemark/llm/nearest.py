@@ -5,7 +5,7 @@ the largest norm). Vectors are assigned to lists by k-means centroids; a query p
 vectors are rotated by a fixed random orthogonal matrix and scanned in blocks of columns. After d of D columns the distance so
 far, scaled by D / d, estimates the whole; when it exceeds (1 + EPSILON / sqrt(d))^2 times the query's bound, the hypothesis that
 the candidate is near enough is rejected and it is abandoned. Survivors get their inner product in double precision on the
-original vectors. The bound is the K-th smallest distance to the sample, a subset of the candidates, tightened inside each task.
+original vectors. The bound is the 2 K-th smallest distance to the sample's vectors in the probed lists, a subset of the candidates.
 
 Bounds: centroids, rotation and the number of probed lists are fitted on at most SAMPLE vectors of smallest hash, which also go
 to the tasks (at most SAMPLE rows); every vector is indexed. `fit` measures recall on the sample against brute force and probes
@@ -69,7 +69,7 @@ class Index:
         score = sample[asked] @ sample.T
         score[np.arange(len(asked)), asked] = -np.inf
         best = np.argsort(-score, axis=1)[:, : min(k, max(1, len(sample) - 1))]
-        own = self.nearest(x, 1)[:, 0]
+        own = self.own = self.nearest(x, 1)[:, 0]
         ranked = np.argsort(self.nearest(self.asking(sample[asked]), lists), axis=1)  # place of each list in the query's order
         place = np.take_along_axis(ranked, own[best], axis=1)
         reached = np.array([(place < p).mean() for p in range(1, lists + 1)])
@@ -86,15 +86,21 @@ class Index:
         far = (self.centroids * self.centroids).sum(axis=1) - 2 * x @ self.centroids.T
         return np.argsort(far, axis=1, kind="stable")[:, :n]
 
-    def bounds(self, v: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distance within which each query's K nearest surely lie, by the sample."""
+    def bounds(self, v: np.ndarray, ids: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Squared distance within which 2 K sample vectors of each query's probed lists lie (infinite where there are fewer).
+
+        Twice K, so that K are found even where a hypothesis test abandons a near one.
+        """
         out = np.full(len(v), np.inf)
-        if len(self.sample) > self.k:
+        k = 2 * self.k
+        if len(self.sample) > k:
             for i in range(0, len(v), 256):
                 s = v[i : i + 256] @ self.sample.T
-                s[ids[i : i + 256, None] == self.ids[None, :]] = -np.inf
-                kth = np.partition(s, -self.k, axis=1)[:, -self.k]
-                out[i : i + 256] = (v[i : i + 256] ** 2).sum(axis=1) + self.norm**2 - 2 * kth
+                probed = np.zeros((len(s), len(self.centroids)), bool)
+                np.put_along_axis(probed, lists[i : i + 256], True, axis=1)
+                s[~probed[:, self.own] | (ids[i : i + 256, None] == self.ids[None, :])] = -np.inf
+                kth = np.partition(s, -k, axis=1)[:, -k]
+                out[i : i + 256] = np.where(kth > -np.inf, (v[i : i + 256] ** 2).sum(axis=1) + self.norm**2 - 2 * kth, np.inf)
         return out * (1 + 1e-9) + 1e-12
 
     def scan(self, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, v: np.ndarray, ids: np.ndarray):
@@ -160,7 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
                 part = batch.slice(i, 1000)
                 ix, q = shared.value, _matrix(part.column(1))
                 lists = ix.nearest(ix.asking(q), ix.probes)
-                bound = ix.bounds(q, part.column(0).to_numpy())
+                bound = ix.bounds(q, part.column(0).to_numpy(), lists)
                 at = np.repeat(np.arange(len(q)), lists.shape[1])
                 again = part.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), again.column(0), again.column(1), pa.array(bound[at])], ["list", "id", "v", "bound"])
