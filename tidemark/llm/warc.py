@@ -33,6 +33,7 @@ from .common import shared_dir, stash, table
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of one archive at most (a larger record stands alone), of one read range, and of one step of a scan.
 ARCHIVE, RANGE, STEP = 16 << 20, 4 << 20, 1 << 20
+MOST_TASKS = 100_000
 #: Payloads of fewer bytes are always responses.
 LEAST = 0
 _FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, archive string, start long"
@@ -138,19 +139,27 @@ def _valid(prefix: bytes) -> bool:
         return False
 
 
-def read_range(source, start: int, stop: int):
-    """(offset, headers, block) of the records that start in [start, stop) of a seekable file."""
-    at = start
+def _next_magic(source, at: int, stop: int) -> int:
+    """The first place in [at, stop) where the gzip magic stands, or stop."""
     while at < stop:
         source.seek(at)
         window = source.read(min(STEP, stop - at) + len(MAGIC) - 1)
         hit = window.find(MAGIC)
-        if hit < 0 or at + hit >= stop:
-            at += max(1, min(STEP, stop - at))
-            continue
-        at += hit
+        if hit >= 0:
+            return min(stop, at + hit)
+        at += STEP
+    return stop
+
+
+def read_range(source, start: int, stop: int):
+    """(offset, headers, block) of the records that start in [start, stop) of a seekable file."""
+    at = start
+    while at < stop:
         source.seek(at)
         chunk = source.read(4096)
+        if not chunk.startswith(MAGIC):  # only where no record follows on the last one
+            at = _next_magic(source, at, stop)
+            continue
         if not _valid(chunk):
             at += 1
             continue
@@ -160,7 +169,7 @@ def read_range(source, start: int, stop: int):
                 out.append(engine.decompress(chunk))
                 used += len(chunk)
                 if not engine.eof:
-                    chunk = source.read(1 << 16)
+                    chunk = source.read(1 << 14)
         except zlib.error:
             at += 1
             continue
@@ -174,7 +183,9 @@ def read_range(source, start: int, stop: int):
 def read_archives(spark, paths: DataFrame, width: int = RANGE, payloads: bool = True) -> DataFrame:
     """Records of the archives in `paths` (path, bytes), one row each; a revisit carries what its headers say of the payload."""
     ranges = paths.select("path", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {width}L)")).alias("start"), "bytes")
-    ranges = ranges.repartition("path", "start")
+    # as many tasks as ranges, up to a limit: rows of ranges are tiny, so their own size says nothing of the work
+    total = paths.agg(F.sum(F.ceil(F.col("bytes") / width))).first()[0] or 1
+    ranges = ranges.repartition(int(min(total, MOST_TASKS)), "path", "start")
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
