@@ -31,6 +31,8 @@ from .common import stash, table
 
 K, SAMPLE, BLOCK, COLUMNS = 20, 20_000, 2048, 16
 EPSILON, RECALL, MOST_LISTS = 2.1, 0.98, 256
+#: Share of live candidates below which they are scanned one by one.
+DENSE = 0.02
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -103,32 +105,41 @@ class Index:
                 out[i : i + 256] = np.where(kth > -np.inf, (v[i : i + 256] ** 2).sum(axis=1) + self.norm**2 - 2 * kth, np.inf)
         return out * (1 + 1e-9) + 1e-12
 
+    @staticmethod
+    def limit(bound: np.ndarray, seen: int, d: int) -> np.ndarray:
+        """Distance over the columns so far beyond which a candidate is abandoned; all columns: the bound, with room for rounding."""
+        return bound * (1 + 1e-9) if seen == d else bound * (seen / d) * (1 + EPSILON / math.sqrt(seen)) ** 2
+
     def scan(self, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, v: np.ndarray, ids: np.ndarray):
         """(query place, candidate place, score) of the best K survivors of each query in one block."""
         a, x = self.asking(q) @ self.rotation, self.stored(v) @ self.rotation
         d = a.shape[1]
-        at = np.zeros(0, np.int64)
+        part = np.zeros((len(a), len(x)))
+        live = q_ids[:, None] != ids[None, :]
         seen = 0
-        far = None
-        while seen < d:
+        # while many candidates are left, a block of columns is one matrix product over all of them
+        while seen < d and (seen == 0 or np.count_nonzero(live) > DENSE * live.size):
+            stop = min(d, seen + COLUMNS)
+            b, c = a[:, seen:stop], x[:, seen:stop]
+            step = b @ c.T
+            step *= -2
+            step += (b * b).sum(axis=1)[:, None]
+            step += (c * c).sum(axis=1)[None, :]
+            part += step
+            live &= part <= self.limit(bound, stop, d)[:, None]
+            seen = stop
+        row, at = np.nonzero(live)
+        far = part[row, at]
+        while seen < d and len(row):
             stop = min(d, seen + COLUMNS)
-            if far is None:  # the first columns of all candidates at once
-                b, c = a[:, :stop], x[:, :stop]
-                part = (b * b).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * b @ c.T
-                limit = bound * (stop / d) * (1 + EPSILON / math.sqrt(stop)) ** 2
-                hit = part <= limit[:, None]
-                hit &= q_ids[:, None] != ids[None, :]
-                row, at = np.nonzero(hit)
-                far = part[row, at]
-            else:
-                keep = np.zeros(len(row), bool)
-                for i in range(0, len(row), 200_000):
-                    s = slice(i, i + 200_000)
-                    gap = a[row[s], seen:stop] - x[at[s], seen:stop]
-                    far[s] += (gap * gap).sum(axis=1)
-                    r = bound[row[s]]
-                    keep[s] = far[s] <= (r if stop == d else r * (stop / d) * (1 + EPSILON / math.sqrt(stop)) ** 2) * (1 + 1e-9)
-                row, at, far = row[keep], at[keep], far[keep]
+            keep = np.zeros(len(row), bool)
+            most = self.limit(bound, stop, d)
+            for i in range(0, len(row), 200_000):
+                s = slice(i, i + 200_000)
+                gap = a[row[s], seen:stop] - x[at[s], seen:stop]
+                far[s] += (gap * gap).sum(axis=1)
+                keep[s] = far[s] <= most[row[s]]
+            row, at, far = row[keep], at[keep], far[keep]
             seen = stop
         score = np.zeros(len(row))
         for i in range(0, len(row), 200_000):
