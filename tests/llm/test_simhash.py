@@ -78,3 +78,24 @@ def test_list_links_span():
     fps = (np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))).astype(np.uint64)
     fps = np.unique(fps)
     assert len(simhash.list_links(fps, np.arange(len(fps)))) == len(fps) - 1
+
+
+def test_null_ids_among_near_copies(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(40):
+        w = list(base)
+        w[rng.randrange(400)] = "x"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"v{rng.random()}" for _ in range(50)) for _ in range(40)]
+    ids = [None if i % 3 == 0 else i for i in range(len(texts))]
+    top = {d: c for d, _, c in brute(list(enumerate(texts)))}  # by position
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[top[i]] = min(d, least.get(top[i], d))
+    want = sorted(((d, f"{plain(t):016x}", least.get(top[i])) for i, (d, t) in enumerate(zip(ids, texts))), key=str)
+    assert len(set(top.values())) < len(top) - 10
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    assert sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=str) == want

@@ -8,8 +8,8 @@ dropped, and the rest is verified by counting bits.
 
 Equal fingerprints are one entry. A list is searched breadth-first: a found fingerprint leaves the open set, so a list of m near
 copies emits fewer than m links and costs about m comparisons, never all pairs. A list above LIST entries is dealt in blocks, and
-each pair of blocks is a task of its own. Components are found on links between class representatives (the smallest doc_id of a
-fingerprint), so a component's root is its smallest doc_id.
+each pair of blocks is a task of its own. Components are found on links between fingerprints; a component is named by its smallest
+doc_id.
 
 Defined results: null text = no words = fingerprint zero; rows that repeat an id are separate rows with their own fingerprints;
 null ids get a fingerprint and the component of their class (null where no row of the component has an id).
@@ -121,7 +121,7 @@ def _search(batches):
 
 
 def links(classes: DataFrame, list_size: int = LIST) -> DataFrame:
-    """(a, b): a forest of the links between the classes (fp long, rep long), as pairs of representatives."""
+    """(a, b): a forest of the links between the classes (fp long, rep long), as pairs of representatives, which can't be null."""
     sets = list(combinations(range(KEYED), FIXED))
 
     def mask(s):
@@ -145,10 +145,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, text_col: str = "text", id_
     """(doc id, fingerprint, component_id) for every row of `docs`."""
     own = stash(fingerprints(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), words, "__text", ["__id"]), "fingerprints")
     classes = stash(own.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("rep")), "classes")
-    roots = components(links(classes, list_size))
-    # a class without any id can't be a node; it stays alone
-    named = classes.join(roots, classes.rep == roots.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "rep").alias("component_id"))
-    named = stash(named, "named")
+    # nodes are the fingerprints themselves, which are never null; a class without any id still links others
+    roots = components(links(classes.select("fp", F.col("fp").alias("rep")), list_size))
+    named = stash(classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
+    least = stash(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    named = stash(named.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "named")
     return own.join(named, "__fp", "left").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
