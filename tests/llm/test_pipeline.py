@@ -58,3 +58,36 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    new = docs.selectExpr("case when doc_id % 5 = 0 then null when doc_id % 5 < 3 then doc_id - doc_id % 5 + 1 else doc_id end as doc_id", "text", "lang", "source", "n_chars")
+    new.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r.doc_id or -1, r.source, r.text)
+
+    single = cp.drop_near_copies(spark, docs, sf).cache()
+    nulls = lambda df: sorted(r.text for r in df.filter("doc_id is null").collect())
+    assert nulls(single) == nulls(docs)
+
+    plan = mixing.mix(single.withColumn("t", single.text), keep=("t",)).collect()
+    want, got = {}, {}
+    for r in plan:
+        if r.copies:
+            k = (r.doc_id or -1, r.source, r.t)
+            want[k] = want.get(k, 0) + r.copies
+    for r in cp.mix_sources(spark, single, sf).collect():
+        got[key(r)] = got.get(key(r), 0) + 1
+    assert got == want
+
+    # two clean texts of one id, one of them a near copy of a smaller id: only that one goes
+    w = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(w), " ".join(w[:-1] + ["x"]), " ".join(f"v{i}" for i in range(50))
+    small = spark.createDataFrame([(1, a), (2, b), (2, c), (3, c), (3, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in cp.drop_near_copies(spark, small, sf).collect()) == [(1, a), (2, c)]
+
+    out = cp.run(spark, str(tmp_path))
+    assert out.filter("doc_id is null").count() > 0

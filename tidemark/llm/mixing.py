@@ -47,24 +47,25 @@ def fill(sizes: list[float], weights: list[float], total: float, most: float = M
     return targets
 
 
-def sized(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, source, size, turn): words of each document and its place in the hash order."""
+def sized(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", keep: tuple = ()) -> DataFrame:
+    """(id, source, size, turn and the columns of keep): words of each document and its place in the hash order."""
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("turn"),
+        *keep,
     )
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, tilt: float = 0.5, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, taken, copies, position, positions) for every document.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, tilt: float = 0.5, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", keep: tuple = ()) -> DataFrame:
+    """(id, source, size, source_size, target, taken, copies, position, positions and the columns of keep) for every document.
 
     taken counts words, repeats included; position is the training time of the document's first token, in [0, 1], null where
     nothing is taken, and positions holds that of each copy. Schedules tilt by turns: even sources (in order) fade from 1 + tilt to 1 - tilt, odd ones rise likewise.
     """
     spark = docs.sparkSession
-    rows = stash(sized(docs, text_col, id_col, source_col), "sized")
+    rows = stash(sized(docs, text_col, id_col, source_col, keep), "sized")
     # one row for each source: sources are a setting of the mix, not data-sized
     sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     sums.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     rows = rows.withColumn("bucket", F.pmod(F.col("turn"), F.lit(buckets)))
     whole = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = whole.select("source", "bucket", (F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")).alias("earlier"))
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("turn", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("turn", "id", "size", *keep).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("inside", inside).join(before.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     placed = placed.withColumn("at", F.col("earlier") + F.col("inside")).join(F.broadcast(plan.withColumnRenamed("source", "p")), F.col("source").eqNullSafe(F.col("p")))
     # whole passes over the source, then the part of one more pass that the target still needs
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     positions = F.when(some, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda j: when(F.col("at") + j * F.col("source_size"))))
     return placed.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"),
-        F.when(some, copies).otherwise(0).alias("copies"), F.when(some, when(F.col("at"))).alias("position"), positions.alias("positions"),
+        F.when(some, copies).otherwise(0).alias("copies"), F.when(some, when(F.col("at"))).alias("position"), positions.alias("positions"), *keep,
     )
 
 
