@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Text handled at once inside a task, in bytes; a longer document is handled alone.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 #: The ASCII white space of the contracts, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -23,25 +28,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has (names differ by more than case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+# --- tables in shared storage ----------------------------------------------------------------------------------
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests, local sessions) a temporary folder is made and set.
+    Where that setting is absent, a local session (tests) gets a temporary folder; on a cluster that is an error.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_kept: dict[str, SparkSession] = {}
+
+
+def stash(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write `df` as Parquet (in a folder for each value of `by`) into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    `discard` deletes it once all that reads it is written; what is left goes when the driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out], _kept[path] = path, spark
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of tables that `stash` wrote; nothing may read them afterwards."""
+    for df in frames:
+        path = _paths.pop(df, None)
+        if path and _kept.pop(path, None):
+            delete(df.sparkSession, path)
+
+
+@atexit.register
+def _clean() -> None:
+    while _kept:
+        path, spark = _kept.popitem()
+        try:
+            delete(spark, path)
+        except Exception:  # the session has ended before; its folder is the user's to clear
+            return
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -117,23 +168,32 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 _tenant: dict[str, Callable[[], None]] = {}
 
 
-def tenant(name: str, drop: Callable[[], None]) -> None:
-    """Note whose caches a Python worker holds. Workers outlive stages, so a new operator's first call drops the last one's."""
+def tenant(name: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Note whose caches a Python worker holds. Workers outlive stages: a new operator's first call drops the last one's."""
     if name not in _tenant:
         for other in _tenant.values():
             other()
         _tenant.clear()
         _tenant[name] = drop
+        release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system, as executors share theirs with their Python workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 # --- word hashes, for a whole slice of documents at once -------------------------------------------------------
 
-_M64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Words above this length are hashed one by one.
+_LONG_WORD = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -147,29 +207,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 20, 1 << (n - 1).bit_length()) if n else 1 << 20
-    if size not in _powers:
-        if size > 1 << 23:
-            return _power_of(n)
-        _powers[size] = _power_of(size)
-    return _powers[size]
-
-
-def _power_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INV, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def word_table(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of every text of a slice, as arrays.
 
     Returns (bytes of all texts, word starts, word ends, 64-bit word hashes, first word of each row and one past the last).
-    A word's hash depends on its bytes only. Null texts have no words.
+    A word's hash depends on its bytes only: eight bytes at a time go through a mixing function, words above _LONG_WORD bytes
+    through XXH3. Null texts have no words. Besides the texts, a word takes about 40 bytes here, a byte of text 3.
     """
     col = batch.column(batch.schema.get_field_index(name))
     if not pa.types.is_large_string(col.type):
@@ -185,18 +228,34 @@ def word_table(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, n
         z = np.zeros(0, np.int64)
         return raw, z, z, np.zeros(0, np.uint64), np.zeros(len(col) + 1, np.int64)
     solid = ~_SPACE[raw]
-    brk = np.zeros(n + 1, bool)
-    brk[offsets] = True  # a word never runs over into the next text
-    first = solid.copy()
-    first[1:] &= ~solid[:-1] | brk[1:n]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:] | brk[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * up[:n], out=total[1:])
-    hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return raw, starts, ends, hashes, np.searchsorted(starts, offsets)
+    edge = np.empty(n, bool)
+    edge[0], edge[1:] = True, ~solid[:-1]
+    edge[offsets[:-1][offsets[:-1] < n]] = True  # a word never runs over into the next text
+    starts = np.flatnonzero(solid & edge)
+    edge[:-1], edge[-1] = edge[1:] | ~solid[1:], True
+    ends = np.flatnonzero(solid & edge) + 1
+    return raw, starts, ends, word_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(raw) + 1, 8), (1, 1))
+    at = np.flatnonzero(size <= _LONG_WORD)
+    done = 0
+    while len(at):
+        block = np.ascontiguousarray(eight[starts[at] + done]).view("<u8")[:, 0]
+        left = size[at] - done
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[at] = mix64(out[at] * np.uint64(0xD1342543DE82EF95) + block)
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), 42)
+    return out
 
 
 def gram_hash(hashes: np.ndarray, k: int, odd: int = 0xD6E8FEB86659FD93) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def forest(pairs) -> list[tuple[int, int]]:
@@ -69,9 +69,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         large = stash(large.distinct(), "large")
-        least = stash(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stash(moved.unionByName(least.withColumnRenamed("m", "b")).distinct(), "links")
+        first = stash(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        moved = large.join(first, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, now = now, stash(moved.unionByName(first.withColumnRenamed("m", "b")).distinct(), "links")
+        discard(old, least, large, first)
         after = state(now)
         if after == before:
             break
