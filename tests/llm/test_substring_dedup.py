@@ -48,8 +48,8 @@ def test_against_brute_force(spark):
     rows = sample()
     df = spark.createDataFrame([(a, b, "s", 3) for a, b in rows], "doc_id long, text string, src string, n_words int").repartition(4)
     want = brute(rows)
-    for phrases, chunk in ((4096, 65_536), (20, 300)):  # one automaton; many shards, dealt in chunks
-        got = sd.dedup_substrings(df, phrases=phrases, chunk=chunk).select("doc_id", "n_words", "n_removed", "text").collect()
+    for phrases, chunk, patterns in ((4096, 65_536, 9999), (20, 300, 100)):  # one automaton; many shards, dealt in chunks and parts
+        got = sd.dedup_substrings(df, phrases=phrases, chunk=chunk, patterns=patterns).select("doc_id", "n_words", "n_removed", "text").collect()
         assert sorted(tuple(r) for r in got) == want
     assert sd.dedup_substrings(df.limit(0)).count() == 0
 
@@ -69,3 +69,40 @@ def test_word_table():
     assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
     g = gram_hash(hashes, 2)
     assert len(g) == 6 and g[1] == g[3] != g[0] and gram_hash(hashes, 8).tolist() == []
+
+
+def test_words_are_compared_not_hashes(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a  # words whose polynomial hashes modulo 2^64 are equal
+    start = " ".join(f"u{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{start} {a}"), (2, f"{start} {b}"), (3, f"{start} {a}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in sd.dedup_substrings(df).collect()) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_hits_decide(monkeypatch):
+    words = [f"w{i}".encode() for i in range(30)]
+    chunk = sd.Chunk([(1, 0, 0, b" ".join(words)), (2, 0, 5, b" ".join(words[3:27]))], 20)
+    numbers, _ = chunk.numbered()
+    a, b, lead, n = chunk.distinct()
+    patterns = [(int(chunk.doc[i]), int(chunk.pos[i]), tuple(numbers[chunk.low[i] : chunk.low[i] + 20])) for i in lead[n > 1]]
+    assert len(patterns) == 5 and chunk.repeats(patterns, numbers) == [(2, 0, 5, 29)]
+    assert chunk.repeats(patterns[1:2], numbers)[0][3] - chunk.repeats(patterns[1:2], numbers)[0][2] == 20 and chunk.repeats([], numbers) == []
+
+
+def test_one_huge_repeated_document_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sd, "STRETCH", 500)
+    rng = random.Random(3)
+    long = " ".join(f"h{rng.randrange(10**6)}" for _ in range(6000))
+    df = spark.createDataFrame([(1, long), (2, "x y " + long), (3, long[: len(long) // 2])], "doc_id long, text string")
+    own = df.selectExpr("doc_id as doc", "text")
+    known = sd.occurrences(own, 20).groupBy("h").count().count()
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in sd.dedup_substrings(df, phrases=64, chunk=4000, patterns=256).collect()}
+    assert known > 600 and got[1] == (6000, 0) and got[2] == (6002, 6000) and got[3][0] - got[3][1] <= 1
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"u{i}" for i in range(25))
+    df = spark.createDataFrame([(1, text, "a", "b", 1), (2, text, None, "d", 2)], "doc_id long, text string, __gone string, __Key string, n_removed int")
+    got = {r["doc_id"]: r for r in sd.dedup_substrings(df).collect()}
+    assert got[2]["n_removed"] == 25 and got[1]["__gone"] == "a" and got[2]["__Key"] == "d"

@@ -3,19 +3,23 @@
 A window is WINDOW consecutive words of one document. Of every window the phrase of PHRASE words with the smallest hash is its
 anchor; equal windows have equal anchors, and neighbours share them, so about one word in seven begins an anchor.
 
-1. Confirm: anchors are counted over all documents; those that recur (in two documents, or twice in one) are the phrases.
-2. Compile: phrases are sharded by the document that holds them first, so that the phrases of one passage stay together, and a
-   shard's phrases become an Aho-Corasick automaton over word codes (pyahocorasick).
-3. Stream: each document sends the stretches around its confirmed phrases to their shards, where the automaton locates every
-   occurrence. The windows around occurrences are compared by 128-bit digests in (document, start) order: all but the first are
-   repeats. A shard with many words is dealt in chunks by document; the first windows of its chunks meet in one more aggregate.
-4. Words covered by a repeated window go; the rest stays, joined by one space.
-
-Nothing is sampled or capped: a window whose anchor doesn't recur can't recur. A chunk is bounded (CHUNK words and one stretch),
-and so is an automaton (PHRASES on average); no phrase or document set is broadcast or sent to the driver.
+1. Candidates: anchors are counted over all documents. A window whose anchor doesn't recur (in two documents, or twice in one)
+   can't recur, so only the stretches of windows around recurring anchors travel to the shards, from every document.
+2. Confirm: a shard's windows are counted by 128-bit digests; those found twice or more are the recurring passages, each with its
+   first place in (document, start) order.
+3. Compile: the recurring windows of a shard become an Aho-Corasick automaton (pyahocorasick) over numbers of words, which a
+   dictionary gives out by the words' bytes, so that a hit is an equality of words and not of hashes.
+4. Stream: all stretches run through the automaton. Every hit is an occurrence of its pattern; those that aren't the pattern's
+   first place are repeats. Words that repeats cover go; the rest stays, joined by one space.
+
+Anchors are sharded by the document that holds them first, so that a passage stays together; a document that is first with more
+than PHRASES anchors is split by anchor. A shard of more than CHUNK words is dealt in chunks: they confirm by one more aggregate,
+their patterns are dealt in parts of PATTERNS, and each part meets each chunk in a task of its own. So a task's stretches and its
+automaton are bounded whatever repeats. Nothing is sampled or capped; no phrases or documents are broadcast or sent to the driver.
 
 Defined results: null text has no words; rows with a null id keep their words; rows that repeat an id count as one document at
-the same place (equal texts of one id don't remove each other); n_words and n_removed columns are replaced, others pass through.
+the same place (equal texts of one id don't remove each other); an empty table gives an empty table; n_words and n_removed columns
+are replaced, others pass through. A text is held by one task as a whole.
 """
 
 from __future__ import annotations
@@ -30,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hash, mix64, pieces, stash, table, texts, with_arrow, word_table
+from .common import discard, fresh, gram_hash, mix64, pieces, stash, table, tenant, texts, with_arrow, word_table
 
 WINDOW, PHRASE = 20, 8
-#: Phrases of a shard, on average, and words of a chunk.
-PHRASES, CHUNK = 2048, 262_144
+#: Anchors of a shard on average, words of a chunk, patterns of an automaton, windows of a stretch.
+PHRASES, CHUNK, PATTERNS, STRETCH = 2048, 131_072, 32_768, 32_768
 _SECOND = 0xA0761D6478BD642F
 
 
@@ -73,15 +77,16 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "h long, doc long, twice boolean")
 
 
-def stretches(found: DataFrame, shards: int, window: int) -> DataFrame:
-    """Phrases (kind 0) and stretches (kind 1) by shard, from documents that come with their confirmed phrases."""
-    names = ["shard", "kind", "doc", "text_key", "start", "n", "words"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def stretches(found: DataFrame, window: int) -> DataFrame:
+    """Stretches of windows around recurring anchors, by shard, from documents that come with their anchors' hashes and shards."""
+    names = ["shard", "doc", "text_key", "start", "n", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
+        tenant("substring_dedup")
         engine = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in pieces(batch, "packed", 1_000_000):
+            for part in pieces(batch, "packed", 800_000):
                 yield cut(part, engine)
 
     def cut(part: pa.RecordBatch, engine) -> pa.RecordBatch:
@@ -92,85 +97,80 @@ def stretches(found: DataFrame, shards: int, window: int) -> DataFrame:
         row = np.searchsorted(first, starts, side="right") - 1
         lists = part.column(3)
         both = lists.flatten()
-        h, src = (both.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        h, to = (both.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         of = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
-        # a window's anchor is confirmed for its own document if (hash, row) is in the lists
-        order = np.lexsort((of, h))
-        h, src, of = h[order], src[order], of[order]
+        # a window's anchor recurs if (hash, row) is in the lists
         mixed = h.view(np.uint64) ^ mix64(of.astype(np.uint64) + np.uint64(1))
         order = np.argsort(mixed)
-        h, src, of, mixed = h[order], src[order], of[order], mixed[order]
+        h, to, of, mixed = h[order], to[order], of[order], mixed[order]
         mine = g[anchor].view(np.int64)
         at = np.minimum(np.searchsorted(mixed, mine.view(np.uint64) ^ mix64(row.astype(np.uint64) + np.uint64(1))), max(0, len(h) - 1))
         ok = (h[at] == mine) & (of[at] == row) if len(h) else np.zeros(len(mine), bool)
-        shard = np.where(ok, (src[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % shards, -1)
+        shard = np.where(ok, to[at], -1) if len(h) else np.full(len(mine), -1)
         data, out = raw.tobytes(), []
         new = np.ones(len(starts), bool)
         new[1:] = (shard[1:] != shard[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])
         lead = np.flatnonzero(new)
         last = np.append(lead[1:], len(starts)) - 1
         lead, last = lead[shard[lead] >= 0], last[shard[lead] >= 0]
-        a, b = starts[lead], starts[last] + window
-        for s, r, i, j in zip(shard[lead].tolist(), row[lead].tolist(), a.tolist(), b.tolist()):
-            out.append((s, 1, doc[r], key[r], i - first[r], j - i, data[start[i] : end[j - 1]]))
-        own = np.flatnonzero(ok & (src[at] == doc[row]))  # these documents hold these phrases first
-        _, one = np.unique(mine[own], return_index=True)
-        for w in own[one].tolist():
-            i, r = int(anchor[w]), row[w]
-            out.append((int(shard[w]), 0, doc[r], key[r], i - first[r], 0, data[start[i] : end[i + PHRASE - 1]]))
+        for w, v in zip(lead.tolist(), last.tolist()):
+            s, r = int(shard[w]), row[w]
+            for i in range(int(starts[w]), int(starts[v]) + 1, STRETCH):
+                j = min(i + STRETCH - 1, int(starts[v])) + window
+                out.append((s, doc[r], key[r], i - first[r], j - i, data[start[i] : end[j - 1]]))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
-    return found.mapInArrow(run, "shard int, kind int, doc long, text_key long, start long, n long, words binary")
-
-
-class Shard:
-    """The automaton of one shard's phrases, and the stretches of one chunk."""
-
-    def __init__(self, window: int):
-        self.window = window
-        self.phrases: list[bytes] = []
-        self.rows: list[tuple] = []
-
-    def codes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        batch = pa.record_batch([pa.array([w.decode() for w in words], pa.string())], ["text"])
-        _, _, _, hashes, first = word_table(batch)
-        return hashes, first
-
-    def automaton(self) -> ahocorasick.Automaton:
-        out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        hashes, first = self.codes(self.phrases)
-        code = (hashes >> np.uint64(33)).tolist()
-        for i in first[:-1].tolist():
-            out.add_word(tuple(code[i : i + PHRASE]))
-        out.make_automaton()
-        return out
-
-    def repeats(self) -> tuple[list[tuple], list[tuple]]:
-        """((document, text, first and last word + 1) of repeats; (two digests, document, text, start) of first windows)."""
-        if not self.rows or not self.phrases:
-            return [], []
-        hashes, first = self.codes([r[3] for r in self.rows])
-        ends = np.fromiter((e for e, _ in self.automaton().iter(tuple((hashes >> np.uint64(33)).tolist()))), np.int64)
-        width = self.window - PHRASE + 1
-        hit = np.zeros(len(hashes) + 1, np.int64)
-        hit[ends - PHRASE + 2] = 1  # counts of phrase starts before each place
-        hit = np.cumsum(hit)
-        n = len(hashes) - self.window + 1
-        low = np.arange(max(0, n))
-        row = np.repeat(np.arange(len(self.rows)), np.diff(first))
-        low = low[(row[low] == row[low + self.window - 1]) & (hit[low + width] > hit[low])]
-        if not len(low):
-            return [], []
-        a, b = gram_hash(hashes, self.window)[low], gram_hash(hashes, self.window, _SECOND)[low]
-        docs, keys, begin = (np.array([r[i] for r in self.rows], np.int64) for i in range(3))
-        doc, key, pos = docs[row[low]], keys[row[low]], begin[row[low]] + low - first[row[low]]
-        order = np.lexsort((pos, doc, b, a))
-        a, b, doc, key, pos = a[order], b[order], doc[order], key[order], pos[order]
+    return found.mapInArrow(run, "shard long, doc long, text_key long, start long, n long, words binary")
+
+
+class Chunk:
+    """The stretches (document, text, start, words) of a shard or of a chunk of it, and their windows."""
+
+    def __init__(self, rows: list[tuple], window: int):
+        self.window, self.blobs = window, [r[3] for r in rows]
+        batch = pa.record_batch([pa.array(self.blobs, pa.binary()).cast(pa.string())], ["text"])
+        _, _, _, self.hashes, self.first = word_table(batch)
+        row = np.repeat(np.arange(len(rows)), np.diff(self.first))
+        low = np.arange(max(0, len(row) - window + 1))
+        self.low = low[row[low] == row[low + window - 1]] if len(low) else low
+        doc, key, begin = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        at = row[self.low]
+        self.doc, self.key, self.begin = doc[at], key[at], begin[at]
+        self.pos = self.begin + self.low - self.first[at]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(digest, digest, first window, number of places) of each distinct window."""
+        a, b = gram_hash(self.hashes, self.window)[self.low], gram_hash(self.hashes, self.window, _SECOND)[self.low]
+        order = np.lexsort((self.pos, self.doc, b, a))
+        a, b, doc, pos = a[order], b[order], self.doc[order], self.pos[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = (doc != doc[lead]) | (pos != pos[lead])
-        return covered(doc[again], key[again], pos[again], self.window), list(zip(a[new].view(np.int64).tolist(), b[new].view(np.int64).tolist(), doc[new].tolist(), key[new].tolist(), pos[new].tolist()))
+        place = new.copy()
+        place[1:] |= (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])  # rows that repeat an id share places
+        lead = np.flatnonzero(new)
+        return a[new].view(np.int64), b[new].view(np.int64), order[lead], np.add.reduceat(place.astype(np.int64), lead) if len(lead) else lead
+
+    def numbered(self) -> tuple[list[int], dict[bytes, int]]:
+        """The words in a row as numbers, and the dictionary of them."""
+        number: dict[bytes, int] = {}
+        return [number.setdefault(w, len(number)) for blob in self.blobs for w in blob.split()], number
+
+    def repeats(self, patterns: list[tuple[int, int, tuple]], words: list[int]) -> list[tuple]:
+        """Runs of words covered by repeated windows. A pattern is its first document and start, and its words' numbers."""
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, (_, _, key) in enumerate(patterns):
+            found.add_word(key, i)
+        if not len(found):
+            return []
+        found.make_automaton()
+        hits = np.fromiter((x for hit in found.iter(tuple(words)) for x in hit), np.int64).reshape(-1, 2)
+        window_at = np.full(len(words) + 1, -1)
+        window_at[self.low] = np.arange(len(self.low))
+        at = window_at[hits[:, 0] - self.window + 1]
+        at, pattern = at[at >= 0], hits[at >= 0, 1]  # a hit from one stretch into the next is none
+        doc, pos = (np.array([x[i] for x in patterns], np.int64)[pattern] for i in (0, 1))
+        at = at[(self.doc[at] != doc) | (self.pos[at] != pos)]
+        return covered(self.doc[at], self.key[at], self.pos[at], self.window)
 
 
 def covered(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, window: int) -> list[tuple]:
@@ -186,79 +186,132 @@ def covered(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, window: int) -> l
     return list(zip(doc[lead].tolist(), key[lead].tolist(), pos[lead].tolist(), (pos[last] + window).tolist()))
 
 
+def groups(batches, keys: int):
+    """(key, rows) of runs of equal first `keys` columns in sorted batches."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield now, rows
+
+
+_FOUND = ["shard", "a", "b", "n", "doc", "text_key", "start", "lo", "hi"]
+
+
 def locate(dealt: DataFrame, window: int) -> DataFrame:
-    """Rows (shard, chunk, chunks, kind, doc, text_key, start, words), sorted: repeated ranges, and first windows of chunked shards."""
-    names = ["a", "b", "doc", "text_key", "lo", "hi"]
+    """Rows (shard, chunk, chunks, doc, text_key, start, words), sorted: repeated runs of whole shards, and the distinct windows of chunks."""
 
     def run(batches):
-        def give(ranges, firsts):
-            rows = [(None, None, *r) for r in ranges] + [(a, b, d, k, p, p + window) for a, b, d, k, p in firsts]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names)
-
-        now, state, many = None, Shard(window), False
+        tenant("substring_dedup")
+        for (shard, _, chunks), rows in groups(batches, 3):
+            chunk = Chunk(rows, window)
+            a, b, lead, n = chunk.distinct()
+            if chunks > 1:
+                cols = [np.full(len(a), shard), a, b, n, chunk.doc[lead], chunk.key[lead], chunk.begin[lead], chunk.pos[lead], chunk.pos[lead] + window]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], _FOUND)
+            else:
+                words, _ = chunk.numbered()
+                at = chunk.low[lead[n > 1]].tolist()
+                patterns = [(d, p, tuple(words[i : i + window])) for d, p, i in zip(chunk.doc[lead[n > 1]].tolist(), chunk.pos[lead[n > 1]].tolist(), at)]
+                out = [(shard, None, None, None, d, k, None, lo, hi) for d, k, lo, hi in chunk.repeats(patterns, words)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(9)], _FOUND)
+
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in _FOUND))
+
+
+def chunked(firsts: DataFrame, cut: DataFrame, sizes: DataFrame, window: int, patterns: int) -> DataFrame:
+    """(doc, text_key, lo, hi): repeated runs of shards that are dealt in chunks, from the distinct windows of the chunks."""
+    first = F.min(F.struct("doc", "lo", "text_key", "start")).alias("first")
+    recurring = firsts.groupBy("shard", "a", "b").agg(first, F.sum("n").alias("n")).filter("n > 1")
+    recurring = stash(recurring.select("shard", "a", "b", "first.*"), "recurring")
+    parts = recurring.groupBy("shard").agg(F.ceil(F.count("*") / patterns).cast("long").alias("parts"))
+    sizes = stash(sizes.join(parts, "shard"), "grid")
+    own = recurring.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("a", "b"), "parts"))
+    own = own.groupBy("shard", "doc", "text_key", "start", "chunks").agg(F.collect_list(F.struct("lo", "part")).alias("picked"))  # windows of one stretch
+
+    def pick(batches):
         for batch in batches:
-            for shard, chunk, chunks, kind, doc, key, start, words in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if (shard, chunk) != now:
-                    ranges, firsts = state.repeats()
-                    if ranges or firsts:
-                        yield give(ranges, firsts if many else [])
-                    now, state = (shard, chunk), Shard(window)
-                many = chunks > 1
-                if kind:
-                    state.rows.append((doc, key, start, words))
-                else:
-                    state.phrases.append(words)
-        ranges, firsts = state.repeats()
-        yield give(ranges, firsts if many else [])
-
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, phrases: int = PHRASES, chunk: int = CHUNK) -> DataFrame:
+            out = []
+            for shard, chunks, doc, start, words, picked in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words.split()
+                out += [(shard, x["part"], chunks, doc, x["lo"], b" ".join(words[x["lo"] - start : x["lo"] - start + window])) for x in picked]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], ["shard", "part", "chunks", "doc", "start", "words"])
+
+    chosen = cut.drop("n").join(own, ["shard", "doc", "text_key", "start"]).select("shard", "chunks", "doc", "start", "words", "picked")
+    chosen = stash(chosen.mapInArrow(pick, "shard long, part long, chunks long, doc long, start long, words binary"), "patterns")
+    left = chosen.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select("shard", "part", "chunk", F.lit(0).alias("kind"), "doc", F.lit(0).cast("long").alias("text_key"), "start", "words")
+    right = cut.join(sizes, "shard").withColumn("chunk", chunk_of()).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    right = right.select("shard", "part", "chunk", F.lit(1).alias("kind"), "doc", "text_key", "start", "words")
+    keys = ["shard", "part", "chunk"]
+
+    def run(batches):
+        tenant("substring_dedup")
+        for _, rows in groups(batches, 3):
+            own = [r[1:] for r in rows if r[0]]
+            if own:
+                chunk = Chunk(own, window)
+                words, number = chunk.numbered()
+                keys = [(r[1], r[3], [number.get(w) for w in r[4].split()]) for r in rows if not r[0]]
+                out = chunk.repeats([(d, p, tuple(k)) for d, p, k in keys if None not in k], words)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["doc", "text_key", "lo", "hi"])
+
+    met = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys)
+    return met.mapInArrow(run, "doc long, text_key long, lo long, hi long")
+
+
+def chunk_of() -> F.Column:
+    return F.pmod(F.xxhash64("doc", "start"), F.col("chunks"))
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, phrases: int = PHRASES, chunk: int = CHUNK, patterns: int = PATTERNS) -> DataFrame:
     """(doc, text_key, lo, hi): words lo to hi - 1 of a document that repeated windows cover. `docs` has doc and text."""
     docs = docs.filter("doc is not null and text is not null")
     seen = occurrences(docs, window)
-    confirmed = seen.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min("doc").alias("src")).filter("n > 1 or twice").select("h", "src")
-    confirmed = stash(confirmed, "phrases")
-    shards = max(1, math.ceil(confirmed.count() / phrases))
-    lists = seen.select("h", "doc").join(confirmed, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "src")).alias("confirmed"))  # at most the anchors of one document
+    known = seen.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min("doc").alias("src")).filter("n > 1 or twice")
+    known = stash(known.select("h", "src"), "anchors")
+    shards = max(1, math.ceil(known.count() / phrases))
+    wide = known.groupBy("src").agg(F.ceil(F.count("*") / phrases).cast("long").alias("split")).filter("split > 1")
+    shard = F.pmod(F.xxhash64("src", F.coalesce(F.pmod("h", "split"), F.lit(0).cast("long"))), F.lit(shards)).alias("shard")
+    lists = seen.select("h", "doc").join(known.join(wide, "src", "left").select("h", shard), "h").groupBy("doc").agg(F.collect_list(F.struct("h", "shard")).alias("anchors"))  # at most the anchors of one document
 
     def pack(part: pa.RecordBatch) -> dict:
         engine = zstandard.ZstdCompressor(level=1)
         return {"packed": [engine.compress(x.encode()) for x in texts(part)]}
 
     packed = with_arrow(docs.select("doc", "text", F.xxhash64("text").alias("text_key")), [("packed", T.BinaryType())], pack, ["doc", "text_key"])
-    found = packed.join(lists, "doc").select("doc", "packed", "text_key", "confirmed")
-    cut = stash(stretches(found, shards, window), "stretches")
-    sizes = cut.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / chunk)).cast("int").alias("chunks"))
-    cut = cut.join(sizes, "shard")
-    own = F.array(F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    dealt = cut.withColumn("chunk", F.explode(F.when(F.col("kind") == 1, own).otherwise(F.expr("sequence(0, chunks - 1)"))))
-    dealt = dealt.select("shard", "chunk", "chunks", "kind", "doc", "text_key", "start", "words").repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "kind", "doc", "start")
+    found = packed.join(lists, "doc").select("doc", "packed", "text_key", "anchors")
+    cut = stash(stretches(found, window), "stretches")
+    discard(known)
+    sizes = stash(cut.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / chunk)).cast("long").alias("chunks")), "sizes")
+    dealt = cut.join(sizes, "shard").withColumn("chunk", chunk_of())
+    dealt = dealt.select("shard", "chunk", "chunks", "doc", "text_key", "start", "words").repartition("shard", "chunk").sortWithinPartitions("shard", "chunk")
     got = stash(locate(dealt, window), "located")
+    out = got.filter("a is null").select("doc", "text_key", "lo", "hi")
     firsts = got.filter("a is not null")
-    if firsts.isEmpty():
-        return got.select("doc", "text_key", "lo", "hi")
-    least = stash(firsts.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "m"), "first-windows")
-    more = firsts.join(least, ["a", "b"]).filter("not (doc = m.doc and lo = m.lo)").select("doc", "text_key", "lo", "hi")
-    return got.filter("a is null").select("doc", "text_key", "lo", "hi").unionByName(more)
+    return out if firsts.isEmpty() else out.unionByName(chunked(firsts, cut, sizes.filter("chunks > 1"), window, patterns))
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", phrases: int = PHRASES, chunk: int = CHUNK) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", phrases: int = PHRASES, chunk: int = CHUNK, patterns: int = PATTERNS) -> DataFrame:
     """`docs` with the words that repeat removed from the text (words joined by one space), plus n_words (before) and n_removed."""
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    gone = repeated_ranges(own, window, phrases, chunk).groupBy("doc", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("__gone"))  # ranges of one document
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), "__gone")
-    joined = docs.join(gone, (docs[id_col].cast("long") == gone["__doc"]) & (F.xxhash64(docs[text_col]) == gone["__key"]), "left")
+    gone, doc, key = (fresh(x, docs) for x in ("__gone", "__doc", "__key"))
+    ranges = repeated_ranges(own, window, phrases, chunk, patterns).groupBy("doc", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias(gone))  # ranges of one document
+    ranges = ranges.select(F.col("doc").alias(doc), F.col("text_key").alias(key), gone)
+    joined = docs.join(ranges, (docs[id_col].cast("long") == ranges[doc]) & (F.xxhash64(docs[text_col]) == ranges[key]), "left")
 
     def make(part: pa.RecordBatch) -> dict:
         out, total, removed = [], [], []
-        for text, ranges in zip(texts(part, text_col), part.column(part.schema.get_field_index("__gone")).to_pylist()):
+        for text, found in zip(texts(part, text_col), part.column(part.schema.get_field_index(gone)).to_pylist()):
             words = text.encode().split()
             total.append(len(words))
-            if ranges:
+            if found:
                 keep = np.ones(len(words), bool)
-                for r in ranges:
+                for r in found:
                     keep[r["lo"] : r["hi"]] = False
                 words = [words[i] for i in np.flatnonzero(keep)]
             removed.append(total[-1] - len(words))
