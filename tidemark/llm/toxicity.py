@@ -1,22 +1,30 @@
 """Operator 3, toxicity: class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models of the characters inside words, one of toxic and one of ordinary documents, give each word two
-log-likelihoods. Their difference, normalised by the length of the document, and the largest difference of a single expression
-are compared by a logistic function that is fitted on labelled documents which the models haven't seen. Orders above SHARED are
-counted for each class; the orders up to SHARED, on which rare expressions fall back, are counts shared by both classes, taken
-from the whole texts of all documents (they need no labels).
+Two interpolated Kneser-Ney models of the characters of expressions (runs of letters and digits, runs of punctuation), one of toxic
+and one of ordinary documents, give each expression two log-likelihoods. A passage is PASSAGE expressions in a row; its toxic and
+ordinary log-likelihoods are compared normalised by its length in characters, and the document's comparison is that of its most
+toxic passage, so that a few expressions count in a long document as they do in a short one. One logistic function of that single
+number, fitted on labelled documents which the models haven't seen, turns it into a score. Orders above SHARED are counted for
+each class; the orders up to SHARED, on which rare expressions fall back, are counts shared by both classes, taken from the whole
+texts of all documents (they need no labels).
 
 Bounds: the class models are fitted on at most `rows_per_class` labelled documents of each class, those of smallest hash (a
-quarter of them serves for the logistic function); the shared counts cover every document. Both models are tables of character
-n-grams of at most ORDER symbols of a fixed alphabet. Scoring needs no shuffle: the model goes with the task.
+quarter of them serves for the logistic function); the shared counts cover every document and stay on the executors. What comes to
+the driver of them are the n-grams with at least PRUNE of the count of their order, which are 1 / PRUNE at most at any size; the
+mass of the others stays in the weight of falling back. Scoring needs no shuffle: the model goes with the task.
+
+The logistic function is fitted with a prior (log-odds of the labels; SLOPE), whose weight is that of PRIOR_ROWS rows: however few
+rows are left for it, it is fitted the same way.
 
 Defined results: null text = empty text, which scores what a text without signs of either class does; labels whose id or value
-is null are not used, a document with several labels counts as toxic if one says so; without labels every score is 0, with labels
-of one class only every score is that class; held_out is null for a null id. Extra columns are ignored.
+is null are not used, a document with several labels counts as toxic if one says so, rows that repeat an id each teach and are
+each scored; without labels every score is 0, with labels of one class only every score is that class; held_out is null for a
+null id. Extra columns are ignored; a score of exactly 0.5 is predicted 1.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -26,29 +34,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, table, tenant, texts, with_arrow
+from .common import pieces, stash, table, tenant, texts, with_arrow
 
-ORDER, SHARED = 6, 3
-BITS, SYMBOLS = 10, 1000
+ORDER, SHARED = 5, 3
+#: Bits of a symbol: code points below DIRECT are symbols of their own, the others share the rest of the alphabet.
+BITS, DIRECT = 12, 0x400
+SYMBOLS = 1 << BITS
 START, END = 1, 2
-#: A longer word is read as pieces of this many letters.
-LETTERS = 32
-CACHE = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
+PASSAGE = 5
+PRUNE = 1e-7
+SLOPE, PRIOR_ROWS = 5.0, 4.0
+#: Expressions whose values a Python worker keeps, and the longest of them.
+CACHE, CACHED_LETTERS = 120_000, 64
+_WORD = re.compile(r"[^\W_]+|[^\w\s]+")
 
 
 def words_of(text: str) -> list[str]:
+    """Expressions of a text, lower-cased."""
     return _WORD.findall(text.lower())
 
 
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of start mark, letters and end mark of all words in a row; for each, its place in its word; the words' first places."""
-    data = np.frombuffer("".join(["\x01" + w + "\x02" for w in words]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    """Symbols of start mark, characters and end mark of all words in a row; for each, its place in its word; the words' first places."""
+    data = np.frombuffer("".join(["\x01" + w + "\x02" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     length = np.fromiter(map(len, words), np.int64, len(words)) + 2
     first = np.cumsum(length) - length
-    mark = data <= 2
-    data = np.where(data < 0x250, data + 3, 3 + 0x250 + data % 400)
-    data[mark] = START
+    data = np.where(data < DIRECT, data + 3, DIRECT + 3 + data % (SYMBOLS - DIRECT - 3))
+    data[first] = START
     data[first + length - 1] = END
     place = np.arange(len(data)) - np.repeat(first, length)
     return data, place, first
@@ -110,10 +122,9 @@ class Model:
     is also where the next symbol's context is: one look-up for each order and symbol.
     """
 
-    def __init__(self, toxic: dict, ordinary: dict, shared: dict, weights=(0.0, 0.0, 0.0)):
-        low = levels(shared, SHARED + 1)[:SHARED]  # the order above only counts left neighbours
+    def __init__(self, toxic: dict, ordinary: dict, shared: list[dict], weights=(0.0, SLOPE)):
         a, b = levels(toxic, ORDER), levels(ordinary, ORDER)
-        pairs = [(x, x) for x in low] + list(zip(a[SHARED:], b[SHARED:]))
+        pairs = [(x, x) for x in shared] + list(zip(a[SHARED:], b[SHARED:]))
         self.tables = []
         self.first = np.array([x["rest"][0] if len(x["rest"]) else 1.0 for x in pairs[0]], np.float32)
         for k, own in enumerate(pairs):
@@ -124,11 +135,7 @@ class Model:
                 share[_find(code, x["code"]), i] = x["share"]
             for i, x in enumerate(above):
                 rest[_find(code, x["context"]), i] = x["rest"]
-            direct = None
-            if k < 2:  # short n-grams are places of an array themselves
-                direct = np.full(1 << BITS * (k + 1), len(code), np.int32)
-                direct[code] = np.arange(len(code))
-            self.tables.append((code, share, rest, direct))
+            self.tables.append((code, share, rest))
         self.weights = np.array(weights, float)
         self.clear()
 
@@ -140,57 +147,54 @@ class Model:
         data, place, first = symbols(words)
         p = np.full((len(data), 2), 1.0 / SYMBOLS)
         g, rest = np.zeros(len(data), np.int64), self.first[None, :]
-        for k, (code, share, after, direct) in enumerate(self.tables):
+        for k, (code, share, after) in enumerate(self.tables):
             if k:
                 g = np.concatenate([[0], g[:-1]]) << BITS
             g = g | data
             live = place >= k
-            at = np.where(live, direct[g & (len(direct) - 1)] if direct is not None else _find(code, g), len(code))
+            at = np.where(live, _find(code, g), len(code))
             q = share[at] + rest * p
             p = np.where((live & (place > 0))[:, None], q, p)
             rest = after[np.concatenate([[len(code)], at[:-1]])]
         value = np.where(place > 0, np.log(p[:, 0]) - np.log(p[:, 1]), 0.0)
         return np.add.reduceat(value, first)
 
-    def look(self, words: set[str]) -> None:
-        """Add the words that the cache lacks; a full cache keeps what these words have in it."""
+    def look(self, words: set[str]) -> dict[str, float]:
+        """Values of words beyond the cached length; the others are added to the cache, which starts anew when it is full."""
         if len(self.row) > CACHE:
-            kept = [w for w in words if w in self.row]
-            at = np.fromiter(map(self.row.__getitem__, kept), np.int64, len(kept))
-            self.row, self.value, self.length = dict(zip(kept, range(len(kept)))), self.value[at], self.length[at]
-        new = sorted(words.difference(self.row))
-        values = [self.value]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            if max(map(len, part)) <= LETTERS:
-                values.append(self.ratios(part))
-            else:
-                cut = [[w[j : j + LETTERS] for j in range(0, len(w), LETTERS)] for w in part]
-                values.append(np.add.reduceat(self.ratios([x for c in cut for x in c]), np.cumsum([0, *map(len, cut[:-1])])))
+            self.clear()
+        new = sorted((w for w in words if w not in self.row), key=len)
+        long = {w: float(self.ratios([w])[0]) for w in new if len(w) > CACHED_LETTERS}
+        new = new[: len(new) - len(long)]
+        values = [self.value] + [self.ratios(new[i : i + 10_000]) for i in range(0, len(new), 10_000)]
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
         self.value = np.concatenate(values)
         self.length = np.concatenate([self.length, np.fromiter(map(len, new), np.float64, len(new))])
+        return long
 
-    def features(self, rows: list[list[str]]) -> np.ndarray:
-        """For each document: the length-normalised difference, and the largest difference of one expression."""
+    def comparisons(self, rows: list[list[str]]) -> np.ndarray:
+        """For each document, the length-normalised difference of log-likelihoods of its most toxic passage; 0 without words."""
         every: set[str] = set()
         every.update(*rows)
-        self.look(every)
-        out = np.zeros((len(rows), 2))
-        full = [w for w in rows if w]
-        if full:
-            count = np.fromiter(map(len, full), np.int64, len(full))
-            at = np.concatenate([np.fromiter(map(self.row.__getitem__, w), np.int64, len(w)) for w in full])
-            first = np.cumsum(count) - count
-            value = self.value[at]
-            on = np.array([bool(w) for w in rows])
-            out[on, 0] = np.add.reduceat(value, first) / np.add.reduceat(self.length[at], first)
-            out[on, 1] = np.maximum.reduceat(value, first)
+        long = self.look(every)
+        out = np.zeros(len(rows))
+        for i, words in enumerate(rows):
+            if not words:
+                continue
+            if long and not long.keys().isdisjoint(words):
+                value = np.array([long[w] if w in long else self.value[self.row[w]] for w in words])
+                size = np.fromiter(map(len, words), float, len(words))
+            else:
+                at = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+                value, size = self.value[at], self.length[at]
+            n = min(PASSAGE, len(words))
+            value, size = np.cumsum(value), np.cumsum(size)
+            value[n:], size[n:] = value[n:] - value[:-n], size[n:] - size[:-n]
+            out[i] = (value[n - 1 :] / size[n - 1 :]).max()
         return out
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
-        x = self.features(rows)
-        z = self.weights[0] + x @ self.weights[1:]
+        z = self.weights[0] + self.weights[1] * self.comparisons(rows)
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
     def bare(self) -> tuple:
@@ -204,20 +208,21 @@ def _restore(state: tuple) -> Model:
     return m
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Weights (first: constant) by Newton steps on the penalised likelihood."""
-    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
-    a = np.column_stack([np.ones(len(x)), x / scale])
-    w = np.zeros(a.shape[1])
-    for _ in range(50):
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: tuple[float, float]) -> np.ndarray:
+    """Constant and slope by Newton steps on the likelihood of the rows and a prior that weighs as much as PRIOR_ROWS of them."""
+    scale = np.array([1.0, max(prior[1], 1e-9)])
+    a = np.column_stack([np.ones(len(x)), x * scale[1]])
+    middle = np.array(prior) / scale
+    w = middle.copy()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (p - y)) / weight.sum() + ridge * np.r_[0, w[1:]]
-        h = (a * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a / weight.sum() + ridge * np.eye(len(w))
+        g = a.T @ (weight * (p - y)) + PRIOR_ROWS / 4 * (w - middle)
+        h = (a * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + PRIOR_ROWS / 4 * np.eye(2)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
-    return np.r_[w[0], w[1:] / scale]
+    return w * scale
 
 
 def in_fold(id_col) -> F.Column:
@@ -225,34 +230,50 @@ def in_fold(id_col) -> F.Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5))
 
 
-def shared_counts(docs: DataFrame, text_col: str = "text") -> dict:
-    """Counts of n-grams up to SHARED + 1 symbols over all documents."""
+def counted(docs: DataFrame, order: int, text_col: str, by: str | None = None) -> DataFrame:
+    """(y, k, code, n): counts of n-grams of the texts, for each value of the integer column `by` if one is named."""
 
     def run(batches):
         tenant("toxicity", _at_work.clear)
-        total: Counter = Counter()
+        total: dict[int, Counter] = {}
 
         def flush():
-            words, counts = [], []
-            for w, n in total.items():
-                for j in range(0, len(w), LETTERS):
-                    words.append(w[j : j + LETTERS])
-                    counts.append(n)
+            for y, bag in total.items():
+                for k, (code, n) in (gram_counts(list(bag), np.fromiter(bag.values(), float, len(bag)), order) if bag else {}).items():
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(code), pa.int32()), pa.array([k] * len(code), pa.int32()), pa.array(code), pa.array(n)], ["y", "k", "code", "n"])
             total.clear()
-            counts = np.array(counts, np.float64)
-            for k, (code, n) in (gram_counts(words, counts, SHARED + 1) if words else {}).items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(code), pa.int32()), pa.array(code), pa.array(n)], ["k", "code", "n"])
 
         for batch in batches:
             for part in pieces(batch, text_col):
-                for text in texts(part, text_col):
-                    total.update(words_of(text))
-                if len(total) > CACHE:
+                for y, text in zip(part.column(0).to_pylist(), texts(part, text_col)):
+                    total.setdefault(y, Counter()).update(words_of(text))
+                if sum(map(len, total.values())) > CACHE:
                     yield from flush()
         yield from flush()
 
-    rows = docs.select(text_col).mapInArrow(run, "k int, code long, n double").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
-    return {k: (g["code"].to_numpy()[o], g["n"].to_numpy()[o]) for k, g in rows.groupby("k") for o in [np.argsort(g["code"].to_numpy())]}
+    rows = docs.select((F.col(by) if by else F.lit(0)).cast("int").alias("__by"), text_col)
+    return rows.mapInArrow(run, "y int, k int, code long, n double").groupBy("y", "k", "code").agg(F.sum("n").alias("n"))
+
+
+def shared_levels(docs: DataFrame, text_col: str = "text", prune: float = PRUNE) -> list[dict]:
+    """Kneser-Ney tables of orders 1 to SHARED over all documents, without n-grams of less than `prune` of their order's count."""
+    top = stash(counted(docs, SHARED + 1, text_col), "grams")
+    above, out = top.filter(F.col("k") == SHARED + 1).select("code"), []
+    for k in range(SHARED, 0, -1):
+        left = above.select(F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("code"), F.lit(1.0).alias("n"))
+        count = stash(left.unionByName(top.filter(F.col("k") == k).select("code", "n")).groupBy("code").agg(F.sum("n").alias("n")), "grams")
+        whole = count.agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
+        discount = whole.one / (whole.one + 2 * whole.two) if whole.one and whole.two else 0.5
+        context = F.shiftright("code", BITS)
+        of = count.groupBy(context.alias("c")).agg(F.sum("n").alias("of"))
+        kept = count.filter(F.col("n") >= prune * (whole.n or 0)).join(of, context == F.col("c"))
+        rows = kept.select("code", (F.greatest(F.lit(0.0), F.col("n") - discount) / F.col("of")).alias("share")).toPandas()  # 1 / prune rows at most
+        order = np.argsort(rows["code"].to_numpy(np.int64))
+        code, share = rows["code"].to_numpy(np.int64)[order], rows["share"].to_numpy(float)[order]
+        names, back = np.unique(code >> BITS, return_inverse=True)
+        out.append({"code": code, "share": share, "context": names, "rest": 1 - np.bincount(back, weights=share, minlength=len(names))})
+        above = count.select("code")
+    return out[::-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Model | float:
@@ -265,46 +286,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, text_col
     order = F.xxhash64("__id", F.lit(3))
     picked = own.filter("__y = 1").orderBy(order, "__id").limit(rows_per_class).unionByName(own.filter("__y = 0").orderBy(order, "__id").limit(rows_per_class))
     sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")  # 2 * rows_per_class rows at most
-
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, "__text"):
-                for doc, text, y in zip(part.column(0).to_pylist(), texts(part, "__text"), part.column(2).to_pylist()):
-                    n = Counter(words_of(text))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(n), pa.int64()), pa.array([y] * len(n), pa.int32()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["doc", "y", "word", "n"])
-
-    bags = sample.mapInArrow(run, "doc long, y int, word string, n long").withColumn("late", F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(4)) == 0)
-    counts = bags.filter("not late").groupBy("y", "word").agg(F.sum("n").alias("n")).toPandas()  # words of a bounded sample
+    sample = sample.groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    sample = stash(sample.withColumn("late", F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(4)) == 0), "labelled")
+    grams = counted(sample.filter("not late"), ORDER, "__text", "__y").toPandas()  # n-grams of a bounded sample
 
     def tops(y):
-        part = counts[counts["y"] == y]
-        cut = Counter()
-        for w, n in zip(part["word"], part["n"]):
-            for j in range(0, len(w), LETTERS):
-                cut[w[j : j + LETTERS]] += n
-        words = list(cut)
-        return gram_counts(words, np.fromiter(cut.values(), np.float64, len(words)), ORDER) if words else {}
-
-    model = Model(tops(1), tops(0), shared_counts(docs, text_col))
-    held = bags.filter("late").groupBy("doc", "y").agg(F.collect_list(F.struct("word", "n")).alias("bag"))
+        return {int(k): (g["code"].to_numpy()[o], g["n"].to_numpy()[o]) for k, g in grams[grams["y"] == y].groupby("k") for o in [np.argsort(g["code"].to_numpy())]}
+
+    model = Model(tops(1), tops(0), shared_levels(docs, text_col))
     state = model.bare()
 
     def measure(batches):
         m = _restore(state)
         for batch in batches:
-            y = batch.column(1)
-            x = m.features([[w["word"] for w in bag for _ in range(w["n"])] for bag in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([y, pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "a", "b"])
+            for part in pieces(batch, "__text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.comparisons([words_of(x) for x in texts(part, "__text")]))], ["y", "x"])
 
-    seen = held.mapInArrow(measure, "y int, a double, b double").toPandas()
+    seen = sample.filter("late").select("__y", "__text").mapInArrow(measure, "y int, x double").toPandas()  # a number for each row of a bounded sample
     y = seen["y"].to_numpy(float)
-    if y.min(initial=1) == y.max(initial=0) or not len(y):  # too few labelled rows to set one class aside: count evidence as it is
-        model.weights = np.array([-4.0, 1.0, 1.0])
-    else:
-        share = totals[1] / (totals[0] + totals[1])
-        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        # the fewer examples of the rarer class, the less is read into them
-        model.weights = logistic(seen[["a", "b"]].to_numpy(float), y, weight, ridge=1.0 / min(y.sum(), len(y) - y.sum()) ** 2)
+    share = totals[1] / (totals[0] + totals[1])
+    ones, zeros = max(y.sum(), 1), max((1 - y).sum(), 1)
+    weight = len(y) * np.where(y == 1, share / ones, (1 - share) / zeros)
+    model.weights = logistic(seen["x"].to_numpy(float), y, weight, (math.log(share / (1 - share)), SLOPE))
     return model
 
 
@@ -313,7 +316,7 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text", keep: l
     new = [("score", T.DoubleType()), ("predicted", T.IntegerType())]
     if isinstance(model, float):
         return (docs if keep is None else docs.select(*keep)).withColumns({"score": F.lit(model), "predicted": F.lit(int(model >= 0.5))})
-    state = docs.sparkSession.sparkContext.broadcast(model.bare())  # n-grams of a bounded sample over a fixed alphabet
+    state = docs.sparkSession.sparkContext.broadcast(model.bare())  # n-grams of a bounded sample, and 1 / PRUNE of each shared order at most
 
     def make(part: pa.RecordBatch) -> dict:
         s = _worker_model(state).scores([words_of(x) for x in texts(part, text_col)])
