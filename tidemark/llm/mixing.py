@@ -8,7 +8,8 @@ source follow each other) gets the training position t = D_s^-1(c), in closed fo
 
 Cumulative sizes inside a source follow a hash of the document, so the order is the same in every run. They are computed in two
 levels: sizes by (source, hash bucket), a window over those few rows, then a window inside each bucket. No source, however large,
-passes through one task, and the buckets grow in number with the rows.
+passes through one task, and the buckets grow in number with the rows. Sources are data too: they are put in order by range
+partitions and their targets found by sums, so that neither passes through one task or the driver.
 
 Defined results: null text has size 0; null is a source of its own, last in order; target 0 where nothing has words; an empty
 table gives an empty table; rows that repeat an id are told apart by a hash of their text, and alike rows share alike.
@@ -31,20 +32,35 @@ SHARE, MOST = 1.5, 2.0
 BUCKET_ROWS, MOST_BUCKETS = 500, 65_536
 
 
-def fill(sizes: list[float], weights: list[float], total: float, most: float = MOST) -> list[float]:
-    """Targets by weight, none above `most` times its size; the excess goes to the others by weight."""
-    targets, free = [0.0] * len(sizes), set(range(len(sizes)))
-    left = total
-    while free and left > 0:
-        unit = left / sum(weights[i] for i in free)
-        full = {i for i in free if weights[i] * unit >= most * sizes[i]}
-        for i in full or free:
-            targets[i] = most * sizes[i] if full else weights[i] * unit
-        if not full:
-            break
-        left -= sum(targets[i] for i in full)
-        free -= full
-    return targets
+def ranked(sums: DataFrame) -> DataFrame:
+    """`sums` (source and other columns) with place: 0, 1, ... by code point of source, null last. No task sees all sources."""
+    parts = sums.withColumn("__last", F.col("source").isNull()).repartitionByRange("__last", "source")
+    parts = stash(parts.withColumn("__part", F.spark_partition_id()), "sources")
+    counts = sorted((r["__part"], r["count"]) for r in parts.groupBy("__part").count().collect())  # a row for each partition
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    starts = sums.sparkSession.createDataFrame(before, "__part int, __before long")
+    inside = F.row_number().over(W.partitionBy("__part").orderBy("__last", "source")) - 1
+    return parts.withColumn("__inside", inside).join(starts, "__part").withColumn("place", (F.col("__before") + F.col("__inside")).cast("long")).drop("__part", "__last", "__inside", "__before")
+
+
+def water_level(sources: DataFrame, total: float, most: float) -> float | None:
+    """Tokens for each unit of weight, where a source's target is the lesser of weight times level and `most` times its size.
+
+    Sources (size n, weight) are summed anew until none is above its limit; only the sums reach the driver. None: all are at it.
+    """
+    level = 0.0
+    while True:
+        full = F.col("weight") * level >= most * F.col("n")
+        r = sources.agg(F.sum(F.when(full, most * F.col("n")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free")).first()
+        if not r.free or total <= 0:
+            return None if total > 0 else 0.0
+        new = (total - r.held) / r.free
+        if new <= level:
+            return level
+        level = new
 
 
 def sized(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", keep: tuple = ()) -> DataFrame:
@@ -64,22 +80,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     taken counts words, repeats included; position is the training time of the document's first token, in [0, 1], null where
     nothing is taken, and positions holds that of each copy. Schedules tilt by turns: even sources (in order) fade from 1 + tilt to 1 - tilt, odd ones rise likewise.
     """
-    spark = docs.sparkSession
     rows = stash(sized(docs, text_col, id_col, source_col, keep), "sized")
-    # one row for each source: sources are a setting of the mix, not data-sized
-    sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    sums.sort(key=lambda r: (r.source is None, r.source or ""))
-    targets = fill([float(r.n) for r in sums], [weights[i % len(weights)] for i in range(len(sums))], share * sum(r.n for r in sums), most)
-    buckets = max(64, min(MOST_BUCKETS, math.ceil(sum(r.rows for r in sums) / BUCKET_ROWS)))
-    plan = spark.createDataFrame(
-        [(r.source, int(r.n), float(t), tilt if i % 2 else -tilt) for i, (r, t) in enumerate(zip(sums, targets))], "source string, source_size long, target double, rise double"
-    )
+    sums = ranked(rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")))
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sums = stash(sums.withColumn("weight", weight), "weights")
+    whole = sums.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
+    level = water_level(sums, share * (whole.n or 0), most)
+    target = most * F.col("n") if level is None else F.least(F.col("weight") * level, most * F.col("n"))
+    buckets = max(64, min(MOST_BUCKETS, math.ceil((whole.rows or 0) / BUCKET_ROWS)))
+    plan = sums.select("source", F.col("n").alias("source_size"), target.alias("target"), F.when(F.col("place") % 2 == 0, -tilt).otherwise(tilt).alias("rise"))
     rows = rows.withColumn("bucket", F.pmod(F.col("turn"), F.lit(buckets)))
     whole = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = whole.select("source", "bucket", (F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")).alias("earlier"))
     inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("turn", "id", "size", *keep).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("inside", inside).join(before.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    placed = placed.withColumn("at", F.col("earlier") + F.col("inside")).join(F.broadcast(plan.withColumnRenamed("source", "p")), F.col("source").eqNullSafe(F.col("p")))
+    placed = placed.withColumn("at", F.col("earlier") + F.col("inside")).join(plan.withColumnRenamed("source", "p"), F.col("source").eqNullSafe(F.col("p")))
     # whole passes over the source, then the part of one more pass that the target still needs
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
