@@ -1,20 +1,22 @@
 """Operator 7, language ID: segmentation-marginalised unigrams over a fixed public vocabulary.
 
 A language gives each piece of the vocabulary a probability. The probability of a word is the sum over all its segmentations into
-pieces, by a forward algorithm; a text's is the product over its words (runs of letters, lower case). Piece probabilities are the
-expected counts of one forward-backward pass over the words of the language's training documents, under equal piece weights:
-all training documents take part, each task sums its own expected counts, and only sums by language and piece are shuffled.
-A letter that no piece holds is a piece of its own with a small fixed probability.
+pieces, by a forward algorithm; a text's is the product over its words (runs of letters, lower case, of any length). Piece
+probabilities are fitted by ROUNDS of expectation and maximisation from equal weights: training documents are reduced once to
+counts of words by language (a table in the shared folder), and each round is a forward-backward pass over that table, whose
+expected counts are summed by language and piece. A letter that no piece holds is a piece of its own with a small fixed probability.
 
 All words of a batch are segmented together in numpy: one table of substring hashes by length, one step for each end place. Word
 scores are kept in a cache of bounded size for each Python worker.
 
-Defined results: null texts and texts without a letter are `und` with score 0; null languages don't teach; without any training
-document every text is `und`; ties go to the language that sorts first; held_out is null for a null id.
+Defined results: null texts and texts without a letter (Unicode category L) are `und` with score 0; null languages don't teach;
+without any training document every text is `und`; ties go to the language that sorts first; rows that repeat an id each teach
+and are each predicted; an empty table gives an empty table; held_out is null for a null id.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -23,16 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, mix64, pieces, table, tenant, texts, with_arrow
-from .toxicity import in_fold, words_of
+from .common import column, discard, mix64, pieces, stash, table, tenant, texts, with_arrow
+from .toxicity import in_fold
 
-LETTERS = 32
-CACHE = 300_000
+#: Longest piece taken from the vocabulary; letters of a word above which sums are kept as logarithms.
+LETTERS, PLAIN = 32, 36
+#: Words whose scores a Python worker keeps, and the longest of them.
+CACHE, CACHED_LETTERS = 120_000, 64
 UNKNOWN = 1e-7
 SMOOTH = 0.05
+ROUNDS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The mark of a word's beginning in the vocabulary.
 BEGIN = "▁"
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; numbers such as ½ or ① aren't letters."""
+    found = _RUN.findall(text.lower())
+    return [x for w in found for x in ([w] if w.isalpha() else "".join([c if c.isalpha() else " " for c in w]).split())]
 
 
 def public_pieces(path: str) -> list[str]:
@@ -103,28 +115,51 @@ class Pieces:
                 alpha[:, j] += alpha[:, j - k] * p[spots[k - 1][:, j - k]]
         return alpha
 
-    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts (piece, column) of words with `counts` (word, column), pieces weighing alike."""
-        p = np.full((self.size + 2, 1), 1.0 / self.size)
-        p[self.size], p[self.size + 1] = 0.0, UNKNOWN
-        total = np.zeros((self.size + 2, counts.shape[1]))
+    def log_forward(self, spots: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """The logarithm of `forward`, for words of any length."""
+        n, m = spots[0].shape
+        alpha = np.zeros((n, m + 1, p.shape[1]))
+        for j in range(1, m + 1):
+            here = np.zeros((n, p.shape[1]))
+            for k in range(1, min(j, len(spots)) + 1):
+                here += np.exp(alpha[:, j - k] - alpha[:, j - 1]) * p[spots[k - 1][:, j - k]]
+            alpha[:, j] = alpha[:, j - 1] + np.log(here)
+        return alpha
+
+    def log_backward(self, spots: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        n, m = spots[0].shape
+        beta = np.zeros((n, m + 1, p.shape[1]))
+        for i in range(m - 1, -1, -1):
+            here = np.zeros((n, p.shape[1]))
+            for k in range(1, min(m - i, len(spots)) + 1):
+                here += np.exp(beta[:, i + k] - beta[:, i + 1]) * p[spots[k - 1][:, i]]
+            beta[:, i] = beta[:, i + 1] + np.log(here)
+        return beta
+
+    def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected piece counts of words that occur `counts` times, under piece probabilities p (pieces, no piece, unknown letter)."""
+        total = np.zeros(self.size + 2)
         for part in self.by_length(words):
             spots, length = self.spots([words[i] for i in part])
             n, m = spots[0].shape
-            alpha = self.forward(spots, p)[:, :, 0]
-            beta = np.zeros((n, m + 1))
-            lines = np.arange(n)
-            beta[lines, length] = 1.0
-            for i in range(m - 1, -1, -1):
-                for k in range(1, min(m - i, len(spots)) + 1):
-                    beta[:, i] += p[spots[k - 1][:, i], 0] * beta[:, i + k]
-            whole = alpha[lines, length]
+            if m > PLAIN:
+                alpha, beta = self.log_forward(spots, p[:, None])[:, :, 0], self.log_backward(spots, p[:, None])[:, :, 0]
+                whole = alpha[:, m]
+            else:
+                alpha = self.forward(spots, p[:, None])[:, :, 0]
+                beta = np.zeros((n, m + 1))
+                beta[:, m] = 1.0
+                for i in range(m - 1, -1, -1):
+                    for k in range(1, min(m - i, len(spots)) + 1):
+                        beta[:, i] += p[spots[k - 1][:, i]] * beta[:, i + k]
+                whole = alpha[:, m]
             for k, spot in enumerate(spots, 1):
-                share = alpha[:, : m - k + 1] * p[spot, 0] * beta[:, k:] / whole[:, None]
+                if m > PLAIN:
+                    share = np.exp(alpha[:, : m - k + 1] + beta[:, k:] - whole[:, None]) * p[spot]
+                else:
+                    share = alpha[:, : m - k + 1] * p[spot] * beta[:, k:] / whole[:, None]
                 on = share > 0
-                for c in range(counts.shape[1]):
-                    w = (share * counts[part, c][:, None])[on]
-                    total[:, c] += np.bincount(spot[on], weights=w, minlength=self.size + 2)
+                total += np.bincount(spot[on], weights=(share * counts[part][:, None])[on], minlength=self.size + 2)
         return total[: self.size]
 
     def scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -132,24 +167,22 @@ class Pieces:
         out = np.zeros((len(words), p.shape[1]))
         for part in self.by_length(words):
             spots, length = self.spots([words[i] for i in part])
-            out[part] = np.log(self.forward(spots, p)[np.arange(len(part)), length])
+            m = spots[0].shape[1]
+            out[part] = self.log_forward(spots, p)[:, m] if m > PLAIN else np.log(self.forward(spots, p)[:, m])
         return out
 
     @staticmethod
-    def by_length(words: list[str], rows: int = 8000):
+    def by_length(words: list[str], letters: int = 60_000):
+        """Places of words of equal length, about `letters` letters at a time."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(length, kind="stable")
         edge = np.flatnonzero(np.diff(length[order])) + 1
         for run in np.split(order, edge):
+            rows = max(1, letters // max(1, int(length[run[0]]))) if len(run) else 1
             for i in range(0, len(run), rows):
                 yield run[i : i + rows]
 
 
-def cut(words) -> list[list[str]]:
-    """Each word with the mark of its beginning, in pieces of LETTERS letters."""
-    return [[BEGIN + w] if len(w) < LETTERS else [(BEGIN + w)[j : j + LETTERS] for j in range(0, len(w) + 1, LETTERS)] for w in words]
-
-
 _at_work: dict = {}
 
 
@@ -161,28 +194,22 @@ def _pieces(names: list[str]) -> Pieces:
     return _at_work["pieces"]
 
 
-def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """{languages, pieces, p}: probabilities by piece and language, with the logarithm of each language's share of documents."""
-    names = public_pieces(vocabulary_path)
+def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, word, n): words of the documents of each language; word null: documents."""
 
     def run(batches):
-        v = _pieces(names)
+        tenant("language_id", _at_work.clear)
         bags: dict[str, Counter] = {}
         documents: Counter = Counter()
 
         def flush():
-            langs = sorted(bags)
-            every = list(set().union(*bags.values()))
-            if every:
-                counts = np.array([[bags[x].get(w, 0) for x in langs] for w in every], float)
-                parts = cut(every)
-                flat = [x for c in parts for x in c]
-                total = v.expected(flat, np.repeat(counts, [len(c) for c in parts], axis=0))
-                for i, x in enumerate(langs):
-                    at = np.flatnonzero(total[:, i])
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at, i])], ["lang", "piece", "n"])
+            for lang, bag in bags.items():
+                words = list(bag)
+                for i in range(0, len(words), 20_000):
+                    part = words[i : i + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([bag[w] for w in part], pa.int64())], ["lang", "word", "n"])
             x = list(documents)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array([-1] * len(x), pa.int32()), pa.array([float(documents[k]) for k in x], pa.float64())], ["lang", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array([None] * len(x), pa.string()), pa.array([documents[k] for k in x], pa.int64())], ["lang", "word", "n"])
             bags.clear()
             documents.clear()
 
@@ -195,19 +222,45 @@ def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col:
                     yield from flush()
         yield from flush()
 
-    taught = docs.filter(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, piece int, n double")
-    rows = taught.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()  # languages x pieces of the file at most
-    langs = sorted(rows["lang"].unique())
-    at = {x: i for i, x in enumerate(langs)}
-    counts, share = np.full((len(names), len(langs)), SMOOTH), np.zeros(len(langs))
-    for x, piece, n in zip(rows["lang"], rows["piece"], rows["n"]):
-        if piece < 0:
-            share[at[x]] = n
-        else:
-            counts[piece, at[x]] += n
+    rows = docs.filter(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, word string, n long")
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS) -> dict:
+    """{languages, pieces, p}: probabilities by piece and language, with the logarithm of each language's share of documents."""
+    names = public_pieces(vocabulary_path)
+    spark = docs.sparkSession
+    counts = stash(word_counts(docs, text_col, lang_col), "words")
+    share = {r["lang"]: r["n"] for r in counts.filter("word is null").collect()}  # a row for each language
+    langs = sorted(share)
     p = np.zeros((len(names) + 2, len(langs)))
-    p[:-2] = counts / counts.sum(axis=0) * (1 - UNKNOWN) if len(langs) else 0
-    p[-1] = UNKNOWN
+    p[:-2], p[-1] = 1.0 / len(names), UNKNOWN
+    for _ in range(rounds if langs else 0):
+        shared = spark.sparkContext.broadcast(p)  # pieces of the file x languages
+
+        def run(batches, shared=shared):
+            v, at = _pieces(names), {x: i for i, x in enumerate(langs)}
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                of = np.array(batch.column(0).to_pylist(), object)
+                words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
+                for lang in set(of.tolist()):
+                    on = np.flatnonzero(of == lang)
+                    got = v.expected([BEGIN + words[i] for i in on], n[on], shared.value[:, at[lang]])
+                    total[lang] = total[lang] + got if lang in total else got
+            for lang, got in total.items():
+                piece = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(piece), pa.string()), pa.array(piece.astype(np.int32)), pa.array(got[piece])], ["lang", "piece", "n"])
+
+        summed = counts.filter("word is not null").mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        rows = summed.toPandas()  # languages x pieces of the file at most
+        new = np.full((len(names), len(langs)), SMOOTH)
+        for i, x in enumerate(langs):
+            own = rows[rows["lang"] == x]
+            new[own["piece"].to_numpy(), i] += own["n"].to_numpy()
+        p[:-2] = new / new.sum(axis=0) * (1 - UNKNOWN)
+    discard(counts)
+    share = np.array([share[x] for x in langs], float)
     return {"languages": langs, "pieces": names, "p": p, "prior": np.log(share / share.sum()) if len(langs) else share}
 
 
@@ -229,20 +282,20 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
         row: dict[str, int] = _at_work["row"]
         every: set[str] = set()
         every.update(*rows)
-        new = list(every.difference(row))
-        if new:
-            split = cut(new)
-            got = _pieces(m["pieces"]).scores([x for c in split for x in c], m["p"])
-            if len(got) > len(new):
-                got = np.add.reduceat(got, np.cumsum([0, *map(len, split[:-1])]))
-            row.update(zip(new, range(len(row), len(row) + len(new))))
-            _at_work["table"] = np.concatenate([_at_work["table"], got])
+        new = sorted(every.difference(row), key=len)
+        scored = _pieces(m["pieces"]).scores([BEGIN + w for w in new], m["p"]) if new else np.zeros((0, len(langs)))
+        known = dict(zip(new, range(len(row), len(row) + len(new))))
+        values = np.concatenate([_at_work["table"], scored])
+        short = sum(len(w) <= CACHED_LETTERS for w in new)  # longer words aren't kept
+        at_row = {**row, **known} if short < len(new) else row
+        row.update((w, known[w]) for w in new[:short])
+        _at_work["table"] = values[: len(values) - len(new) + short]
         count = np.fromiter(map(len, rows), np.int64, len(rows))
-        at = np.concatenate([np.fromiter(map(row.__getitem__, w), np.int64, len(w)) for w in rows]) if rows else np.zeros(0, np.int64)
+        at = np.concatenate([np.fromiter(map(at_row.__getitem__, w), np.int64, len(w)) for w in rows]) if rows else np.zeros(0, np.int64)
         total = np.zeros((len(rows), len(langs)))
         full = np.flatnonzero(count)
         if len(full):
-            total[full] = np.add.reduceat(_at_work["table"][at], (np.cumsum(count) - count)[full])
+            total[full] = np.add.reduceat(values[at], (np.cumsum(count) - count)[full])
         total += m["prior"]
         best = total.argmax(axis=1)
         score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
