@@ -11,7 +11,8 @@ copies emits fewer than m links and costs about m comparisons, never all pairs.
 each pair of blocks is a task of its own. Components are found on links between fingerprints; a component is named by its smallest
 doc_id.
 
-Defined results: null text = no words = fingerprint zero; rows that repeat an id are separate rows with their own fingerprints;
+Defined results: null text = no words = fingerprint zero; a text is held by one task as a whole, its shingles 200,000 at a time; an
+empty table gives an empty table; other columns, whatever their names, aren't read; rows that repeat an id are separate rows with their own fingerprints;
 null ids get a fingerprint and the component of their class (null where no row of the component has an id).
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, stash, table, texts, with_arrow
+from .common import LOWER_AZ, discard, stash, table, tenant, texts, with_arrow
 from .components import components, thin
 
 BITS, BYTES = 3, 8
@@ -59,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", keep:
     """`docs` with __fp, the fingerprint's 64 bits as a signed long."""
 
     def make(part: pa.RecordBatch) -> dict:
+        tenant("simhash")
         raw = b"".join(fingerprint(x, words) for x in texts(part, text_col))
         return {"__fp": pa.array(np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64))}
 
@@ -66,24 +68,43 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", keep:
 
 
 def list_links(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside one posting list."""
-    out = []
-    open_ = np.arange(len(fps))
-    while len(open_) > 1:
-        front, open_ = open_[:1], open_[1:]
-        while len(front) and len(open_):
-            block, front = front[:64], front[64:]
-            x = fps[block][:, None] ^ fps[open_][None, :]
-            shared = (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=2)
-            hit = shared >= LEAST_SHARED
-            hit &= np.bitwise_count(x) <= BITS
-            found = hit.any(axis=0)
-            if found.any():
-                by = block[hit[:, found].argmax(axis=0)]
-                new = open_[found]
-                out += zip(ids[by].tolist(), ids[new].tolist())
-                open_ = open_[~found]
-                front = np.concatenate([front, new])
+    """A spanning forest of the links inside one posting list.
+
+    The list's own inverted index has a posting list for each positional byte that its entries don't all share. An entry's
+    postings are tallied; only entries that reach the minimum of shared bytes are verified by counting bits.
+    """
+    part = fps.view(np.uint8).reshape(-1, BYTES)
+    differ = np.flatnonzero((part != part[0]).any(axis=0))
+    need = LEAST_SHARED - (BYTES - len(differ))
+    postings = []
+    for p in differ.tolist():
+        order = np.argsort(part[:, p], kind="stable")
+        postings.append((p, order, np.searchsorted(part[order, p], np.arange(257))))
+    out, open_, left = [], np.ones(len(fps), bool), len(fps)
+    for root in range(len(fps)):
+        if not open_[root]:
+            continue
+        open_[root], left, front = False, left - 1, [root]
+        while front and left:
+            x = front.pop()
+            if need > 0:
+                posted = [order[edge[part[x, p]] : edge[part[x, p] + 1]] for p, order, edge in postings]
+                tally = np.bincount(np.concatenate(posted), minlength=len(fps)) if len(fps) <= 256 else None
+                if tally is None:
+                    near, count = np.unique(np.concatenate(posted), return_counts=True)
+                    near = near[count >= need]
+                else:
+                    near = np.flatnonzero(tally >= need)
+                near = near[open_[near]]
+            else:
+                near = np.flatnonzero(open_)
+            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= BITS]
+            open_[near] = False
+            left -= len(near)
+            front += near.tolist()
+            out += [(int(ids[x]), y) for y in ids[near].tolist()]
+        if not left:
+            break
     return out
 
 
@@ -149,7 +170,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, text_col: str = "text", id_
     roots = components(links(classes.select("fp", F.col("fp").alias("rep")), list_size))
     named = stash(classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
     least = stash(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = stash(named.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "named")
+    last = stash(named.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "components")
+    discard(classes, named, least)
+    named = last
     return own.join(named, "__fp", "left").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
