@@ -19,10 +19,10 @@ MODULES = {
 }
 
 
-def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+def query(name: str):
+    return getattr(import_module(f"{__package__}.{MODULES[name]}"), name)
 
 
-def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__package__}.{module}"), "ORACLE", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+def oracle(name: str) -> str | None:
+    """SQL of a query, None where SQL can't express it."""
+    return getattr(import_module(f"{__package__}.{MODULES[name]}"), "ORACLE", None)
