@@ -1,41 +1,72 @@
-"""Recursions in time that windows can't express, one series for each group: Holt-Winters, Monte Carlo, two-state regimes."""
+"""Recursions in time that windows can't express, one series for each group: Holt-Winters and two-state regimes."""
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed values of the model: smoothing weights that are tried.
+GRID = np.array([(a, b, g) for a in (0.1, 0.3, 0.5, 0.7) for b in (0.05, 0.1, 0.3) for g in (0.1, 0.3, 0.5)])
+
+
+def smooth(y: np.ndarray, period: int) -> tuple[float, float, np.ndarray, float, np.ndarray]:
+    """Level, trend, season and mean error of the best weights of GRID, and the one-step errors, all weights side by side.
+
+    The first season sets the state; the recursion and the errors start after it.
+    """
+    a, b, g = GRID.T
+    level, trend = np.full(len(GRID), y[:period].mean()), np.full(len(GRID), (y[period : 2 * period].mean() - y[:period].mean()) / period)
+    season = np.tile(y[:period] - y[:period].mean(), (len(GRID), 1))
+    errors = []
+    for i in range(period, len(y)):
+        s = season[:, i % period].copy()
+        errors.append(level + trend + s - y[i])
+        new = a * (y[i] - s) + (1 - a) * (level + trend)
+        trend = b * (new - level) + (1 - b) * trend
+        season[:, i % period] = g * (y[i] - new) + (1 - g) * s
+        level = new
+    e = np.array(errors)
+    best = int(np.abs(e).mean(axis=0).argmin())
+    return float(level[best]), float(trend[best]), season[best], float(np.abs(e[:, best]).mean()), e[:, best]
+
+
 def holt_winters(long: DataFrame, period: int = 7, horizon: int = 3) -> DataFrame:
-    """WN20: additive Holt-Winters; the smoothing weights of smallest one-step error out of a grid, all run side by side."""
-    grid = np.array([(a, b, g) for a in (0.1, 0.3, 0.5, 0.7) for b in (0.01, 0.1, 0.3) for g in (0.05, 0.1, 0.3)])
+    """WN20: additive Holt-Winters; the smoothing weights of smallest one-step error out of a grid. A series is one group."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("date")["value"].to_numpy(float)
+        name = pdf["series_id"].iloc[0]
         if len(y) < 2 * period:
-            return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "predicted": [float(y.mean())], "mae": [0.0], "n": [len(y)]})
-        a, b, g = grid.T
-        level, trend = np.full(len(grid), y[:period].mean()), np.full(len(grid), (y[period : 2 * period].mean() - y[:period].mean()) / period)
-        season = np.tile(y[:period] - y[:period].mean(), (len(grid), 1))
-        error = np.zeros(len(grid))
-        for i, x in enumerate(y):
-            s = season[:, i % period]
-            error += np.abs(level + trend + s - x)
-            new = a * (x - s) + (1 - a) * (level + trend)
-            trend = b * (new - level) + (1 - b) * trend
-            season[:, i % period] = g * (x - new) + (1 - g) * s
-            level = new
-        best = int(error.argmin())
-        out = level[best] + horizon * trend[best] + season[best, (len(y) + horizon - 1) % period]
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "predicted": [float(out)], "mae": [float(error[best] / len(y))], "n": [len(y)]})
+            return pd.DataFrame({"series_id": [name], "predicted": [float(y.mean())], "mae": [0.0], "n": [len(y)]})
+        level, trend, season, mae, _ = smooth(y, period)
+        return pd.DataFrame({"series_id": [name], "predicted": [level + horizon * trend + season[(len(y) + horizon - 1) % period]], "mae": [mae], "n": [len(y)]})
 
     return long.groupBy("series_id").applyInPandas(fit, "series_id string, predicted double, mae double, n long")
 
 
+def enhanced_report(long: DataFrame, periods: DataFrame, horizons: tuple = (1, 3, 7, 14), least: int = 14) -> DataFrame:
+    """WN23: Holt-Winters at the detected period (series_id, period) for several horizons, with a band of 1.96 deviations of its errors.
+
+    Series with fewer than `least` rows, or two periods, get no forecast.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, period = pdf.sort_values("date")["value"].to_numpy(float), int(pdf["period"].iloc[0])
+        if len(y) < max(least, 2 * period):
+            return pd.DataFrame({"series_id": [], "horizon": [], "predicted": [], "lower": [], "upper": []})
+        level, trend, season, _, errors = smooth(y, period)
+        out = []
+        for h in horizons:
+            x, band = level + h * trend + season[(len(y) + h - 1) % period], 1.96 * float(errors.std()) * h**0.5
+            out.append((pdf["series_id"].iloc[0], h, x, x - band, x + band))
+        return pd.DataFrame(out, columns=["series_id", "horizon", "predicted", "lower", "upper"])
+
+    return long.join(periods, "series_id").groupBy("series_id").applyInPandas(fit, "series_id string, horizon int, predicted double, lower double, upper double")
+
+
 def regimes(long: DataFrame, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """WN33: two-state Gaussian regimes by expectation maximisation with a Hamilton filter and a standard smoother."""
 
@@ -73,27 +104,3 @@ def regimes(long: DataFrame, rounds: int = 50, tolerance: float = 1e-4) -> DataF
         return pd.DataFrame({"series_id": pdf["series_id"], "date": pdf["date"], "p_high": post[:, int(mean.argmax())]})
 
     return long.groupBy("series_id").applyInPandas(fit, "series_id string, date date, p_high double")
-
-
-def monte_carlo(spark, start: float, drift: float, volatility: float, days: int = 30, paths: int = 500, seed: int = 42, shock: float = 0.0, half_life: float = 5.0) -> DataFrame:
-    """WN30: (sim_id, final, lowest) of simulated paths; a path's random numbers depend on seed + sim_id alone."""
-
-    def walk(batches):
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                r, x, low = random.Random(seed + int(i)), start, start
-                for t in range(days):
-                    x = min(100.0, max(0.0, x + drift + (shock * 0.5 ** (t / half_life) if shock else 0.0) + r.gauss(0, volatility)))
-                    low = min(low, x)
-                out.append((int(i), x, low))
-            yield pd.DataFrame(out, columns=["sim_id", "final", "lowest"])
-
-    return spark.range(paths).mapInPandas(walk, "sim_id long, final double, lowest double")
-
-
-def scenario_summary(paths: DataFrame, start: float) -> DataFrame:
-    """WN31: median, 5th and 95th place of the sorted finals, chance to end above the start."""
-    g = paths.agg(F.sort_array(F.collect_list("final")).alias("s"), F.avg((F.col("final") > start).cast("double")).alias("p_above"), F.count("*").alias("n"))  # one number for each simulation
-    place = lambda q: F.element_at("s", (F.floor(F.col("n") * q) + 1).cast("int"))
-    return g.select(place(0.5).alias("median"), place(0.05).alias("p05"), place(0.95).alias("p95"), "p_above", "n")

@@ -69,23 +69,33 @@ def risk(long: DataFrame, year: int = 252, risk_free: float = 0.025, q: float =
     )
 
 
-def volatility(daily: DataFrame, rows: int = 30) -> DataFrame:
-    """WN2: volatility index of the last `rows` days up to each day, from four parts with weights .35, .25, .20, .20."""
-    w = W.orderBy("date").partitionBy("series_id").rowsBetween(-(rows - 1), 0)
-    o = W.partitionBy("series_id").orderBy("date")
-    d = daily.withColumn("series_id", F.lit("all")).withColumn("step", F.abs(F.col("industry_count") - F.lag("industry_count").over(o)))
+def volatility(daily: DataFrame, days: int = 14) -> DataFrame:
+    """WN2: volatility index of the `days` calendar days before each day, from four parts with weights .35, .25, .20, .20.
+
+    Three days at least, else the index is 0 and the level unknown. ma7 is the mean sentiment of the last seven of those days.
+    There is one row for each day of history, so one task orders them.
+    """
+    o = W.partitionBy(F.lit(1)).orderBy(F.unix_date("date"))
+    w = o.rangeBetween(-days, -1)
+    d = daily.withColumn("step", F.abs(F.col("industry_count") - F.lag("industry_count").over(o)))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    d = d.withColumns({
+        "n": F.count("*").over(w), "sd": F.stddev_pop("sentiment_index").over(w), "pm": F.avg(F.abs("policy_stance_score")).over(w),
+        "steps": zero(F.sum("step").over(w).cast("double")) - zero(F.first("step").over(w).cast("double")), "dens": F.avg(F.col("event_count") / F.greatest(F.col("industry_count"), F.lit(1))).over(w),
+        "mean": F.avg("sentiment_index").over(w), "m7": F.avg("sentiment_index").over(o.rowsBetween(-7, -1)),
+    })
+    d = d.withColumn("iv", F.when(F.col("n") >= 2, F.col("steps") / (F.col("n") - 1)).otherwise(0.0))
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    parts = {
-        "sentiment_part": unit(F.stddev_pop("sentiment_index").over(w) / 30),
-        "policy_part": unit(F.avg(F.abs("policy_stance_score")).over(w) / 0.7),
-        "industry_part": unit(F.coalesce(F.avg("step").over(w), F.lit(0.0)) / 3),
-        "event_part": unit(F.avg(F.col("event_count") / F.greatest(F.col("industry_count"), F.lit(1))).over(w) / 5),
-    }
-    index = 100 * (0.35 * F.col("sentiment_part") + 0.25 * F.col("policy_part") + 0.2 * F.col("industry_part") + 0.2 * F.col("event_part"))
-    out = d.withColumns(parts).withColumn("volatility_index", index)
-    level = F.col("volatility_index")
-    name = F.when(level >= 80, "extreme").when(level >= 60, "high").when(level >= 40, "medium").when(level >= 20, "low").otherwise("calm")
-    return out.select("date", *parts, "volatility_index", F.avg("volatility_index").over(W.partitionBy("series_id").orderBy("date").rowsBetween(-6, 0)).alias("ma7"), name.alias("level"))
+    index = 100 * (0.35 * unit(F.col("sd") / 30) + 0.25 * unit(F.col("pm") / 0.7) + 0.2 * unit(F.col("iv") / 3) + 0.2 * unit(F.col("dens") / 5))
+    enough = F.col("n") >= 3
+    d = d.withColumn("volatility_index", F.when(enough, F.round(index, 1)).otherwise(0.0))
+    x = F.col("volatility_index")
+    level = F.when(~enough, "unknown").when(x >= 80, "extreme_fear").when(x >= 60, "fear").when(x >= 40, "neutral").when(x >= 20, "calm").otherwise("extreme_calm")
+    part = lambda c, k: zero(F.when(enough, F.round(c, k)))
+    return d.select(
+        "date", "volatility_index", level.alias("level"), part(F.when(F.col("n") >= 7, F.col("m7")).otherwise(F.col("mean")), 1).alias("ma7"), part(F.col("sd"), 3).alias("sentiment_vol"),
+        part(F.col("pm"), 3).alias("policy_vol"), part(F.col("iv"), 3).alias("industry_vol"), part(F.col("dens"), 3).alias("event_density"),
+    )
 
 
 def local_volatility(long: DataFrame, rows: int = 4) -> DataFrame:
@@ -257,5 +267,68 @@ def portfolio(returns_: DataFrame, weights: dict[str, float], every: int = 5) ->
     days = returns_.select("date").distinct().withColumn("i", F.row_number().over(W.orderBy("date")) - 1)
     d = returns_.join(F.broadcast(w), "industry").join(days, "date").withColumn("block", F.floor(F.col("i") / every) if every else F.lit(0))
     before = W.partitionBy("industry", "block").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("v", F.col("w") * F.coalesce(F.exp(F.sum(F.ln(1 + F.col("r"))).over(before)), F.lit(1.0)))
+    lost = F.coalesce(F.max((F.col("r") <= -1).cast("int")).over(before), F.lit(0))  # a total loss leaves nothing until the next reset
+    grown = F.coalesce(F.exp(F.sum(F.when(F.col("r") > -1, F.ln(1 + F.col("r")))).over(before)), F.lit(1.0))
+    d = d.withColumn("v", F.when(lost == 1, 0.0).otherwise(F.col("w") * grown))
     return d.groupBy("date").agg((F.sum(F.col("v") * F.col("r")) / F.sum("v")).alias("portfolio_return"))
+
+
+def load(long: DataFrame, usual: dict[str, float]) -> DataFrame:
+    """LD1: the series named in `usual`, null and zero values replaced by theirs."""
+    other = F.coalesce(*[F.when(F.col("series_id") == k, F.lit(x)) for k, x in usual.items()])
+    return long.withColumn("usual", other).filter("usual is not null").select("date", "series_id", F.coalesce(F.nullif("value", F.lit(0.0)), F.col("usual")).alias("value"))
+
+
+def underwater(returns_: DataFrame) -> DataFrame:
+    """WN7: (series_id, max_drawdown, longest_underwater): the value of 1 invested, its deepest fall below its top, and the most rows
+    in a row below it. Rows at the top start islands; the rest of an island is under water. A return of -1 ends at 0 and stays there.
+    """
+    grow = F.sum(F.when(F.col("r") > -1, F.ln(1 + F.col("r")))).over(_by())
+    lost = F.max((F.col("r") <= -1).cast("int")).over(_by())
+    d = returns_.withColumn("l", F.when(lost == 1, float("-inf")).otherwise(F.coalesce(grow, F.lit(0.0))))
+    d = d.withColumn("top", F.greatest(F.lit(0.0), F.max("l").over(_by())))
+    d = d.withColumns({"under": F.col("l") < F.col("top") - 1e-12, "fall": F.exp(F.col("l") - F.col("top")) - 1})
+    d = d.withColumn("island", F.sum((~F.col("under")).cast("int")).over(_by()))
+    runs = d.groupBy("series_id", "island").agg(F.count_if("under").alias("run"), F.min("fall").alias("fall"))
+    return runs.groupBy("series_id").agg(F.least(F.lit(0.0), F.min("fall")).alias("max_drawdown"), F.max("run").alias("longest_underwater"))
+
+
+def detect_periods(long: DataFrame, candidates: tuple = (5, 7, 14, 30), usual: int = 7, least: int = 30) -> DataFrame:
+    """WN21: (series_id, period): the lag of largest absolute autocorrelation, the first if tied; `usual` for short series."""
+    x = F.col("value")
+    d = long.withColumns({f"lag{p}": F.lag("value", p).over(_by()) for p in candidates})
+    g = d.groupBy("series_id").agg(F.count("*").alias("n"), *[F.corr(F.col(f"lag{p}"), x).alias(f"c{p}") for p in candidates])
+    rows = F.array(*[F.struct(F.round(-F.abs(F.coalesce(F.nanvl(f"c{p}", F.lit(0.0)), F.lit(0.0))), 9).alias("c"), F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(candidates)])
+    best = F.array_sort(rows)[0]
+    return g.select("series_id", F.when((F.col("n") < least) | (best["c"] == 0), usual).otherwise(best["p"]).alias("period"))
+
+
+def capture_report(returns_: DataFrame, main: str, bench: str) -> DataFrame:
+    """WN11, WN9: mean return of the main series on days when the benchmark rose and fell, joined by date."""
+    m, b = returns_.filter(F.col("series_id") == main).select("date", "r"), returns_.filter(F.col("series_id") == bench).select("date", F.col("r").alias("b"))
+    return m.join(b, "date").agg(F.lit(main).alias("main"), F.lit(bench).alias("benchmark"), F.avg(F.when(F.col("b") > 0, F.col("r"))).alias("up_capture"), F.avg(F.when(F.col("b") < 0, F.col("r"))).alias("down_capture"), F.count("*").alias("n"))
+
+
+def best_worst(reports: DataFrame) -> DataFrame:
+    """WN39: the horizons of best and worst direction of each series, the first one if tied."""
+    return reports.groupBy("series_id").agg(F.min_by("horizon", F.struct(-F.round("direction", 9), F.col("horizon"))).alias("best"), F.min_by("horizon", F.struct(F.round("direction", 9), F.col("horizon"))).alias("worst"))
+
+
+def keyword_changes(keywords: DataFrame, most: int = 20) -> DataFrame:
+    """WN37: (date, change, keywords): new and vanished keywords of each day against the day before, sorted, `most` at most."""
+    today, before = keywords.select("date", "keyword").distinct(), keywords.select(F.date_add("date", 1).alias("date"), "keyword").distinct()
+    new, gone = today.join(before, ["date", "keyword"], "left_anti").withColumn("change", F.lit("new")), before.join(today, ["date", "keyword"], "left_anti").withColumn("change", F.lit("vanished"))
+    rank = F.row_number().over(W.partitionBy("date", "change").orderBy("keyword"))
+    return new.unionByName(gone).withColumn("r", rank).filter(F.col("r") <= most).groupBy("date", "change").agg(F.array_join(F.array_sort(F.collect_list("keyword")), ",").alias("keywords"))
+
+
+#: Fixed values of the model: scenarios with their shocks to sentiment, policy and industries, factor on volatility, and days.
+SCENARIOS = [
+    ("rate_cut_50bp", 8.0, 0.20, 1.5, 1.2, 30), ("rate_hike_25bp", -6.0, -0.15, -0.8, 1.4, 30), ("property_crisis", -15.0, -0.30, -2.0, 1.8, 60), ("export_boom", 5.0, 0.10, 0.8, 0.9, 30),
+    ("geopolitical_shock", -10.0, -0.05, -1.0, 1.6, 45), ("ai_breakthrough", 12.0, 0.10, 2.5, 1.3, 60), ("baseline", 0.0, 0.0, 0.0, 1.0, 30),
+]
+
+
+def scenarios(spark) -> DataFrame:
+    """WN32: the catalogue as a table."""
+    return spark.createDataFrame(SCENARIOS, "scenario string, sentiment double, policy double, industries double, vol_mult double, horizon int")

@@ -25,35 +25,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-SIGNALS = """sig AS (SELECT date, 'sentiment' AS signal, .35e0 AS weight, greatest(-1, least(1, (sentiment_index - 50) / 50)) AS score FROM daily_metric
- UNION ALL SELECT date, 'policy', .3e0, greatest(-1, least(1, policy_stance_score / .7e0)) FROM daily_metric UNION ALL SELECT date, 'attention', .15e0, greatest(-1, least(1, 1 - 2 * attention_entropy)) FROM daily_metric
- UNION ALL SELECT date, 'events', .2e0, greatest(-1, least(1, -event_count * 1e0 / greatest(article_count, 1))) FROM daily_metric)"""
-
-
-def signals(spark, sf_dir):
-    return d.signals(v.daily_metric(spark, sf_dir))
-
-
-@query("sg02_decision_board", f"""{SIGNALS}, g AS (SELECT date, greatest(-1, least(1, sum(score * weight) / sum(weight))) AS s, avg(abs(score) * weight) AS m, stddev_pop(abs(score) * weight) AS sd, sum(abs(score) * weight) AS t FROM sig GROUP BY date),
-c AS (SELECT *, .6e0 * CASE WHEN m > 0 THEN greatest(0, 1 - sd / m) ELSE 0 END + .4e0 * least(1, t / .6e0) AS c FROM g)
-SELECT date, round(s, 6) AS score, round(c, 6) AS confidence, CASE WHEN s >= .3 AND c >= .55 THEN 'buy' WHEN s <= -.3 AND c >= .55 THEN 'sell' ELSE 'hold' END AS action FROM c""")
-def decision_board(spark, sf_dir):
-    return d.decide(signals(spark, sf_dir))
-
-
-@query("sh01_attribution", f"""{SIGNALS}, c AS (SELECT date, signal, weight / sum(weight) OVER (PARTITION BY date) * (score - avg(score) OVER (PARTITION BY signal)) AS c FROM sig)
-SELECT date, signal, round(c, 6) AS contribution, CASE WHEN c > .005 THEN 'up' WHEN c < -.005 THEN 'down' ELSE 'flat' END AS direction FROM c""")
-def attribution(spark, sf_dir):
-    return d.attribution(signals(spark, sf_dir))
-
-
-@query("cn01_council", """p AS (SELECT date, unnest([{'s': CASE WHEN sentiment_index >= 25 THEN 1 ELSE 0 END, 'c': .7e0}, {'s': CASE WHEN sentiment_index < 20 THEN -1 ELSE 0 END, 'c': .6e0}, {'s': CASE WHEN policy_stance_score > 0 THEN 1 ELSE 0 END, 'c': .8e0},
- {'s': CASE WHEN attention_entropy > .9 THEN -1 ELSE 0 END, 'c': .5e0}]) AS x FROM daily_metric), g AS (SELECT date, sum(x.s * x.c) / sum(x.c) AS m, 1 - (count(DISTINCT x.s) - 1) / count(*) AS c FROM p GROUP BY date)
-SELECT date, round(m, 6) AS mean_stance, round(c, 6) AS consensus, CASE WHEN m > .2 THEN 'bullish' WHEN m < -.2 THEN 'bearish' ELSE 'neutral' END AS verdict FROM g""")
-def council(spark, sf_dir):
-    return d.council(v.daily_metric(spark, sf_dir))
-
-
 @query("j02_ca01_lagged_effect", """c AS (SELECT DISTINCT date, event_type AS category FROM e), l AS (SELECT category, date, lag FROM c, (SELECT unnest([1, 3, 7]) AS lag)),
 g AS (SELECT category, lag, avg(a.sentiment_index - b.sentiment_index) AS effect, count(*) AS n FROM l JOIN daily_metric b ON b.date = l.date JOIN daily_metric a ON a.date = l.date + lag GROUP BY ALL)
 SELECT category, CAST(lag AS INT) AS lag, round(effect, 6) AS effect, n, row_number() OVER (PARTITION BY category ORDER BY round(abs(effect), 9) DESC, lag) = 1 AS best FROM g""")
@@ -68,27 +39,12 @@ def market_summary(spark, sf_dir):
     return d.market_summary(p, "brand", "p_name", "change")
 
 
-@query("ag16_snapshot", "SELECT round(avg(sentiment_index), 6) AS sentiment, round(avg(policy_stance_score), 6) AS policy, round(avg(attention_entropy), 6) AS entropy, CAST(sum(article_count) AS BIGINT) AS articles, count(*) AS n_days FROM daily_metric")
-def snapshot(spark, sf_dir):
-    m = v.daily_metric(spark, sf_dir)
-    return m.agg(F.avg("sentiment_index").alias("sentiment"), F.avg("policy_stance_score").alias("policy"), F.avg("attention_entropy").alias("entropy"), F.sum("article_count").alias("articles"), F.count("*").alias("n_days"))
-
-
 @query("ag18_industry_weights", "t AS (SELECT industry, sum(hit_count) AS h FROM industry_daily GROUP BY industry ORDER BY h DESC, industry LIMIT 20) SELECT industry, CAST(h AS BIGINT) AS hits, round(h / sum(h) OVER (), 6) AS weight FROM t")
 def industry_weights(spark, sf_dir):
     top = v.industry_daily(spark, sf_dir).groupBy("industry").agg(F.sum("hit_count").alias("hits")).orderBy(F.desc("hits"), "industry").limit(20)
     return top.crossJoin(F.broadcast(top.agg(F.sum("hits").alias("all")))).select("industry", "hits", (F.col("hits") / F.col("all")).alias("weight"))  # one row on the right
 
 
-PATTERNS = {"evidence": "[0-9]+", "logic": "tion|ment", "clarity": r"\.", "risk": "ung|aux", "action": "ing|que"}
-
-
-@query("jd01_judge", "s AS (SELECT doc_id, unnest([" + ", ".join(f"least(1, len(regexp_extract_all(text, '{p}')) / greatest(1, length(text) / 200))" for p in PATTERNS.values()) + """]) AS s FROM articles), g AS (SELECT doc_id, avg(s) AS o, greatest(0, 1 - 2.5e0 * stddev_pop(s)) AS c FROM s GROUP BY doc_id)
-SELECT doc_id, round(o, 6) AS overall, round(c, 6) AS consensus, o >= .65 AND c >= .4 AS passed FROM g""")
-def judge(spark, sf_dir):
-    return d.judge(v.articles(spark, sf_dir), PATTERNS)
-
-
 EDGES = f"{ENTITY}, ed AS (SELECT a.value AS src, b.value AS dst, count(*) AS weight FROM ent0 a JOIN ent0 b ON a.doc_id = b.doc_id AND a.value < b.value GROUP BY ALL HAVING count(*) >= 2), gr AS (SELECT DISTINCT value AS node, type AS grp FROM ent0)"
 
 
@@ -131,8 +87,3 @@ def holt_winters(spark, sf_dir):
 @query("wn33_regimes")
 def regimes(spark, sf_dir):
     return k.regimes(long(spark, sf_dir))
-
-
-@query("wn30_wn31_scenario")
-def scenario(spark, sf_dir):
-    return k.scenario_summary(k.monte_carlo(spark, 50.0, 0.1, 1.5, shock=-5.0), 50.0)
