@@ -20,14 +20,20 @@ def word_frequency(docs: DataFrame, top: int = 50) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
 
 
-def tfidf(docs: DataFrame, least: int = 2) -> DataFrame:
-    """(doc_id, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 in each document."""
-    tf = postings(docs, least=least)
+def weigh(tf: DataFrame, n: int) -> DataFrame:
+    """(doc_id, term, df, weight) of postings: tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 in each document.
+
+    One join on terms and one window over each document's terms; other columns of the postings pass through.
+    """
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))  # one row on the right
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
+    return w.withColumn("weight", F.col("w") / norm).drop("w", "tf")
+
+
+def tfidf(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(doc_id, term, df, weight) of all documents. The postings' two readers share one shuffle."""
+    return weigh(postings(docs, least=least), docs.count())
 
 
 def tfidf_keywords(docs: DataFrame, top: int = 20) -> DataFrame:
@@ -37,12 +43,32 @@ def tfidf_keywords(docs: DataFrame, top: int = 20) -> DataFrame:
 
 def fuse(a: DataFrame, b: DataFrame, alpha: float = 0.5, top: int = 20) -> DataFrame:
     """AG7: two keyword scores (term, score), each scaled by its largest, added with weights alpha and 1 - alpha."""
-    m = a.agg(F.max("score")).first()[0] or 1.0, b.agg(F.max("score")).first()[0] or 1.0
-    both = a.select("term", (F.col("score") / m[0]).alias("x")).join(b.select("term", (F.col("score") / m[1]).alias("y")), "term", "full_outer")
+
+    def scaled(df, name):
+        most = df.agg(F.max("score").alias("most"))
+        return df.crossJoin(F.broadcast(most)).select("term", (F.col("score") / F.when(F.col("most") == 0, 1.0).otherwise(F.col("most"))).alias(name))  # one row on the right
+
+    both = scaled(a, "x").join(scaled(b, "y"), "term", "full_outer")
     score = alpha * F.coalesce("x", F.lit(0.0)) + (1 - alpha) * F.coalesce("y", F.lit(0.0))
     return both.select("term", score.alias("score")).orderBy(F.desc(F.round("score", 6)), "term").limit(top)
 
 
+def textrank_edges(docs: DataFrame, window: int = 3) -> DataFrame:
+    """AG6 (input): (src, dst, weight) of unlike words less than `window` places apart, src < dst.
+
+    The words of each document stand in a row. Each window of `window` words adds 1 for each ordered pair of places, so an edge
+    gains 2 for every window that holds both words; two words d places apart share window - d windows (fewer at the ends).
+    """
+    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= window).select("t", F.posexplode("t").alias("i", "a"), F.size("t").alias("n"))
+    rows = None
+    for d in range(1, window):
+        # windows start at 0 .. n - window; those that hold i and i + d start at max(0, i + d - window + 1) .. min(i, n - window)
+        windows = F.least(F.col("i"), F.col("n") - window) - F.greatest(F.lit(0), F.col("i") + d - window + 1) + 1
+        x = t.filter(F.col("i") + d < F.col("n")).select("a", F.element_at("t", F.col("i") + d + 1).alias("b"), (2 * windows).cast("long").alias("w"))
+        rows = x if rows is None else rows.unionByName(x)
+    return rows.filter("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("weight"))
+
+
 def lexicon_matches(docs: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     """AG3, J1: by group, all occurrences of the first listed keyword that each text contains; hits and documents."""
     per = [F.coalesce(*[F.when(F.contains("text", F.lit(k)), count_of(F.col("text"), k)) for k in keys]) for keys in lexicon.values()]
@@ -78,20 +104,84 @@ def relations(found: DataFrame, least: int = 2) -> DataFrame:
     return a.join(b, "doc_id").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 
-def jaccard(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """SM1: (i, j, sim) of token sets that share a token; sizes and shared tokens by joins on terms."""
-    terms = postings(docs).select("doc_id", "term")
-    size = terms.groupBy("doc_id").agg(F.count("*").alias("n"))
-    both = terms.withColumnRenamed("doc_id", "i").join(terms.withColumnRenamed("doc_id", "j"), "term").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("shared"))
-    sim = F.col("shared") / (F.col("a.n") + F.col("b.n") - F.col("shared"))
-    return both.join(size.alias("a"), F.col("i") == F.col("a.doc_id")).join(size.alias("b"), F.col("j") == F.col("b.doc_id")).select("i", "j", sim.alias("sim")).filter(F.col("sim") > least)
+def classes(docs: DataFrame, key: F.Column) -> DataFrame:
+    """(doc_id, rep): the smallest doc_id of the documents with the same key. Copies are one class, so they meet nobody twice."""
+    k = docs.select("doc_id", key.alias("k"))
+    return k.join(k.groupBy("k").agg(F.min("doc_id").alias("rep")), "k").select("doc_id", "rep")
 
 
-def cosine(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """SM2: (i, j, sim) of TF-IDF vectors, by a join on shared terms."""
+def jaccard(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """SM1: (i, j, sim), i < j, of documents whose sets of tokens share `least` of their union; each document is a set of its own.
+
+    Prefix filter: terms are put in order from rare to frequent; sets of n terms that share that much have a term in common among
+    their first n - ceil(least n) + 1. Only those are joined, so frequent words make no pairs; candidates are then compared whole.
+    """
+    terms = postings(docs).select("doc_id", "term")
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    sets = terms.join(df, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("s"))  # the terms of one document
+    sets = sets.select("doc_id", F.transform("s", lambda x: x["term"]).alias("t")).withColumn("n", F.size("t"))
+    first = sets.select("doc_id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("term"))
+    a, b = first.select("term", F.col("doc_id").alias("i"), F.col("n").alias("x")), first.select("term", F.col("doc_id").alias("j"), F.col("n").alias("y"))
+    pairs = a.join(b, "term").filter((F.col("i") < F.col("j")) & (F.least("x", "y") >= F.greatest("x", "y") * least - 1e-9)).select("i", "j").distinct()
+    both = pairs.join(sets.select(F.col("doc_id").alias("i"), F.col("t").alias("a")), "i").join(sets.select(F.col("doc_id").alias("j"), F.col("t").alias("b")), "j")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select("i", "j", (shared / (F.size("a") + F.size("b") - shared)).alias("sim")).filter(F.col("sim") >= least - 1e-9)
+
+
+def cosine(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """SM2: (i, j, sim), i < j, of documents whose TF-IDF vectors have a cosine of `least` or more.
+
+    Prefix filter: from the most frequent term on, terms whose weights together stay shorter than `least` can't make a pair by
+    themselves; only the others are joined, and candidates' products are then summed over all terms.
+    """
     w = tfidf(docs)
+    upto = F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("doc_id").orderBy(F.desc("df"), "term"))
+    first = w.withColumn("upto", upto).filter(F.col("upto") >= least * least - 1e-9).select("doc_id", "term")
+    pairs = first.withColumnRenamed("doc_id", "i").join(first.withColumnRenamed("doc_id", "j"), "term").filter("i < j").select("i", "j").distinct()
     a, b = w.select(F.col("doc_id").alias("i"), "term", F.col("weight").alias("x")), w.select(F.col("doc_id").alias("j"), "term", F.col("weight").alias("y"))
-    return a.join(b, "term").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).filter(F.col("sim") >= least)
+    return pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).filter(F.col("sim") >= least - 1e-9)
+
+
+def greedy(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+    """DD2: documents of similar pairs (i < j) that go when documents are taken in order and a kept one drops later similar ones.
+
+    A document is kept once none of its earlier neighbours is kept or open, and dropped once one is kept. Each round settles the
+    earliest open documents of all groups at once; a round is two joins, and its state is written to the checkpoint folder.
+    """
+    pairs = pairs.select("i", "j")
+    state = pairs.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct().withColumn("state", F.lit(0))  # 0 open, 1 kept, 2 dropped
+    for _ in range(rounds):
+        before = pairs.join(state.select(F.col("doc_id").alias("i"), "state"), "i").groupBy(F.col("j").alias("doc_id")).agg(F.max((F.col("state") == 1).cast("int")).alias("kept"), F.max((F.col("state") == 0).cast("int")).alias("open"))
+        new = F.when(F.col("state") != 0, F.col("state")).when(F.col("kept") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
+        state = settle(state.join(before, "doc_id", "left").select("doc_id", new.alias("state")))
+        if state.filter("state = 0").isEmpty():
+            return state.filter("state = 2").select("doc_id")
+    raise RuntimeError("greedy selection did not settle")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage through the session's checkpoint folder."""
+    from .views import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def full_dedup(docs: DataFrame, least: float = 0.85) -> DataFrame:
+    """DD3: DD1 by title, then DD2 by content; documents (doc_id, title, text)."""
+    one = dedup_titles(docs)
+    return one.join(greedy(cosine(one.select("doc_id", "text"), least)), "doc_id", "left_anti")
+
+
+def pair_similarity(pairs: DataFrame, least: float = 0.7) -> DataFrame:
+    """DD4: (pair_id, sim, duplicate) of pairs of short texts (pair_id, a, b): cosine of TF-IDF over the two texts alone."""
+    side = lambda c, n: pairs.select("pair_id", F.explode(tokens(F.col(c))).alias("term"), F.lit(n).alias("n"))
+    tf = side("a", 1).unionByName(side("b", 2)).groupBy("pair_id", "term").agg(F.count_if(F.col("n") == 1).alias("x"), F.count_if(F.col("n") == 2).alias("y"))
+    idf = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(F.ln(F.lit(1.5)) + 1)
+    g = tf.withColumns({"u": F.col("x") * idf, "v": F.col("y") * idf}).groupBy("pair_id").agg(F.sum(F.col("u") * F.col("v")).alias("d"), F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("p"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("q"))
+    sim = F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("d") / (F.col("p") * F.col("q"))).otherwise(0.0)
+    out = pairs.select("pair_id").join(g.select("pair_id", sim.alias("sim")), "pair_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    return out.withColumn("duplicate", F.round("sim", 9) >= least)
 
 
 def dedup_titles(docs: DataFrame) -> DataFrame:
@@ -101,14 +191,21 @@ def dedup_titles(docs: DataFrame) -> DataFrame:
 
 
 def lexical_search(docs: DataFrame, queries: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:
-    """RT1: top documents of each query (query_id, text) by TF-IDF cosine, fitted on corpus and queries; score at least `least`."""
-    both = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text").unionByName(queries.select(F.concat(F.lit("q"), "query_id").alias("doc_id"), "text"))
-    w = tfidf(both)
-    q, d = w.filter("doc_id like 'q%'").select(F.col("doc_id").alias("q"), "term", F.col("weight").alias("x")), w.filter("doc_id like 'd%'").select("doc_id", "term", "weight")
-    score = q.join(d, "term").groupBy("q", "doc_id").agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
-    ranked = score.select(F.expr("bigint(substring(q, 2))").alias("query_id"), F.expr("bigint(substring(doc_id, 2))").alias("doc_id"), "score")
+    """RT1: top documents of each query (query_id, text) by TF-IDF cosine, fitted on corpus and queries; score at least `least`.
+
+    Texts are read into postings once; the join on terms brings the document frequency and whether a query asks for the term, so
+    that after lengths are known only asked postings go on.
+    """
+    tf = postings(docs.select(F.struct(F.lit(False).alias("asks"), F.col("doc_id").alias("id")).alias("doc_id"), "text").unionByName(queries.select(F.struct(F.lit(True).alias("asks"), F.col("query_id").alias("id")).alias("doc_id"), "text")))
+    n = docs.count() + queries.count()
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.max("doc_id.asks").alias("asked"))
+    w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
+    w = w.select("doc_id", "term", "asked", (F.col("w") / norm).alias("weight")).filter("asked")
+    q, d = w.filter("doc_id.asks").select(F.col("doc_id.id").alias("query_id"), "term", F.col("weight").alias("x")), w.filter("not doc_id.asks").select(F.col("doc_id.id").alias("doc_id"), "term", "weight")
+    score = q.join(d, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id"))
-    return ranked.withColumn("rank", rank).filter((F.col("rank") <= top) & (F.col("score") >= least))
+    return score.withColumn("rank", rank).filter((F.col("rank") <= top) & (F.col("score") >= least))
 
 
 def co_occurrence(docs: DataFrame, word: str, window: int = 5, top: int = 20) -> DataFrame:
@@ -141,7 +238,8 @@ def hash_embedding(docs: DataFrame, size: int = 256) -> DataFrame:
     """FN27: (doc_id, bucket, weight): hashed character 3-grams (weight 1) and word bigrams (weight 1.5), scaled to length 1."""
     d = docs.select("doc_id", F.lower("text").alias("s"))
     number = F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long")
-    grams = d.filter(F.length("s") >= 3).select("doc_id", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 2)).alias("i")).select("doc_id", F.col("s").substr(F.col("i"), F.lit(3)).alias("g"))
+    chars = d.filter(F.length("s") >= 3).select("doc_id", F.split("s", "").alias("c"))  # a letter is one step away, however long the text
+    grams = chars.select("doc_id", F.explode(F.transform(F.slice("c", F.lit(1), F.size("c") - 2), lambda x, i: F.concat(x, F.element_at("c", i + 2), F.element_at("c", i + 3)))).alias("g"))
     words = d.select("doc_id", F.filter(F.split("s", r"[ \t\n\r]+"), lambda w: w != "").alias("w")).filter(F.size("w") >= 2)
     pairs = words.select("doc_id", F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
     raw = grams.select("doc_id", (number % size).alias("bucket"), F.lit(1.0).alias("w"))

@@ -59,14 +59,6 @@ def quality(spark, sf_dir):
     return v.articles(spark, sf_dir).select("doc_id", x.quality(F.col("title"), F.col("text"), QUALITY_WORDS, SPAM).alias("quality"))
 
 
-@query("fn10_clean_html", "h AS (SELECT page_id, " + "".join("regexp_replace(" for _ in range(10)) + "html" + "".join(f", '(?is)<{tag}\\b.*?</{tag}>', ' ', 'g')" for tag in ("script", "style", "nav", "footer", "header", "aside", "iframe", "noscript", "form", "svg")) + r""" AS h FROM pages),
-c AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS c FROM h)
-SELECT page_id, md5(CASE WHEN length(c) > 8000 THEN left(c, 8000) || '...' ELSE c END) AS text_md5, CAST(length(CASE WHEN length(c) > 8000 THEN left(c, 8000) || '...' ELSE c END) AS INT) AS n FROM c""")
-def clean_html(spark, sf_dir):
-    c = v.table(spark, sf_dir, "pages").select("page_id", x.clean_html(F.col("html")).alias("c"))
-    return c.select("page_id", F.md5("c").alias("text_md5"), F.length("c").alias("n"))
-
-
 @query("fn13_event_category", "SELECT doc_id, CASE " + " ".join(f"WHEN {has('text', k)} THEN '{n}'" for n, k in RULES) + " ELSE 'other' END AS category FROM articles")
 def event_category(spark, sf_dir):
     return v.articles(spark, sf_dir).select("doc_id", x.first_rule(F.col("text"), RULES).alias("category"))
@@ -91,14 +83,14 @@ def json_object(spark, sf_dir):
     return e.select("event_id", F.get_json_object(x.json_object(said), "$.k").alias("k"))
 
 
-@query("fn27_hash_embedding", r"""b AS (SELECT item_id, lower(text) AS s FROM benchmark),
-g AS (SELECT item_id, CAST('0x' || substr(md5(substr(s, CAST(i AS INT), 3)), 1, 8) AS BIGINT) % 256 AS bucket, 1.0e0 AS w FROM b, LATERAL (SELECT unnest(range(1, greatest(1, length(s) - 1))) AS i)),
+@query("fn27_hash_embedding", r"""b AS (SELECT doc_id AS item_id, lower(text) AS s FROM articles),
+c AS (SELECT item_id, string_split(s, '') AS c FROM b WHERE length(s) >= 3), u AS (SELECT item_id, unnest([c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)]) AS gram FROM c), g AS (SELECT item_id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 256 AS bucket, 1.0e0 AS w FROM u),
 t AS (SELECT item_id, list_filter(regexp_split_to_array(s, '[ \t\n\r]+'), lambda z: z <> '') AS l FROM b),
-p AS (SELECT item_id, (CAST('0x' || substr(md5(l[CAST(i AS INT)] || ' ' || l[CAST(i AS INT) + 1]), 1, 8) AS BIGINT) * 7) % 256 AS bucket, 1.5e0 AS w FROM t, LATERAL (SELECT unnest(range(1, greatest(1, len(l)))) AS i)),
+v AS (SELECT item_id, unnest([l[i] || ' ' || l[i + 1] FOR i IN range(1, len(l))]) AS gram FROM t WHERE len(l) >= 2), p AS (SELECT item_id, (CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) * 7) % 256 AS bucket, 1.5e0 AS w FROM v),
 r AS (SELECT item_id, bucket, sum(w) AS w FROM (SELECT * FROM g UNION ALL SELECT * FROM p) GROUP BY ALL)
 SELECT item_id, CAST(bucket AS INT) AS bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM r""")
 def hash_embedding(spark, sf_dir):
-    return t.hash_embedding(items(spark, sf_dir)).withColumnRenamed("doc_id", "item_id")
+    return t.hash_embedding(v.articles(spark, sf_dir)).withColumnRenamed("doc_id", "item_id")
 
 
 @query("fn28_snk09_cache_keys", "SELECT doc_id, substr(sha256(text), 1, 16) AS text_key, substr(sha256(concat_ws('|', '2024-01-01', 'summary', source, lang)), 1, 24) AS cache_key FROM articles")
@@ -148,23 +140,6 @@ def index_quantiles(spark, sf_dir):
     return t.index_quantiles(v.events(spark, sf_dir), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-BENCH = "src AS (SELECT item_id AS doc_id, text FROM benchmark)"
-
-
-def items(spark, sf_dir):
-    return v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-
-
-@query("sm01_jaccard", f"{BENCH}, {TOKENS}, d AS (SELECT DISTINCT doc_id, term FROM tok), z AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id), c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared FROM d a JOIN d b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL) SELECT i, j, round(shared / (a.n + b.n - shared), 6) AS sim FROM c JOIN z a ON i = a.doc_id JOIN z b ON j = b.doc_id")
-def jaccard(spark, sf_dir):
-    return t.jaccard(items(spark, sf_dir))
-
-
-@query("sm02_cosine", f"{BENCH}, {TOKENS}, {TFIDF} SELECT a.doc_id AS i, b.doc_id AS j, round(sum(a.weight * b.weight), 6) AS sim FROM w a JOIN w b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL")
-def cosine(spark, sf_dir):
-    return t.cosine(items(spark, sf_dir))
-
-
 @query("sm03_co_occurrence", f"src AS (SELECT doc_id, text FROM articles), l AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2) AS l FROM src), p AS (SELECT l, unnest(range(1, len(l) + 1)) AS pos FROM l), k AS (SELECT unnest(l[greatest(1, pos - 5):pos + 5]) AS word FROM p WHERE l[pos] = 'with') SELECT word, count(*) AS n FROM k WHERE word <> 'with' GROUP BY word ORDER BY n DESC, word LIMIT 20")
 def co_occurrence(spark, sf_dir):
     return t.co_occurrence(v.articles(spark, sf_dir), "with")
@@ -175,19 +150,6 @@ def lexical_search(spark, sf_dir):
     return t.lexical_search(v.articles(spark, sf_dir), v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-@query("rt03_vector_search", "s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5")
-def vector_search(spark, sf_dir):
-    e = v.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))  # a stated query set against all rows
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("score", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y))
-    return s.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter("r <= 5").select("query_id", "vec_id", "score")
-
-
-@query("src03_date_token", "SELECT page_id, url FROM pages WHERE contains(url, '/1')")
-def date_token(spark, sf_dir):
-    return v.table(spark, sf_dir, "pages").filter(F.col("url").contains("/1")).select("page_id", "url")
-
-
 @query("src05_page_title", r"SELECT page_id, trim(coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title FROM pages")
 def page_title(spark, sf_dir):
     h1, title = (F.regexp_extract("html", f"(?is)<{g}[^>]*>(.*?)</{g}>", 1) for g in ("h1", "title"))
@@ -197,19 +159,3 @@ def page_title(spark, sf_dir):
 @query("src18_secrets", "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM articles) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, doc_id, CAST(line AS INT) AS line FROM l WHERE regexp_matches(s, '{p}')" for k, p in SECRETS.items()))
 def secrets(spark, sf_dir):
     return t.secrets(v.articles(spark, sf_dir), SECRETS)
-
-
-@query("src09_source_union", "u AS (SELECT doc_id % 500 AS id, source, 0 AS rank, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id % 500, source, 1, doc_id FROM documents WHERE lang <> 'en') SELECT id, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, doc_id) AS r FROM u) WHERE r = 1")
-def source_union(spark, sf_dir):
-    d = v.table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("id"), "source", "doc_id", "lang")
-    u = d.filter("lang = 'en'").withColumn("rank", F.lit(0)).unionByName(d.filter("lang <> 'en'").withColumn("rank", F.lit(1)))
-    return u.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("rank", "doc_id"))).filter("r = 1").select("id", "doc_id", "source")
-
-
-@query("snk01_upsert", "SELECT c_custkey AS id, CASE WHEN o.v IS NULL THEN c_acctbal ELSE o.v END AS value FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS v FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
-def upsert(spark, sf_dir):
-    from ..sources.storage import latest
-
-    old = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    new = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"))
-    return latest(old, new, ["id"], "seq").join(old.select("id"), "id", "left_semi")
