@@ -79,15 +79,51 @@ def intensity(text: Column, action: dict[str, float], subject: dict[str, float],
     return clamp(0.5 * best(action) + 0.4 * best(subject) + bonus, 0.1, 1.0)
 
 
-def sentiment_label(x: Column) -> Column:
-    """FN16: bands of the sentiment index."""
-    edges = [(80, "very_positive"), (65, "positive"), (55, "mild_positive"), (45, "neutral"), (35, "mild_negative"), (20, "negative")]
-    out = F.lit("very_negative")
+def bands(x: Column, edges: list[tuple[float, str]], other: str) -> Column:
+    """Name of the first edge that x reaches, edges from high to low."""
+    out = F.lit(other)
     for low, name in reversed(edges):
         out = F.when(x >= low, name).otherwise(out)
     return out
 
 
+#: Fixed values of the model: bands of labels.
+SENTIMENT_BANDS = [(75, "very_bullish"), (60, "bullish"), (45, "mild_bullish"), (40, "neutral"), (25, "mild_bearish"), (10, "bearish")]
+GRADES = [(1.0, "A+"), (0.5, "A"), (0.2, "B+"), (-0.2, "B"), (-0.5, "C+"), (-1.0, "C")]
+SEVERITIES = [(3.0, "critical"), (2.0, "warning"), (1.5, "notice")]
+
+
+def sentiment_label(x: Column) -> Column:
+    """FN16: seven bands of the sentiment index."""
+    return bands(x, SENTIMENT_BANDS, "very_bearish")
+
+
+def grade(score: Column) -> Column:
+    """FN16: seven ranks of a factor score."""
+    return bands(score, GRADES, "D")
+
+
+def severity(z: Column) -> Column:
+    """FN16: severity of an anomaly by |z|."""
+    return bands(F.abs(z), SEVERITIES, "normal")
+
+
+def spike(z: Column) -> Column:
+    """FN16: direction of an anomaly."""
+    return F.when(z >= 1.5, "spike_high").when(z <= -1.5, "spike_low").otherwise("normal")
+
+
+def risk_label(sharpe: Column, drawdown: Column, volatility: Column) -> Column:
+    """FN16: level of risk by Sharpe ratio, drawdown (negative) and volatility."""
+    return F.when((drawdown <= -0.3) | (volatility > 0.4) | (sharpe < -0.5), "extreme").when((drawdown <= -0.15) | (volatility > 0.25) | (sharpe < 0), "high").when((drawdown <= -0.08) | (volatility > 0.15), "medium").otherwise("low")
+
+
+def confidence_bar(x: Column) -> Column:
+    """RP1: ten cells, filled by a share."""
+    n = F.least(F.lit(10), F.greatest(F.lit(0), F.round(F.coalesce(x, F.lit(0.0)) * 10).cast("int")))
+    return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), 10 - n))
+
+
 def trend_label(slope: Column, scale: float) -> Column:
     """FN16: rising or falling when |slope| / scale reaches .1."""
     s = slope / max(scale, 1e-3)
@@ -99,13 +135,21 @@ def previous_business_day(d: Column) -> Column:
     return F.date_sub(d, F.when(F.dayofweek(d) == 2, 3).when(F.dayofweek(d) == 1, 2).otherwise(1))
 
 
-def clean_html(html: Column, most: int = 8000) -> Column:
-    """FN10: noise elements, tags and runs of white space go; a long rest is cut and marked."""
-    out = html
-    for tag in ("script", "style", "nav", "footer", "header", "aside", "iframe", "noscript", "form", "svg"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"[ \t\n\r\f\v]+", " "))
-    return F.when(F.length(out) > most, F.concat(F.left(out, F.lit(most)), F.lit("..."))).otherwise(out)
+#: Fixed values of the model: elements that are noise, and elements that are noise by their class.
+NOISE_TAGS = ("script", "style", "iframe", "noscript", "svg", "form", "button", "input", "select", "textarea")
+CLASS_TAGS = ("div", "section", "aside", "footer", "header", "nav")
+NOISE_CLASS = "share|comment|recommend|ad|advert|banner|nav|footer|header|sidebar|popup|modal"
+
+
+def clean_html(html: Column, most: int | None = None) -> Column:
+    """FN10: noise elements, elements of noise classes, tags and runs of white space go. With `most`, a long rest is cut and marked."""
+    out = F.coalesce(html, F.lit(""))
+    for tag in NOISE_TAGS:
+        out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
+    for tag in CLASS_TAGS:
+        out = F.regexp_replace(out, rf"""(?is)<{tag}[^>]*class=["'][^"']*(?:{NOISE_CLASS})[^"']*["'][^>]*>.*?</{tag}>""", "")
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]+>", " "), r"[ \t\n\r\f\v]+", " "))
+    return out if most is None else F.when(F.length(out) > most, F.concat(F.left(out, F.lit(most)), F.lit("..."))).otherwise(out)
 
 
 def json_object(text: Column) -> Column:

@@ -44,9 +44,9 @@ def anti(corpus: DataFrame, reported: DataFrame, key: str) -> DataFrame:
 
 
 def indicator_signals(rows: DataFrame, name: str, value: str, thresholds: dict[str, float]) -> DataFrame:
-    """MI1: above, below or at its threshold, for indicators that have one."""
+    """MI1: above, below or at its threshold; indicators without one are references."""
     t = F.coalesce(*[F.when(F.col(name) == k, F.lit(float(x))) for k, x in thresholds.items()])
-    return rows.withColumn("threshold", t).filter("threshold is not null").withColumn("signal", F.when(F.col(value) > F.col("threshold"), "expansion").when(F.col(value) < F.col("threshold"), "contraction").otherwise("flat"))
+    return rows.withColumn("threshold", t).withColumn("signal", F.when(F.col("threshold").isNull(), "reference").when(F.col(value) > F.col("threshold"), "above").when(F.col(value) < F.col("threshold"), "below").otherwise("at"))
 
 
 def source_health(rows: DataFrame, key: str) -> DataFrame:

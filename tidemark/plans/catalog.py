@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decision_queries, series_queries, table_queries, text_queries
+from . import decision_queries, page_queries, retrieval_queries, series_queries, signal_queries, table_queries, text_queries
 
 FLAGSHIP = "sg02_decision_board"
-MODULES = [series_queries, text_queries, decision_queries, table_queries]
+MODULES = [series_queries, text_queries, decision_queries, table_queries, signal_queries, retrieval_queries, page_queries]
 
 
 def queries() -> dict:

@@ -51,19 +51,6 @@ def anomalies(spark, sf_dir):
     return ts.anomalies(long(spark, sf_dir))
 
 
-VOL = """d AS (SELECT *, abs(industry_count - lag(industry_count) OVER (ORDER BY date)) AS step FROM daily_metric),
-w AS (SELECT date, least(1, greatest(0, stddev_pop(sentiment_index) OVER w / 30)) AS sentiment_part, least(1, greatest(0, avg(abs(policy_stance_score)) OVER w / 0.7)) AS policy_part,
- least(1, greatest(0, coalesce(avg(step) OVER w, 0) / 3)) AS industry_part, least(1, greatest(0, avg(event_count * 1e0 / greatest(industry_count, 1)) OVER w / 5)) AS event_part FROM d WINDOW w AS (ORDER BY date ROWS 29 PRECEDING)),
-vi AS (SELECT *, 100 * (.35 * sentiment_part + .25 * policy_part + .2 * industry_part + .2 * event_part) AS volatility_index FROM w)"""
-
-
-@query("wn02_volatility_index", f"""{VOL} SELECT date, round(sentiment_part, 6) AS sentiment_part, round(policy_part, 6) AS policy_part, round(industry_part, 6) AS industry_part, round(event_part, 6) AS event_part,
- round(volatility_index, 6) AS volatility_index, round(avg(volatility_index) OVER (ORDER BY date ROWS 6 PRECEDING), 6) AS ma7,
- CASE WHEN volatility_index >= 80 THEN 'extreme' WHEN volatility_index >= 60 THEN 'high' WHEN volatility_index >= 40 THEN 'medium' WHEN volatility_index >= 20 THEN 'low' ELSE 'calm' END AS level FROM vi""")
-def volatility(spark, sf_dir):
-    return ts.volatility(v.daily_metric(spark, sf_dir))
-
-
 @query("wn03_local_volatility", """SELECT series_id, date, round(CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY date) >= 4 THEN stddev_pop(value) OVER (PARTITION BY series_id ORDER BY date ROWS 3 PRECEDING) ELSE 0 END, 4) AS local_volatility FROM series""")
 def local_volatility(spark, sf_dir):
     return ts.local_volatility(v.order_series(spark, sf_dir)).withColumn("local_volatility", F.round("local_volatility", 4))
@@ -208,3 +195,84 @@ SELECT q.series_id, CAST(q.at AS DATE) AS at, s.date AS found_date, round(s.valu
 def as_of(spark, sf_dir):
     s = v.order_series(spark, sf_dir)
     return rounded(ts.as_of(s, s.select("series_id", F.date_add("date", 1).alias("at"))), 4)
+
+
+UNDER = """lv AS (SELECT series_id, date, sum(ln(1 + r)) OVER (PARTITION BY series_id ORDER BY date) AS l FROM r), tv AS (SELECT *, greatest(0, max(l) OVER (PARTITION BY series_id ORDER BY date)) AS top FROM lv),
+uv AS (SELECT *, l < top - 1e-12 AS under, sum(CASE WHEN l < top - 1e-12 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY date) AS island FROM tv), rv AS (SELECT series_id, island, count(*) FILTER (under) AS run, min(exp(l - top) - 1) AS fall FROM uv GROUP BY ALL)"""
+
+
+@query("wn07_underwater", f"{RETURNS}, {UNDER} SELECT series_id, round(least(0, min(fall)), 6) AS max_drawdown, max(run) AS longest_underwater FROM rv GROUP BY series_id")
+def underwater(spark, sf_dir):
+    return ts.underwater(ts.returns(v.order_series(spark, sf_dir)))
+
+
+MRET = """mp AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY date) AS prev FROM long), mr AS (SELECT series_id, date, CASE WHEN prev = 0 THEN 0 ELSE value / prev - 1 END AS r FROM mp WHERE prev IS NOT NULL)"""
+
+
+@query("wn11_capture_report", f"{LONG}, {MRET} SELECT 'sentiment_index' AS main, 'attention_entropy' AS benchmark, round(avg(a.r) FILTER (b.r > 0), 6) AS up_capture, round(avg(a.r) FILTER (b.r < 0), 6) AS down_capture, count(*) AS n FROM mr a JOIN mr b ON a.date = b.date WHERE a.series_id = 'sentiment_index' AND b.series_id = 'attention_entropy'")
+def capture_report(spark, sf_dir):
+    return ts.capture_report(ts.returns(long(spark, sf_dir)), "sentiment_index", "attention_entropy")
+
+
+@query("wn11_risk_of_metrics", f"""{LONG}, {MRET}, g AS (SELECT series_id, count(*) AS n, stddev_pop(r) * sqrt(252) AS vol FROM mr GROUP BY series_id) SELECT series_id, n, round(vol, 6) AS volatility FROM g""")
+def risk_of_metrics(spark, sf_dir):
+    """WN11's risk report over the five daily series; wn05_risk_report has all its columns on longer ones."""
+    return ts.risk(long(spark, sf_dir)).select("series_id", "n", "volatility")
+
+
+@query("wn18_next_day_report", f"""{LONG}, {FORECAST} SELECT series_id, round(ma + slope, 6) AS predicted, CASE WHEN abs(slope) < .1 THEN 'stable' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend, n FROM g WHERE series_id <> 'event_count'""")
+def next_day_report(spark, sf_dir):
+    """WN18: four metrics one day ahead, on ascending time."""
+    return ts.naive_forecast(long(spark, sf_dir).filter("series_id <> 'event_count'")).select("series_id", "predicted", "trend", "n")
+
+
+@query("wn40_predict_metric", f"{LONG}, {FORECAST} SELECT series_id, round(ma + slope * 7, 6) AS predicted, n FROM g WHERE series_id = 'sentiment_index'")
+def predict_metric(spark, sf_dir):
+    return ts.naive_forecast(long(spark, sf_dir).filter("series_id = 'sentiment_index'"), horizon=7).select("series_id", "predicted", "n")
+
+
+PERIODS = """pl AS (SELECT *, lag(value, 5) OVER w AS l5, lag(value, 7) OVER w AS l7, lag(value, 14) OVER w AS l14, lag(value, 30) OVER w AS l30 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+pc AS (SELECT series_id, count(*) AS n, corr(l5, value) AS c5, corr(l7, value) AS c7, corr(l14, value) AS c14, corr(l30, value) AS c30 FROM pl GROUP BY series_id),
+pb AS (SELECT series_id, n, list_sort([{'c': -round(coalesce(abs(c5), 0), 9), 'i': 0, 'p': 5}, {'c': -round(coalesce(abs(c7), 0), 9), 'i': 1, 'p': 7}, {'c': -round(coalesce(abs(c14), 0), 9), 'i': 2, 'p': 14}, {'c': -round(coalesce(abs(c30), 0), 9), 'i': 3, 'p': 30}])[1] AS b FROM pc)"""
+
+
+@query("wn21_periods", f"{PERIODS} SELECT series_id, CASE WHEN n < 30 OR b.c = 0 THEN 7 ELSE b.p END AS period FROM pb")
+def periods(spark, sf_dir):
+    return ts.detect_periods(v.order_series(spark, sf_dir))
+
+
+@query("wn23_enhanced_report", None)
+def enhanced_report(spark, sf_dir):
+    from ..operators import kernels
+
+    s = v.order_series(spark, sf_dir)
+    return kernels.enhanced_report(s, ts.detect_periods(s))
+
+
+@query("wn32_scenarios", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}e0, {b}e0, {c}e0, {m}e0, {h})" for n, a, b, c, m, h in ts.SCENARIOS) + ") t(scenario, sentiment, policy, industries, vol_mult, horizon)")
+def scenarios(spark, sf_dir):
+    return ts.scenarios(spark)
+
+
+@query("wn37_keyword_changes", """a AS (SELECT DISTINCT date, keyword FROM keyword_daily), b AS (SELECT DISTINCT CAST(date + 1 AS DATE) AS date, keyword FROM keyword_daily), c AS (SELECT *, 'new' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'vanished' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY date, change ORDER BY keyword) AS r FROM c) SELECT date, change, string_agg(keyword, ',' ORDER BY keyword) AS keywords FROM r WHERE r <= 20 GROUP BY ALL""")
+def keyword_changes(spark, sf_dir):
+    return ts.keyword_changes(v.keyword_daily(spark, sf_dir).filter("keyword is not null"))
+
+
+@query("wn39_best_worst", ORACLES["wn25_backtest"].split("SELECT series_id, CAST(horizon")[0].removeprefix(f"WITH {v.SQL.strip()}, ") + """, k AS (SELECT series_id, horizon, round(avg(CASE WHEN sign(predicted - last) = sign(value - last) THEN 1e0 ELSE 0e0 END), 9) AS d FROM h GROUP BY ALL)
+SELECT series_id, CAST(first(horizon ORDER BY d DESC, horizon) AS INT) AS best, CAST(first(horizon ORDER BY d, horizon) AS INT) AS worst FROM k GROUP BY series_id""")
+def best_worst(spark, sf_dir):
+    return ts.best_worst(ts.backtest(v.order_series(spark, sf_dir)))
+
+
+@query("wn28_equal_weight", f"""{RETURNS}, eq AS (SELECT date, avg(r) AS r FROM r GROUP BY date), al AS (SELECT series_id, date, r FROM r UNION ALL SELECT 'equal_weight', date, r FROM eq),
+lv AS (SELECT series_id, date, r, sum(ln(1 + r)) OVER (PARTITION BY series_id ORDER BY date) AS l FROM al), tv AS (SELECT *, greatest(0, max(l) OVER (PARTITION BY series_id ORDER BY date)) AS top FROM lv)
+SELECT series_id, round(least(0, min(exp(l - top) - 1)), 6) AS max_drawdown, round((exp(sum(ln(1 + r)) * 252 / count(*)) - 1 - .025) / (stddev_pop(r) * sqrt(252)), 6) AS sharpe FROM tv GROUP BY series_id""")
+def equal_weight(spark, sf_dir):
+    """WN28: drawdown and Sharpe of each series and of their equal weight."""
+    r = ts.returns(v.order_series(spark, sf_dir)).select("series_id", "date", "r")
+    both = r.unionByName(r.groupBy("date").agg(F.avg("r").alias("r")).select(F.lit("equal_weight").alias("series_id"), "date", "r"))
+    fall = ts.underwater(both).select("series_id", "max_drawdown")
+    g = both.groupBy("series_id").agg(F.exp(F.sum(F.ln(1 + F.col("r"))) * 252 / F.count("*")).alias("g"), (F.stddev_pop("r") * 252**0.5).alias("vol"))
+    return fall.join(g, "series_id").select("series_id", "max_drawdown", ((F.col("g") - 1 - 0.025) / F.col("vol")).alias("sharpe"))

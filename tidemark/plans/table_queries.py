@@ -63,10 +63,19 @@ def anti_join(spark, sf_dir):
     return o.anti(c, v.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("mi01_indicator_signals", "SELECT o_orderpriority AS name, round(avg(o_totalprice), 4) AS value, CASE WHEN avg(o_totalprice) > 150000 THEN 'expansion' WHEN avg(o_totalprice) < 150000 THEN 'contraction' ELSE 'flat' END AS signal FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_orderpriority")
+#: Fixed values of the model: the nine indicators of the snapshot in order, with the thresholds of those that have one.
+INDICATORS = ["CPI_YoY", "PMI_MAKE", "PPI_YoY", "GDP_YoY", "LPR_1Y", "LPR_5Y", "M2_YoY", "SHIBOR_ON", "CN10Y_YIELD"]
+THRESHOLDS = {"CPI_YoY": 3.0, "PMI_MAKE": 50.0, "PPI_YoY": 0.0, "GDP_YoY": 5.0}
+
+
+@query("mi01_indicator_signals", f"""n AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {i})" for i, k in enumerate(INDICATORS))}) t(code, place)), m AS (SELECT place, avg(value) AS value FROM (SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) - 2 AS place, o_totalprice / 3000e0 AS value FROM orders) GROUP BY place)
+SELECT code, CAST(n.place AS INT) AS place, round(coalesce(value, 0), 4) AS value, value IS NOT NULL AS live, CASE code {' '.join(f"WHEN '{k}' THEN CASE WHEN coalesce(value, 0) > {t} THEN 'above' WHEN coalesce(value, 0) < {t} THEN 'below' ELSE 'at' END" for k, t in THRESHOLDS.items())} ELSE 'reference' END AS signal FROM n LEFT JOIN m USING (place)""")
 def indicator_signals(spark, sf_dir):
-    a = v.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.avg("o_totalprice").alias("value"))
-    return o.indicator_signals(a, "name", "value", {"1-URGENT": 150000, "2-HIGH": 150000}).select("name", F.round("value", 4).alias("value"), "signal")
+    """MI1: the snapshot of nine indicators: values of those that are there, a reference row for the others."""
+    live = v.table(spark, sf_dir, "orders").groupBy((F.substring("o_orderpriority", 1, 1).cast("int") - 2).alias("place")).agg(F.avg(F.col("o_totalprice") / 3000).alias("value"))
+    names = spark.createDataFrame(list(enumerate(INDICATORS)), "place int, code string")
+    rows = names.join(live, "place", "left").withColumns({"live": F.col("value").isNotNull(), "value": F.coalesce("value", F.lit(0.0))})
+    return o.indicator_signals(rows, "code", "value", THRESHOLDS).select("code", "place", F.round("value", 4).alias("value"), "live", "signal")
 
 
 @query("ag01_counts", "SELECT date, CAST(sum(freq) AS BIGINT) AS total, count(*) AS n_keywords, max(freq) AS top FROM keyword_daily GROUP BY date")
@@ -74,10 +83,26 @@ def counts(spark, sf_dir):
     return v.keyword_daily(spark, sf_dir).groupBy("date").agg(F.sum("freq").alias("total"), F.count("*").alias("n_keywords"), F.max("freq").alias("top"))
 
 
-@query("fn16_labels", """SELECT date, CASE WHEN sentiment_index >= 80 THEN 'very_positive' WHEN sentiment_index >= 65 THEN 'positive' WHEN sentiment_index >= 55 THEN 'mild_positive' WHEN sentiment_index >= 45 THEN 'neutral' WHEN sentiment_index >= 35 THEN 'mild_negative' WHEN sentiment_index >= 20 THEN 'negative' ELSE 'very_negative' END AS label,
- round(greatest(0, least(1, (sentiment_index - 20) / 60e0)), 6) AS position FROM daily_metric""")
+def case(col: str, edges: list, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} >= {e} THEN '{n}'" for e, n in edges) + f" ELSE '{other}' END"
+
+
+LABELS = f"""z AS (SELECT date, sentiment_index AS s, (sentiment_index - avg(sentiment_index) OVER ()) / nullif(stddev_pop(sentiment_index) OVER (), 0) AS z FROM daily_metric)
+SELECT date, {case("s", x.SENTIMENT_BANDS, "very_bearish")} AS label, {case("abs(z)", x.SEVERITIES, "normal")} AS severity, CASE WHEN z >= 1.5 THEN 'spike_high' WHEN z <= -1.5 THEN 'spike_low' ELSE 'normal' END AS direction, {case("z", x.GRADES, "D")} AS grade,
+ CASE WHEN -abs(z) / 10 <= -.3 OR abs(z) / 8 > .4 OR z < -.5 THEN 'extreme' WHEN -abs(z) / 10 <= -.15 OR abs(z) / 8 > .25 OR z < 0 THEN 'high' WHEN -abs(z) / 10 <= -.08 OR abs(z) / 8 > .15 THEN 'medium' ELSE 'low' END AS risk, round(greatest(0, least(1, (s - 20) / 60e0)), 6) AS position,
+ repeat('█', CAST(round(least(1, abs(z) / 3) * 10) AS INT)) || repeat('░', 10 - CAST(round(least(1, abs(z) / 3) * 10) AS INT)) AS bar FROM z"""
+
+
+@query("fn16_labels", LABELS)
 def labels(spark, sf_dir):
-    return v.daily_metric(spark, sf_dir).select("date", x.sentiment_label(F.col("sentiment_index")).alias("label"), x.minmax(F.col("sentiment_index"), 20.0, 80.0).alias("position"))
+    """FN16's labels over a day's sentiment and its z against all days."""
+    m = v.daily_metric(spark, sf_dir)
+    m = m.crossJoin(F.broadcast(m.agg(F.avg("sentiment_index").alias("m"), F.stddev_pop("sentiment_index").alias("sd"))))  # one row on the right
+    z = F.col("z")
+    return m.withColumn("z", (F.col("sentiment_index") - F.col("m")) / F.nullif("sd", F.lit(0.0))).select(
+        "date", x.sentiment_label(F.col("sentiment_index")).alias("label"), x.severity(z).alias("severity"), x.spike(z).alias("direction"), x.grade(z).alias("grade"), x.risk_label(z, -F.abs(z) / 10, F.abs(z) / 8).alias("risk"),
+        x.minmax(F.col("sentiment_index"), 20.0, 80.0).alias("position"), x.confidence_bar(F.least(F.lit(1.0), F.abs(z) / 3)).alias("bar"),
+    )
 
 
 @query("gr03_nodes", f"{ENTITY} SELECT value AS id, type, count(*) AS freq, round(log2(count(*) + 1) * 30, 6) AS size FROM ent0 GROUP BY ALL HAVING count(*) >= 5")

@@ -35,14 +35,63 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARCHIVE).json(path, multiLine=True).select("date", F.explode("articles").alias("a")).select("date", "a.*")
 
 
-def read_markdown(spark: SparkSession, path: str, size: int = 400) -> DataFrame:
-    """SRC11: (path, section, chunk, text): sections of `## ` headings in chunks of fixed length."""
+def read_markdown(spark: SparkSession, path: str, size: int = 400, newest: int = 60) -> DataFrame:
+    """SRC11: (path, date, section, chunk, text) of the newest files of a folder: sections of `## ` headings in chunks of fixed length.
+
+    A file's date is the one in its name (YYYY-MM-DD, empty without one); names sort by it, so the newest come last.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    sections = whole.select("path", F.posexplode(F.split("value", "\n## ")).alias("section", "s"))
+    names = whole.select("path").orderBy(F.desc("path")).limit(newest)
+    whole = whole.join(F.broadcast(names), "path", "left_semi").withColumn("date", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1))  # `newest` rows
+    sections = whole.select("path", "date", F.posexplode(F.split("value", "\n## ")).alias("section", "s"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("s"), F.lit(1)), F.lit(size))
-    return sections.select("path", "section", F.posexplode(F.transform(starts, lambda i: F.col("s").substr(i, F.lit(size)))).alias("chunk", "text"))
+    return sections.select("path", "date", "section", F.posexplode(F.transform(starts, lambda i: F.col("s").substr(i, F.lit(size)))).alias("chunk", "text"))
 
 
 def append_lines(df: DataFrame, path: str) -> None:
     """SNK8: append rows as lines of JSON."""
     df.write.mode("append").json(path)
+
+
+def history(reports: DataFrame, articles: DataFrame, before: str, most: int = 4000) -> DataFrame:
+    """SRC12: reports older than a date (their first `most` characters), and articles of the older dates that have no report."""
+    r = reports.filter(F.col("date") < F.lit(before).cast("date")).withColumns({"text": F.left("text", F.lit(most)), "kind": F.lit("report")})
+    a = articles.filter(F.col("date") < F.lit(before).cast("date")).join(reports.select("date").distinct(), "date", "left_anti").withColumn("kind", F.lit("json"))
+    return r.unionByName(a.select(*r.columns))
+
+
+def payload(daily: DataFrame, keywords: DataFrame, industries: DataFrame, top: int = 10) -> DataFrame:
+    """SNK6: (date, payload): metrics, top keywords and industries of a day as one JSON object."""
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("date").orderBy(F.desc("freq"), "keyword"))
+    k = keywords.filter("keyword is not null").withColumn("r", rank).filter(F.col("r") <= top).groupBy("date").agg(F.array_sort(F.collect_list(F.struct("r", "keyword", "freq"))).alias("keywords"))
+    i = industries.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("industry", "hit_count"))).alias("industries"))
+    m = daily.select("date", F.struct(F.round("sentiment_index", 4).alias("sentiment"), F.round("attention_entropy", 4).alias("entropy")).alias("metrics"))
+    return m.join(k, "date").join(i, "date").select("date", F.to_json(F.struct("metrics", "keywords", "industries")).alias("payload"))
+
+
+def read_payload(rows: DataFrame) -> DataFrame:
+    """SNK6 read back: (date, sentiment, entropy, words, hits)."""
+    schema = "metrics struct<sentiment double, entropy double>, keywords array<struct<keyword string, freq long>>, industries array<struct<industry string, hit_count long>>"
+    p = rows.select("date", F.from_json("payload", schema).alias("p"))
+    pairs = lambda xs, a, b: F.array_join(F.transform(xs, lambda x: F.concat_ws("=", x[a], x[b])), ",")
+    return p.select("date", "p.metrics.sentiment", "p.metrics.entropy", pairs(F.col("p.keywords"), "keyword", "freq").alias("words"), pairs(F.col("p.industries"), "industry", "hit_count").alias("hits"))
+
+
+def cached(entries: DataFrame, now: F.Column, keep: str) -> DataFrame:
+    """SNK9: (key, value, put_at, alive): the last entry put under each key, and whether it is younger than `keep` at `now`."""
+    last = entries.groupBy("key").agg(F.max_by("value", F.struct("put_at", "value")).alias("value"), F.max("put_at").alias("put_at"))
+    return last.withColumn("alive", F.col("put_at") + F.expr(f"interval {keep}") > now)
+
+
+def cache_stats(entries: DataFrame, now: F.Column, keep: str) -> DataFrame:
+    """SNK9: number of keys, of those alive, and of entries."""
+    c = cached(entries, now, keep)
+    return c.agg(F.count("*").alias("keys"), F.count_if("alive").alias("alive")).crossJoin(F.broadcast(entries.agg(F.count("*").alias("entries"))))  # one row each
+
+
+def write_day(path: str, date: str, tables: dict[str, DataFrame]) -> None:
+    """SNK3: the tables of one run, each in a folder of its own, rewriting the partition of the run's date alone."""
+    for name, df in tables.items():
+        df.withColumn("date", F.lit(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/{name}")

@@ -44,10 +44,32 @@ def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour")
 
 
 def stream_windows(spark: SparkSession, path: str) -> DataFrame:
-    """The windows of a Parquet path run as a stream to its end, in complete mode, as a table of results."""
+    """The windows of a Parquet path run as a stream to its end, as a table in the checkpoint folder.
+
+    Each batch's changed windows are written as files by the executors, with the batch's number; the newest row of a window is its
+    result. Nothing passes through the driver.
+    """
+    from ..operators.views import checkpoint_dir
+
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).parquet(path[:-1] + f"[{path[-1]}]")  # a stream reads folders or patterns, not one file
-    name = f"windows_{uuid.uuid4().hex}"
-    q = event_windows(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    base = f"{checkpoint_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/part={number}")
+
+    q = event_windows(source).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
+
+
+def suppressed(alerts: DataFrame, seconds: int = 60) -> DataFrame:
+    """ST2 for a batch: alerts (key, ts) that fire: each at least `seconds` after the last fired one of its key.
+
+    The fold depends on order, so the alerts of one key are folded in one array.
+    """
+    rows = alerts.groupBy("key").agg(F.sort_array(F.collect_list(F.col("ts").cast("timestamp").cast("double"))).alias("l"))
+    zero = F.array().cast("array<double>")
+    fired = F.aggregate("l", zero, lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= seconds), F.concat(a, F.array(x))).otherwise(a))
+    return rows.select("key", F.explode(fired).alias("at")).select("key", F.timestamp_micros(F.round(F.col("at") * 1_000_000).cast("long")).alias("ts"))
