@@ -49,3 +49,24 @@ def test_least_bytes_and_empty(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], "page_id long, url string, html string")
     assert {r.page_id: r.refers_to for r in warc.planned(df, least=3).collect()} == {1: None, 2: None, 3: None, 4: 3}
     assert warc.planned(df.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_and_long_payloads(spark, tmp_path):
+    long = "<p>é</p>" * 300_000
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "c"), (7, long), (8, long), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    out = warc.write_archives(warc.planned(df), f"file://{tmp_path}/a").collect()
+    got = warc.read_archives(spark, spark.createDataFrame(out), 1 << 16).collect()
+    kinds = sorted(((r.page_id or 0), r.payload_bytes, r.record_type, r.refers_to or 0) for r in got)
+    n = len(long.encode())
+    assert kinds == [(0, 1, "response", 0), (0, 1, "revisit", 1), (1, 1, "response", 0), (1, 1, "response", 0), (1, 1, "response", 0), (2, 1, "revisit", 1), (7, n, "response", 0), (8, n, "revisit", 7), (9, 0, "response", 0), (10, 0, "revisit", 9)]
+    a, b = (warc.record(1, "u", x, warc.base32_sha1(x), None) for x in (b"a", b"b"))
+    name = lambda m: gzip.decompress(m).split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0]
+    assert name(a) != name(b)
+
+
+def test_query(spark):
+    got = {r.page_id: r for r in warc.op4_warc(spark, "/root/testdata/sf0.001").collect()}
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    assert got.keys() == pages.keys() and all(got[i].payload_bytes == len(h.encode()) for i, h in pages.items())
+    assert warc.read_archives(spark, spark.createDataFrame([], "path string, bytes long, records long")).count() == 0

@@ -77,6 +77,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver's Python ends."""
+    _kept[path] = spark
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the folders of tables that `stash` wrote; nothing may read them afterwards."""
     for df in frames:
@@ -150,6 +155,7 @@ def with_arrow(
                     else:
                         cols.append(part.column(part.schema.get_field_index(f.name)).cast(f.type))
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -11,7 +11,8 @@ one. So a range needs nothing from the tasks before it, and a large archive is r
 Storage is reached through pyarrow.fs (local or mounted folders, HDFS, S3, GCS) by URI.
 
 Defined results: null html is an empty payload; null page_ids sort after all others and write page-null in their record; pages
-that repeat an id get a record each, a response where id and payload are the owner's; an empty table gives no archives and no rows. Extra columns are ignored.
+that repeat an id get a record each, a response where id and payload are the owner's, and a record's own id follows from page_id
+and payload; an empty table gives no archives and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash, table
+from .common import forget, shared_dir, stash, table, tenant
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of one archive at most (a larger record stands alone), of one read range, and of one step of a scan.
@@ -55,7 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     body = http + payload if refers_to is None else http  # a revisit leaves the payload out
     heads = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{digest}')}>",
         "WARC-Date": "2024-01-01T00:00:00Z",
         "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -65,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     }
     if refers_to is not None:
         heads["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        heads["WARC-Refers-To"] = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{refers_to}')}>"
+        heads["WARC-Refers-To"] = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{refers_to}/{digest}')}>"
         heads["X-Refers-To-Page-ID"] = str(refers_to)
     heads["Content-Length"] = str(len(body))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in heads.items()) + "\r\n"
@@ -92,6 +93,7 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        tenant("warc")
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
@@ -221,6 +223,7 @@ def read_archives(spark, paths: DataFrame, width: int = RANGE, payloads: bool =
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    forget(spark, folder)
     archives = stash(write_archives(planned(table(spark, sf_dir, "pages")), folder), "archives")
     return read_archives(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
