@@ -91,3 +91,14 @@ def test_null_and_repeated_ids(spark, tmp_path):
 
     out = cp.run(spark, str(tmp_path))
     assert out.filter("doc_id is null").count() > 0
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    extra = ["score", "predicted", "n_lines", "n_dropped", "__row", "__at", "__drop", "positions", "component"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in extra])
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
+        assert all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in extra)
+    assert cp.encode(spark, docs, sf).count() == docs.count() > 0

@@ -99,3 +99,28 @@ def test_null_ids_among_near_copies(spark):
     assert len(set(top.values())) < len(top) - 10
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     assert sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=str) == want
+
+
+def test_tally_prunes_before_bits_are_counted(monkeypatch):
+    rng = np.random.default_rng(4)
+    fixed = rng.integers(0, 256, 4, dtype=np.uint8)  # one posting list: four bytes in common
+    rows = np.concatenate([np.tile(fixed, (3000, 1)), rng.integers(0, 256, (3000, 4), dtype=np.uint8)], axis=1)
+    rows[1, 4:] = rows[0, 4:] ^ np.array([1, 2, 0, 0], np.uint8)
+    fps, ids = np.ascontiguousarray(rows).view(np.uint64).ravel(), np.arange(3000)
+    looked = []
+    real = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: (looked.append(x.size), real(x))[1])
+    links = simhash.list_links(fps, ids)
+    monkeypatch.undo()
+    want = {frozenset((i, j)) for i in range(0, 3000, 1) for j in np.flatnonzero(real(fps ^ fps[i]) <= 3).tolist() if j != i}
+    assert (0, 1) in links and {frozenset(x) for x in links} <= want
+    assert sum(looked) < 0.05 * 3000 * 3000 / 2  # most pairs share four bytes only and are never verified
+
+
+def test_null_and_repeated_ids_and_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    rows = [(1, "a b c d"), (1, "x y z q r"), (2, "a b c d"), (None, "x y z q r"), (3, long), (4, long), (5, None), (6, " \n"), (None, "alone here now")]
+    df = spark.createDataFrame([(a, b, "k", 1, 2) for a, b in rows], "doc_id long, text string, k string, fp int, __fp int")
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 1), (2, 1), (None, 1), (3, 3), (4, 3), (5, 5), (6, 5), (None, None)], key=str)
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
