@@ -55,14 +55,14 @@ def enhanced_report(long: DataFrame, periods: DataFrame, horizons: tuple = (1, 3
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y, period = pdf.sort_values("date")["value"].to_numpy(float), int(pdf["period"].iloc[0])
-        if len(y) < max(least, 2 * period):
-            return pd.DataFrame({"series_id": [], "horizon": [], "predicted": [], "lower": [], "upper": []})
-        level, trend, season, _, errors = smooth(y, period)
         out = []
-        for h in horizons:
-            x, band = level + h * trend + season[(len(y) + h - 1) % period], 1.96 * float(errors.std()) * h**0.5
-            out.append((pdf["series_id"].iloc[0], h, x, x - band, x + band))
-        return pd.DataFrame(out, columns=["series_id", "horizon", "predicted", "lower", "upper"])
+        if len(y) >= max(least, 2 * period):
+            level, trend, season, _, errors = smooth(y, period)
+            for h in horizons:
+                x, band = level + h * trend + season[(len(y) + h - 1) % period], 1.96 * float(errors.std()) * h**0.5
+                out.append((pdf["series_id"].iloc[0], h, x, x - band, x + band))
+        kinds = {"series_id": "string", "horizon": "int32", "predicted": "float64", "lower": "float64", "upper": "float64"}
+        return pd.DataFrame(out, columns=list(kinds)).astype(kinds)
 
     return long.join(periods, "series_id").groupBy("series_id").applyInPandas(fit, "series_id string, horizon int, predicted double, lower double, upper double")
 

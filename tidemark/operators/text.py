@@ -247,3 +247,13 @@ def hash_embedding(docs: DataFrame, size: int = 256) -> DataFrame:
     sums = raw.groupBy("doc_id", "bucket").agg(F.sum("w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
     return sums.select("doc_id", F.col("bucket").cast("int").alias("bucket"), (F.col("w") / norm).alias("weight"))
+
+
+def topic_labels(topics: DataFrame, rules: list[tuple[str, list[str]]], industries: dict[str, list[str]]) -> DataFrame:
+    """TM2: topics (topic, words) with a readable label, the first rule that shares a word with them, else the topic's first word;
+    and the industry with the largest overlap, the first if tied, null where none overlaps."""
+    words = lambda keys: F.array(*[F.lit(k) for k in keys])
+    label = F.coalesce(*[F.when(F.arrays_overlap("words", words(keys)), F.lit(name)) for name, keys in rules], F.try_element_at("words", F.lit(1)), F.lit("unnamed"))
+    overlaps = F.array(*[F.struct((-F.size(F.array_intersect("words", words(keys)))).alias("n"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, keys) in enumerate(industries.items())])
+    best = F.array_sort(overlaps)[0]
+    return topics.select("topic", label.alias("label"), F.when(best["n"] < 0, best["name"]).alias("industry"))

@@ -324,3 +324,47 @@ def indicator_links(spark, sf_dir):
     found = w.withColumn("code", code).filter("code is not null").groupBy("doc_id", "code").agg(F.min("pos").alias("pos"))
     g = found.groupBy("doc_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "code"))), 1, 6), lambda y: y["code"]).alias("l"))
     return docs.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("l", ","), F.lit("CPI")).alias("codes"))
+
+
+# --- topics, stop words, suppressed alerts ----------------------------------------------------------------------
+
+TOPIC_RULES = [("english", ["the", "and"]), ("german", ["der", "die"]), ("french", ["que", "les"])]
+TOPIC_INDUSTRIES = {"energy": ["the", "of"], "finance": ["que", "les", "de"], "transport": ["und", "der", "die"]}
+
+
+def _list(keys):
+    return "[" + ", ".join(f"'{k}'" for k in keys) + "]"
+
+
+@query("tm02_topic_labels", r"""w AS (SELECT source, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda z: length(z) >= 2)) AS term FROM articles), f AS (SELECT coalesce(source, '') || '/' || coalesce(lang, '') AS topic, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT topic, list(term ORDER BY r) AS words FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM f) WHERE r <= 8 GROUP BY topic), """ + f"""
+b AS (SELECT topic, words, list_sort([{', '.join(f"{{'n': -len(list_intersect(words, {_list(keys)})), 'i': {i}, 'name': '{name}'}}" for i, (name, keys) in enumerate(TOPIC_INDUSTRIES.items()))}])[1] AS b FROM k)
+SELECT topic, CASE {' '.join(f"WHEN list_has_any(words, {_list(keys)}) THEN '{name}'" for name, keys in TOPIC_RULES)} ELSE coalesce(words[1], 'unnamed') END AS label, CASE WHEN b.n < 0 THEN b.name END AS industry FROM b""")
+def topic_labels(spark, sf_dir):
+    """TM2 over the eight most frequent words of each source and language."""
+    from ..operators import text as t
+
+    a = v.articles(spark, sf_dir).select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))).alias("doc_id"), "text")
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("tf"), "term"))
+    top = t.postings(a).withColumn("r", rank).filter("r <= 8").groupBy(F.col("doc_id").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda y: y["term"]).alias("words"))
+    return t.topic_labels(top, TOPIC_RULES, TOPIC_INDUSTRIES)
+
+
+STOP = ["the", "and", "der", "die", "que", "les"]
+
+
+@query("fn01_stopwords", r"t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda z: length(z) >= 2 AND NOT list_contains(" + _list(STOP) + ", z)) AS l FROM articles) SELECT doc_id, CAST(len(l) AS INT) AS n, md5(array_to_string(l, ' ')) AS tokens_md5 FROM t")
+def stopwords(spark, sf_dir):
+    """FN1 with a list of stop words."""
+    a = v.articles(spark, sf_dir).select("doc_id", x.tokens(F.col("text"), STOP).alias("l"))
+    return a.select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", " ")).alias("tokens_md5"))
+
+
+@query("st02_suppressed_alerts", """k AS (SELECT event_type || '|' || (user_id % 5) AS key, list([epoch_us(ts)] ORDER BY ts) AS l FROM e WHERE event_type = 'error' GROUP BY ALL), r AS (SELECT key, list_reduce(l, lambda a, b: CASE WHEN b[1] - a[len(a)] >= 86400000000 THEN list_concat(a, b) ELSE a END) AS f FROM k)
+SELECT key, unnest(f) AS at FROM r""")
+def suppressed_alerts(spark, sf_dir):
+    """ST2 for a batch: an alert of a key fires when a day has passed since the last fired one."""
+    from ..streaming.alerts import suppressed
+
+    e = v.events(spark, sf_dir).filter("event_type = 'error'").select(F.concat_ws("|", "event_type", F.col("user_id") % 5).alias("key"), "ts")
+    return suppressed(e, 86_400).select("key", F.unix_micros("ts").alias("at"))
