@@ -126,7 +126,7 @@ def test_passage_decides(monkeypatch):
     monkeypatch.setattr(model, "ratios", lambda words: np.array([value[w] for w in words]), raising=False)
     monkeypatch.setattr(tox, "PASSAGE", 2)
     got = model.comparisons([["x", "bad", "yy", "yy"], ["yy"], [], ["yy"] * 50 + ["bad"], ["x", "l" * 100]])
-    assert np.allclose(got, [9 / 5, 0, 0, 9 / 5, 49 / 101])
+    assert np.allclose(got, [8 / 4, 0, 0, 9 / 5, 49 / 101])
 
 
 def test_repeated_rows_ties_and_few_labels(spark):
