@@ -79,7 +79,7 @@ def list_links(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     postings = []
     for p in differ.tolist():
         order = np.argsort(part[:, p], kind="stable")
-        postings.append((p, order, np.searchsorted(part[order, p], np.arange(257))))
+        postings.append((order, np.searchsorted(part[order, p], np.arange(257))))
     out, open_, left = [], np.ones(len(fps), bool), len(fps)
     for root in range(len(fps)):
         if not open_[root]:
@@ -88,7 +88,7 @@ def list_links(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
         while front and left:
             x = front.pop()
             if need > 0:
-                posted = [order[edge[part[x, p]] : edge[part[x, p] + 1]] for p, order, edge in postings]
+                posted = [order[edge[b] : edge[b + 1]] for (order, edge), b in zip(postings, part[x, differ].tolist())]
                 tally = np.bincount(np.concatenate(posted), minlength=len(fps)) if len(fps) <= 256 else None
                 if tally is None:
                     near, count = np.unique(np.concatenate(posted), return_counts=True)
