@@ -31,7 +31,7 @@ from .toxicity import in_fold
 #: Longest piece taken from the vocabulary; letters of a word above which sums are kept as logarithms.
 LETTERS, PLAIN = 32, 36
 #: Words whose scores a Python worker keeps, and the longest of them.
-CACHE, CACHED_LETTERS = 120_000, 64
+CACHE, CACHED_LETTERS = 300_000, 64
 UNKNOWN = 1e-7
 SMOOTH = 0.05
 ROUNDS = 3
@@ -277,11 +277,13 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
         rows = [words_of(x) for x in texts(part, text_col)]
         if not langs:
             return {"lang_pred": ["und"] * len(rows), "score": [0.0] * len(rows)}
-        if len(_at_work["row"]) > CACHE:
-            _at_work.update({"row": {}, "table": np.zeros((0, len(langs)))})
-        row: dict[str, int] = _at_work["row"]
         every: set[str] = set()
         every.update(*rows)
+        if len(_at_work["row"]) > CACHE:  # what this slice has stays
+            kept = [w for w in every if w in _at_work["row"]]
+            _at_work["table"] = _at_work["table"][np.fromiter(map(_at_work["row"].__getitem__, kept), np.int64, len(kept))]
+            _at_work["row"] = dict(zip(kept, range(len(kept))))
+        row: dict[str, int] = _at_work["row"]
         new = sorted(every.difference(row), key=len)
         scored = _pieces(m["pieces"]).scores([BEGIN + w for w in new], m["p"]) if new else np.zeros((0, len(langs)))
         known = dict(zip(new, range(len(row), len(row) + len(new))))
