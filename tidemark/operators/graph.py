@@ -27,16 +27,16 @@ def communities(edges: DataFrame, rounds: int = 20, most: int = 8) -> DataFrame:
     there are more than `most` communities, those beyond the largest most - 1 join the one that most of their nodes touch.
     """
     links = settle(both_ways(edges))
-    label = settle(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    label, still = settle(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))), 0
     for i in range(2 * rounds):
         votes = links.join(label, links.dst == label.node).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("w")).alias("m"), F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("new"))
+        best = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("new"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        new = settle(label.join(best.select("node", "new"), "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label"), (turn & (F.col("new") != F.col("label"))).alias("moved")))
-        moved, label = new.filter("moved").isEmpty(), new.drop("moved")
-        if i and moved and last:
+        new = settle(label.join(best, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label"), (turn & (F.col("new") != F.col("label"))).alias("moved")))
+        still = still + 1 if new.filter("moved").isEmpty() else 0
+        label = new.drop("moved")
+        if still == 2:  # neither half moves
             break
-        last = moved
     return merge_small(label.withColumnRenamed("label", "community"), links, most)
 
 

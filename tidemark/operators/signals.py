@@ -95,7 +95,7 @@ def industry_signals(market: DataFrame, topics: DataFrame, top: int = 8) -> Data
     m = market.select("date", "industry", lookup(F.col("stance"), INDUSTRY).alias("m"))
     t = topics.select("date", "industry", F.round(clip((F.col("dominance") - 0.2) * 1.5), 3).alias("t"))
     j = m.join(t, ["date", "industry"], "full_outer")
-    score = F.round(F.when(F.col("m").isNull(), F.col("t")).when(F.col("t").isNull(), F.col("m")).otherwise((F.col("m") + F.col("t")) / 2), 3)
+    score = F.round(F.when(F.col("m").isNull(), F.col("t")).when(F.col("t").isNull(), F.col("m")).otherwise((F.col("m") + F.col("t")) / 2), 4)
     first = F.coalesce("m", "t")
     j = j.select("date", "industry", score.alias("score"), F.when(first >= 0.4, "watch").when(first > -0.4, "wait").otherwise("avoid").alias("action"))
     rank = F.row_number().over(W.partitionBy("date").orderBy(F.desc(F.abs("score")), "industry"))

@@ -266,13 +266,14 @@ def best_worst(spark, sf_dir):
     return ts.best_worst(ts.backtest(v.order_series(spark, sf_dir)))
 
 
-@query("wn28_equal_weight", f"""{RETURNS}, eq AS (SELECT date, avg(r) AS r FROM r GROUP BY date), al AS (SELECT series_id, date, r FROM r UNION ALL SELECT 'equal_weight', date, r FROM eq),
+@query("wn28_equal_weight", """r0 AS (SELECT *, lag(hit_count) OVER (PARTITION BY industry ORDER BY date) AS prev FROM industry_daily),
+r AS (SELECT industry AS series_id, date, CASE stance WHEN 'bullish' THEN .02 WHEN 'bearish' THEN -.02 ELSE 0 END + .001 * coalesce((hit_count - prev) / greatest(prev, 1), 0) AS r FROM r0), eq AS (SELECT date, avg(r) AS r FROM r GROUP BY date), al AS (SELECT series_id, date, r FROM r UNION ALL SELECT 'equal_weight', date, r FROM eq),
 lv AS (SELECT series_id, date, r, sum(ln(1 + r)) OVER (PARTITION BY series_id ORDER BY date) AS l FROM al), tv AS (SELECT *, greatest(0, max(l) OVER (PARTITION BY series_id ORDER BY date)) AS top FROM lv)
-SELECT series_id, round(least(0, min(exp(l - top) - 1)), 6) AS max_drawdown, round((exp(sum(ln(1 + r)) * 252 / count(*)) - 1 - .025) / (stddev_pop(r) * sqrt(252)), 6) AS sharpe FROM tv GROUP BY series_id""")
+SELECT series_id, round(least(0, min(exp(l - top) - 1)), 6) AS max_drawdown, round((exp(sum(ln(1 + r)) * 252 / count(*)) - 1 - .025) / (stddev_pop(r) * sqrt(252)), 4) AS sharpe FROM tv GROUP BY series_id""")
 def equal_weight(spark, sf_dir):
-    """WN28: drawdown and Sharpe of each series and of their equal weight."""
-    r = ts.returns(v.order_series(spark, sf_dir)).select("series_id", "date", "r")
+    """WN28: drawdown and Sharpe of each industry's returns and of their equal weight."""
+    r = ts.industry_returns(v.industry_daily(spark, sf_dir)).withColumnRenamed("industry", "series_id")
     both = r.unionByName(r.groupBy("date").agg(F.avg("r").alias("r")).select(F.lit("equal_weight").alias("series_id"), "date", "r"))
     fall = ts.underwater(both).select("series_id", "max_drawdown")
     g = both.groupBy("series_id").agg(F.exp(F.sum(F.ln(1 + F.col("r"))) * 252 / F.count("*")).alias("g"), (F.stddev_pop("r") * 252**0.5).alias("vol"))
-    return fall.join(g, "series_id").select("series_id", "max_drawdown", ((F.col("g") - 1 - 0.025) / F.col("vol")).alias("sharpe"))
+    return fall.join(g, "series_id").select("series_id", "max_drawdown", F.round((F.col("g") - 1 - 0.025) / F.col("vol"), 4).alias("sharpe"))

@@ -153,8 +153,8 @@ def decision_board(spark, sf_dir):
 
 @query("sg03_industry_signals", """i AS (SELECT date, industry, stance, hit_count, row_number() OVER (PARTITION BY date ORDER BY hit_count DESC, industry) AS r, hit_count * 1e0 / sum(hit_count) OVER (PARTITION BY date) AS dominance FROM industry_daily),
 m AS (SELECT date, industry, CASE stance WHEN 'bullish' THEN .7 WHEN 'bearish' THEN -.7 ELSE 0 END AS m FROM i WHERE industry <> 'view'), t AS (SELECT date, industry, round(greatest(-1, least(1, (dominance - .2e0) * 1.5e0)), 3) AS t FROM i WHERE r <= 3),
-j AS (SELECT date, industry, round(CASE WHEN m IS NULL THEN t WHEN t IS NULL THEN m ELSE (m + t) / 2 END, 3) AS score, coalesce(m, t) AS f FROM m FULL JOIN t USING (date, industry))
-SELECT date, industry, round(score, 3) AS score, CASE WHEN f >= .4 THEN 'watch' WHEN f > -.4 THEN 'wait' ELSE 'avoid' END AS action, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(score) DESC, industry) AS rank FROM j) WHERE rank <= 8""")
+j AS (SELECT date, industry, round(CASE WHEN m IS NULL THEN t WHEN t IS NULL THEN m ELSE (m + t) / 2 END, 4) AS score, coalesce(m, t) AS f FROM m FULL JOIN t USING (date, industry))
+SELECT date, industry, score, CASE WHEN f >= .4 THEN 'watch' WHEN f > -.4 THEN 'wait' ELSE 'avoid' END AS action, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(score) DESC, industry) AS rank FROM j) WHERE rank <= 8""")
 def industry_signals(spark, sf_dir):
     i = v.industry_daily(spark, sf_dir)
     share = F.col("hit_count") / F.sum("hit_count").over(W.partitionBy("date"))
