@@ -65,7 +65,7 @@ def stash(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out], _kept[path] = path, spark
     return out
