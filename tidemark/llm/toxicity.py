@@ -160,9 +160,11 @@ class Model:
         return np.add.reduceat(value, first)
 
     def look(self, words: set[str]) -> dict[str, float]:
-        """Values of words beyond the cached length; the others are added to the cache, which starts anew when it is full."""
+        """Values of words beyond the cached length; the others are added to the cache, where these words stay when it is full."""
         if len(self.row) > CACHE:
-            self.clear()
+            kept = [w for w in words if w in self.row]
+            at = np.fromiter(map(self.row.__getitem__, kept), np.int64, len(kept))
+            self.row, self.value, self.length = dict(zip(kept, range(len(kept)))), self.value[at], self.length[at]
         new = sorted((w for w in words if w not in self.row), key=len)
         long = {w: float(self.ratios([w])[0]) for w in new if len(w) > CACHED_LETTERS}
         new = new[: len(new) - len(long)]
