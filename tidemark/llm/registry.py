@@ -16,6 +16,7 @@ MODULES = {
     "op8_simhash": "simhash",
     "op5_bpe": "bpe",
     "op10_line_dedup": "line_dedup",
+    "op11_chat_format": "chat_format",
 }
 
 
