@@ -17,6 +17,7 @@ MODULES = {
     "op5_bpe": "bpe",
     "op10_line_dedup": "line_dedup",
     "op11_chat_format": "chat_format",
+    "op12_whitening": "whitening",
     "op13_repair": "repair",
 }
 
