@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidemark.operators import decision as d
+from tidemark.operators import similar
 from tidemark.operators import text as t
 
 
@@ -62,10 +63,13 @@ def test_jaccard_and_cosine(spark):
 
 
 def drops(ids, pairs):
+    later = {}
+    for a, b in pairs:
+        later.setdefault(a, []).append(b)
     gone = set()
     for i in sorted(ids):
         if i not in gone:
-            gone |= {b for a, b in pairs if a == i and b not in gone}
+            gone.update(later.get(i, ()))
     return gone
 
 
@@ -87,6 +91,47 @@ def test_full_dedup(spark):
     assert got == want
 
 
+def test_joins_and_selection_at_several_thresholds(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([1, 4, 12, 40])))) for i in range(150)]
+    docs += [(1000 + i, docs[i][1] + " extra" + " w1" * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {i: set(words(s)) for i, s in docs}
+    for least in (0.5, 0.7, 0.95):
+        want = cosines(docs, least)
+        got = {(r.i, r.j): r.sim for r in t.cosine(df, least).collect()}
+        assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        want = {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and len(a & b) >= least * len(a | b)}
+        assert {(r.i, r.j) for r in t.jaccard(df, least).collect()} == want
+
+
+def test_candidates_are_few(spark):
+    """The bound leaves at most three candidates for each result, on texts of a common vocabulary."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(80))) for i in range(400)]
+    docs += [(1000 + i, docs[i][1] + " w1") for i in range(100)]
+    w = t.tfidf(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = {tuple(r) for r in similar.candidates(w, 0.8).collect()}
+    want = set(cosines(docs, 0.8))
+    assert want <= found and len(found) <= 3 * len(want) and len(want) >= 100
+
+
+def test_selection_settles_any_graph(spark):
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(5000)]
+    star = [(10_000, 10_001 + i) for i in range(300)] + [(10_001 + i, 10_002 + i) for i in range(299)]
+    wild = [tuple(sorted(rng.sample(range(20_000, 20_200), 2))) for _ in range(600)]
+    edges = chain + star + wild + [(50_000 + 2 * i, 50_001 + 2 * i) for i in range(200)] + [(7, 7), (3, 4)]
+    want = drops({x for p in edges for x in p}, {e for e in edges if e[0] != e[1]})
+    df = spark.createDataFrame(edges, "i long, j long")
+    rows = [r.doc_id for r in t.greedy(df).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    some = [e for e in edges if e[0] < 300 or 10_000 <= e[0] < 50_000]
+    rows = [r.doc_id for r in similar.select_in_order(spark.createDataFrame(some, "i long, j long"), most=150).collect()]  # larger components go round again
+    assert set(rows) == drops({x for p in some for x in p}, {e for e in some if e[0] != e[1]}) and len(rows) == len(set(rows))
+    assert t.greedy(df.limit(0)).count() == 0
+
+
 def test_textrank_edges(spark):
     docs = corpus(12) + [(900, "aa bb"), (901, "aa bb aa"), (902, "cc cc cc dd")]
     want = Counter()

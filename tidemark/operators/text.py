@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import count_of, title_key, tokens
+from .similar import cosine_join, jaccard_join, select_in_order
 
 
 def postings(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
@@ -111,52 +112,18 @@ def classes(docs: DataFrame, key: F.Column) -> DataFrame:
 
 
 def jaccard(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """SM1: (i, j, sim), i < j, of documents whose sets of tokens share `least` of their union; each document is a set of its own.
-
-    Prefix filter: terms are put in order from rare to frequent; sets of n terms that share that much have a term in common among
-    their first n - ceil(least n) + 1. Only those are joined, so frequent words make no pairs; candidates are then compared whole.
-    """
-    terms = postings(docs).select("doc_id", "term")
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    sets = terms.join(df, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("s"))  # the terms of one document
-    sets = sets.select("doc_id", F.transform("s", lambda x: x["term"]).alias("t")).withColumn("n", F.size("t"))
-    first = sets.select("doc_id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("term"))
-    a, b = first.select("term", F.col("doc_id").alias("i"), F.col("n").alias("x")), first.select("term", F.col("doc_id").alias("j"), F.col("n").alias("y"))
-    pairs = a.join(b, "term").filter((F.col("i") < F.col("j")) & (F.least("x", "y") >= F.greatest("x", "y") * least - 1e-9)).select("i", "j").distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("i"), F.col("t").alias("a")), "i").join(sets.select(F.col("doc_id").alias("j"), F.col("t").alias("b")), "j")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.select("i", "j", (shared / (F.size("a") + F.size("b") - shared)).alias("sim")).filter(F.col("sim") >= least - 1e-9)
+    """SM1: (i, j, sim), i < j, of documents whose sets of tokens share `least` of their union; each document is a set of its own."""
+    return jaccard_join(postings(docs).select("doc_id", "term"), least)
 
 
 def cosine(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """SM2: (i, j, sim), i < j, of documents whose TF-IDF vectors have a cosine of `least` or more.
-
-    Prefix filter: from the most frequent term on, terms whose weights together stay shorter than `least` can't make a pair by
-    themselves; only the others are joined, and candidates' products are then summed over all terms.
-    """
-    w = tfidf(docs)
-    upto = F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("doc_id").orderBy(F.desc("df"), "term"))
-    first = w.withColumn("upto", upto).filter(F.col("upto") >= least * least - 1e-9).select("doc_id", "term")
-    pairs = first.withColumnRenamed("doc_id", "i").join(first.withColumnRenamed("doc_id", "j"), "term").filter("i < j").select("i", "j").distinct()
-    a, b = w.select(F.col("doc_id").alias("i"), "term", F.col("weight").alias("x")), w.select(F.col("doc_id").alias("j"), "term", F.col("weight").alias("y"))
-    return pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).filter(F.col("sim") >= least - 1e-9)
-
+    """SM2: (i, j, sim), i < j, of documents whose TF-IDF vectors have a cosine of `least` or more."""
+    return cosine_join(tfidf(docs), least)
 
-def greedy(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """DD2: documents of similar pairs (i < j) that go when documents are taken in order and a kept one drops later similar ones.
 
-    A document is kept once none of its earlier neighbours is kept or open, and dropped once one is kept. Each round settles the
-    earliest open documents of all groups at once; a round is two joins, and its state is written to the checkpoint folder.
-    """
-    pairs = pairs.select("i", "j")
-    state = pairs.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct().withColumn("state", F.lit(0))  # 0 open, 1 kept, 2 dropped
-    for _ in range(rounds):
-        before = pairs.join(state.select(F.col("doc_id").alias("i"), "state"), "i").groupBy(F.col("j").alias("doc_id")).agg(F.max((F.col("state") == 1).cast("int")).alias("kept"), F.max((F.col("state") == 0).cast("int")).alias("open"))
-        new = F.when(F.col("state") != 0, F.col("state")).when(F.col("kept") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = settle(state.join(before, "doc_id", "left").select("doc_id", new.alias("state")))
-        if state.filter("state = 0").isEmpty():
-            return state.filter("state = 2").select("doc_id")
-    raise RuntimeError("greedy selection did not settle")
+def greedy(pairs: DataFrame) -> DataFrame:
+    """DD2: documents of similar pairs (i < j) that go when documents are taken in order and a kept one drops later similar ones."""
+    return select_in_order(pairs)
 
 
 def settle(df: DataFrame) -> DataFrame:
