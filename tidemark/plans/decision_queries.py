@@ -62,14 +62,15 @@ def pagerank(spark, sf_dir):
 
 
 ALERTS = """SELECT date, 'sentiment' AS kind, 'critical' AS level FROM daily_metric WHERE sentiment_index < 38 UNION ALL SELECT date, 'sentiment', 'warning' FROM daily_metric WHERE sentiment_index >= 38 AND sentiment_index < 41
- UNION ALL SELECT date, 'policy', 'warning' FROM daily_metric WHERE policy_stance_score < .2"""
+ UNION ALL SELECT date, 'policy', 'warning' FROM daily_metric WHERE policy_stance_score < .2
+ UNION ALL SELECT date, 'volatility', 'warning' FROM daily_metric WHERE attention_entropy < .97 AND industry_count > 0"""
 
 
 @query("st01_alerts", ALERTS)
 def alerts(spark, sf_dir):
     from ..streaming.alerts import alert_rows
 
-    return alert_rows(v.daily_metric(spark, sf_dir), critical=38, warning=41, policy=0.2)
+    return alert_rows(v.daily_metric(spark, sf_dir), critical=38, warning=41, policy=0.2, entropy=0.97)
 
 
 @query("st07_event_windows", "SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -79,6 +80,42 @@ def event_windows(spark, sf_dir):
     return stream_windows(spark, f"{sf_dir}/events.parquet").withColumn("total", F.round("total", 4))
 
 
+@query("st07_sliding", """w AS (SELECT unnest([time_bucket(INTERVAL 8 HOUR, ts), time_bucket(INTERVAL 8 HOUR, ts) - INTERVAL 8 HOUR, time_bucket(INTERVAL 8 HOUR, ts) - INTERVAL 16 HOUR]) AS start, event_type, value FROM events)
+SELECT CAST(start AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")
+def sliding_windows(spark, sf_dir):
+    """ST7: a day's window every eight hours, by a stream that runs to its end."""
+    from ..streaming import windows as w
+
+    made = w.replay(spark, f"{sf_dir}/events.parquet", lambda e: w.sliding(e, "1 day", "8 hours", ["event_type"]), "1 hour")
+    return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("st07_session", """o AS (SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT *, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 6 HOUR) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 6 HOUR AS TIMESTAMP) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf_dir):
+    """ST7: a user's sessions, which six hours without an event end, by a stream that runs to its end."""
+    from ..streaming import windows as w
+
+    made = w.replay(spark, f"{sf_dir}/events.parquet", lambda e: w.sessions(e, "6 hours", ["user_id"]), "1 hour")
+    return made.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query("st03_routed_alerts", """a AS (SELECT event_id, event_type AS type FROM events WHERE event_type IN ('error', 'purchase', 'signup')), s AS (SELECT n_name AS subscriber, CASE n_nationkey % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'purchase' WHEN 2 THEN 'signup' END AS topic FROM nation)
+SELECT subscriber, type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM a JOIN s ON topic IS NULL OR topic = type GROUP BY ALL""")
+def routed_alerts(spark, sf_dir):
+    """ST3: alerts of a stream delivered to those who subscribe to their type or to all."""
+    import uuid
+
+    from ..streaming import keyed as ke
+    from ..streaming import windows as w
+
+    subs = v.table(spark, sf_dir, "nation").selectExpr("n_name AS subscriber", "CASE n_nationkey % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'purchase' WHEN 2 THEN 'signup' END AS topic")
+    alerts = w.read(spark, f"{sf_dir}/events.parquet").selectExpr("event_id", "event_type AS type").filter("type IN ('error', 'purchase', 'signup')")
+    base = f"{v.checkpoint_dir(spark).rstrip('/')}/routed-{uuid.uuid4().hex}"
+    ke.deliver(alerts, subs, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return ke.delivered(spark, f"{base}/out").groupBy("subscriber", "type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
 @query("wn20_holt_winters")
 def holt_winters(spark, sf_dir):
     return k.holt_winters(v.order_series(spark, sf_dir))

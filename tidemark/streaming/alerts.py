@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def alert_rows(daily: DataFrame, critical: float = 30, warning: float = 40, policy: float = -0.4) -> DataFrame:
-    """ST1: (date, kind, level) of every rule that a day's metrics break; the same for a batch and a stream."""
+def alert_rows(daily: DataFrame, critical: float = 30, warning: float = 40, policy: float = -0.4, entropy: float = 0.3) -> DataFrame:
+    """ST1: (date, kind, level) of every rule that a day's metrics break; the same for a batch and a stream.
+
+    Attention is too concentrated below `entropy` on a day on which any industry was hit.
+    """
     s = F.col("sentiment_index")
     rules = [F.when(s < critical, F.struct(F.lit("sentiment").alias("kind"), F.lit("critical").alias("level"))).when(s < warning, F.struct(F.lit("sentiment").alias("kind"), F.lit("warning").alias("level"))),
-        F.when(F.col("policy_stance_score") < policy, F.struct(F.lit("policy").alias("kind"), F.lit("warning").alias("level")))]
+        F.when(F.col("policy_stance_score") < policy, F.struct(F.lit("policy").alias("kind"), F.lit("warning").alias("level"))),
+        F.when((F.col("attention_entropy") < entropy) & (F.col("industry_count") > 0), F.struct(F.lit("volatility").alias("kind"), F.lit("warning").alias("level")))]
     return daily.select("date", F.explode(F.array_compact(F.array(*rules))).alias("a")).select("date", "a.kind", "a.level")
 
 
