@@ -59,17 +59,6 @@ def quality(title: Column, text: Column, words: list[str], phrases: list[str]) -
     return F.when(F.length(title) < 6, 0.0).when(F.length(text) < 60, 0.2).when(spam(text, phrases), 0.1).otherwise(rich)
 
 
-def first_rule(text: Column, rules: list[tuple[str, list[str]]], other: str = "other") -> Column:
-    """FN13, FN19: name of the first rule any of whose keys the text contains."""
-    out = F.lit(other)
-    for name, keys in reversed(rules):
-        hit = F.lit(False)
-        for k in keys:
-            hit = hit | F.contains(text, F.lit(k))
-        out = F.when(hit, name).otherwise(out)
-    return out
-
-
 def intensity(text: Column, action: dict[str, float], subject: dict[str, float], bonus: Column) -> Column:
     """FN14: half the strongest action, two fifths of the strongest subject (.5 where none), a bonus; within [.1, 1]."""
 

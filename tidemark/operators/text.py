@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import count_of, title_key, tokens
+from ..functions.expressions import title_key, tokens
 from .similar import cosine_join, jaccard_join, select_in_order
 
 
@@ -70,35 +70,6 @@ def textrank_edges(docs: DataFrame, window: int = 3) -> DataFrame:
     return rows.filter("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("weight"))
 
 
-def lexicon_matches(docs: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
-    """AG3, J1: by group, all occurrences of the first listed keyword that each text contains; hits and documents."""
-    per = [F.coalesce(*[F.when(F.contains("text", F.lit(k)), count_of(F.col("text"), k)) for k in keys]) for keys in lexicon.values()]
-    rows = F.array(*[F.struct(F.lit(g).alias("industry"), c.alias("hits")) for g, c in zip(lexicon, per)])
-    hit = docs.select("doc_id", F.explode(rows).alias("m")).select("doc_id", "m.industry", "m.hits").filter("hits is not null")
-    return hit.groupBy("industry").agg(F.sum("hits").alias("hit_count"), F.countDistinct("doc_id").alias("article_count"))
-
-
-def industry_words(docs: DataFrame, lexicon: dict[str, list[str]], top: int = 5) -> DataFrame:
-    """AG4: most frequent words of the documents that match each group."""
-    groups = F.array_compact(F.array(*[F.when(_any(keys), F.lit(g)) for g, keys in lexicon.items()]))
-    words = docs.select(F.explode(groups).alias("industry"), F.col("text")).select("industry", F.explode(tokens(F.col("text"))).alias("word")).groupBy("industry", "word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("industry").orderBy(F.desc("n"), "word"))
-    return words.withColumn("rank", rank).filter(F.col("rank") <= top)
-
-
-def _any(keys):
-    out = F.lit(False)
-    for k in keys:
-        out = out | F.contains("text", F.lit(k))
-    return out
-
-
-def entities(docs: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
-    """AG12 (input): one (doc_id, type, value) for each entity that a text contains."""
-    rows = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(k)), F.struct(F.lit(t).alias("type"), F.lit(k).alias("value"))) for t, keys in lexicon.items() for k in keys]))
-    return docs.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.type", "x.value")
-
-
 def relations(found: DataFrame, least: int = 2) -> DataFrame:
     """GR2, J9: entity pairs in one article, by number of articles."""
     a, b = found.select("doc_id", F.col("value").alias("src")).distinct(), found.select("doc_id", F.col("value").alias("dst")).distinct()

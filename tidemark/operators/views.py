@@ -80,6 +80,18 @@ def articles(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
 
 
+def lexicon(spark, sf_dir) -> DataFrame:
+    """(grp, phrase, place): a lexicon in eleven groups, from the neighbouring words of `benchmark`, whose passages occur in documents.
+
+    A phrase belongs to the group of the first text that has it.
+    """
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    b = table(spark, sf_dir, "benchmark").select("item_id", words.alias("l")).filter(F.size("l") > 1)
+    two = F.transform(F.slice("l", F.lit(1), F.size("l") - 1), lambda w, i: F.concat(w, F.lit(" "), F.get("l", i + 1)))
+    p = b.select("item_id", F.posexplode(two).alias("i", "phrase")).groupBy("phrase").agg(F.min(F.struct("item_id", "i")).alias("m"))
+    return p.select(F.format_string("group %02d", F.col("m.item_id") % 11).alias("grp"), "phrase", (F.col("m.item_id") * 1_000_000 + F.col("m.i")).alias("place"))
+
+
 #: The same views as DuckDB CTEs, for the oracle.
 SQL = """
 e AS (SELECT CAST(ts AS DATE) AS date, ts, event_id, user_id, event_type, value, json_extract_string(props, '$.k') AS keyword FROM events),
@@ -92,5 +104,10 @@ dm0 AS (SELECT date, count(*) AS article_count, count(DISTINCT keyword) AS uniqu
   count(DISTINCT user_id % 12) AS industry_count, count(*) FILTER (event_type = 'error') AS event_count FROM e GROUP BY date),
 daily_metric AS (SELECT * FROM dm0 JOIN ent USING (date)),
 series AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value FROM orders GROUP BY ALL),
-articles AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, coalesce(text, '') AS text, source, lang FROM documents)
+articles AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, coalesce(text, '') AS text, source, lang FROM documents),
+lw AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda z: z <> '') AS l FROM benchmark),
+lp AS (SELECT item_id, i, l[i] || ' ' || l[i + 1] AS phrase FROM lw, unnest(range(1, len(l))) AS t(i)),
+lexicon AS (SELECT printf('group %02d', m // 1000000 % 11) AS grp, phrase, m AS place FROM (SELECT phrase, min(item_id * 1000000 + i - 1) AS m FROM lp GROUP BY phrase)),
+found AS (SELECT doc_id, grp, phrase, place, (length(text) - length(replace(text, phrase, ''))) // length(phrase) AS hits FROM articles JOIN lexicon ON contains(text, phrase)),
+kw AS (SELECT doc_id, grp, arg_min(phrase, place) AS phrase, arg_min(hits, place) AS hits FROM found GROUP BY ALL)
 """

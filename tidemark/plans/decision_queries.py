@@ -9,7 +9,7 @@ from ..operators import kernels as k
 from ..operators import text as t
 from ..operators import views as v
 from .series_queries import long, rounded
-from .text_queries import ENTITIES, ENTITY
+from .text_queries import ENTITY, article_entities
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,13 +52,13 @@ EDGES = f"{ENTITY}, ed AS (SELECT a.value AS src, b.value AS dst, count(*) AS we
 dg AS (SELECT grp, count(*) AS degree FROM (SELECT unnest([gs, gd]) AS grp FROM g) GROUP BY grp), i AS (SELECT gs AS grp, count(*) AS inside FROM g WHERE gs = gd GROUP BY gs)
 SELECT round(sum(coalesce(inside, 0) / m - (degree / (2 * m)) * (degree / (2 * m))), 6) AS modularity FROM dg LEFT JOIN i USING (grp), m""")
 def modularity(spark, sf_dir):
-    e = t.entities(v.articles(spark, sf_dir), ENTITIES)
+    e = article_entities(spark, sf_dir)
     return d.modularity(t.relations(e), e.select(F.col("value").alias("node"), F.col("type").alias("group")).distinct())
 
 
 @query("gr01_pagerank")
 def pagerank(spark, sf_dir):
-    return d.pagerank(t.relations(t.entities(v.articles(spark, sf_dir), ENTITIES)))
+    return d.pagerank(t.relations(article_entities(spark, sf_dir)))
 
 
 ALERTS = """SELECT date, 'sentiment' AS kind, 'critical' AS level FROM daily_metric WHERE sentiment_index < 38 UNION ALL SELECT date, 'sentiment', 'warning' FROM daily_metric WHERE sentiment_index >= 38 AND sentiment_index < 41

@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from ..operators import lexicon as lx
 from ..operators import pages as p
 from ..operators import timeseries as ts
 from ..operators import views as v
 from .series_queries import LONG, long, rounded
-from .text_queries import ENTITIES, ENTITY, LEXICON, QUALITY_WORDS, SPAM
+from .text_queries import QUALITY_WORDS, SPAM
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,13 +118,11 @@ def quality_filter(spark, sf_dir):
     return a.filter("quality >= 0.25")
 
 
-def _hits(keys):
-    return " + ".join(f"CAST(contains(text, '{k}') AS INT)" for k in keys)
-
-
-@query("fn09_relevance", "h AS (SELECT doc_id, text, " + ", ".join(f"{_hits(keys)} AS c{i}" for i, keys in enumerate(LEXICON.values())) + " FROM articles), t AS (SELECT doc_id, text, c0 + c1 + c2 + c3 AS n, list_sort(list_filter([" + ", ".join(f"{{'c': -c{i}, 'i': {i}, 't': '{g}'}}" for i, g in enumerate(LEXICON)) + "], lambda z: z.c < 0)) AS l FROM h) SELECT doc_id, round(CASE WHEN trim(text) = '' THEN 0 WHEN n = 0 THEN .1 ELSE least(.95, .3 + .1 * n) END, 6) AS score, array_to_string([z.t FOR z IN l[1:3]], ',') AS themes FROM t")
+@query("fn09_relevance", """n AS (SELECT doc_id, grp, count(*) AS c FROM found GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, grp) AS rank FROM n),
+p AS (SELECT doc_id, sum(c) * 1e0 AS n, string_agg(grp, ',' ORDER BY rank) FILTER (rank <= 3) AS themes FROM r GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN trim(text) = '' THEN 0 WHEN n IS NULL THEN .1 ELSE least(.95e0, .3e0 + .1e0 * n) END, 6) AS score, coalesce(themes, '') AS themes FROM articles LEFT JOIN p USING (doc_id)""")
 def relevance(spark, sf_dir):
-    return v.articles(spark, sf_dir).select("doc_id", p.themes(F.col("text"), LEXICON).alias("x")).select("doc_id", "x.score", "x.themes")
+    return lx.themes(v.articles(spark, sf_dir), v.lexicon(spark, sf_dir))
 
 
 GOOD, BAD = ["the", "der", "que"], ["ing", "ung", "ción"]
@@ -309,21 +308,14 @@ def stocks(spark, sf_dir):
     return v.industry_daily(spark, sf_dir).select("industry").distinct().join(F.broadcast(s), "industry").filter("place < 2").select("industry", "name", "code")  # six rows
 
 
-@query("fn24_indicator_links", f"""{ENTITY}, w AS (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY value) AS pos FROM (SELECT DISTINCT doc_id, value FROM ent0)), m AS (SELECT * FROM (VALUES (' of ', 'CPI'), (' and ', 'PMI'), (' der ', 'CPI'), (' to ', 'GDP'), (' la ', 'PPI'), (' que ', 'PMI')) t(value, code)),
-l AS (SELECT doc_id, code, min(pos) AS pos FROM w JOIN m USING (value) WHERE pos <= 8 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, code) AS k FROM l)
+@query("fn24_indicator_links", """w AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY phrase) AS pos FROM found), c AS (SELECT phrase, ['CPI', 'PMI', 'GDP', 'PPI', 'M2'][place % 7 + 1] AS code FROM lexicon WHERE place % 7 < 5),
+l AS (SELECT doc_id, code, min(pos) AS pos FROM w JOIN c USING (phrase) WHERE pos <= 8 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, code) AS k FROM l)
 SELECT a.doc_id, coalesce(string_agg(code, ',' ORDER BY k) FILTER (k <= 6), 'CPI') AS codes FROM articles a LEFT JOIN r USING (doc_id) GROUP BY a.doc_id""")
 def indicator_links(spark, sf_dir):
-    """FN24: indicators of a text's first eight theme words, each once, six at most, the first indicator if there is none."""
-    from ..operators import text as t
-
-    codes = {" of ": "CPI", " and ": "PMI", " der ": "CPI", " to ": "GDP", " la ": "PPI", " que ": "PMI"}
-    docs = v.articles(spark, sf_dir)
-    e = t.entities(docs, ENTITIES).select("doc_id", "value").distinct()
-    w = e.withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("value"))).filter("pos <= 8")
-    code = F.coalesce(*[F.when(F.col("value") == k, F.lit(c)) for k, c in codes.items()])
-    found = w.withColumn("code", code).filter("code is not null").groupBy("doc_id", "code").agg(F.min("pos").alias("pos"))
-    g = found.groupBy("doc_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "code"))), 1, 6), lambda y: y["code"]).alias("l"))
-    return docs.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("l", ","), F.lit("CPI")).alias("codes"))
+    """FN24: indicators of a text's first eight theme phrases, each once, six at most, the first indicator if there is none; some phrases have no indicator."""
+    lexicon = v.lexicon(spark, sf_dir)
+    codes = lexicon.filter("place % 7 < 5").selectExpr("phrase", "array('CPI', 'PMI', 'GDP', 'PPI', 'M2')[CAST(place % 7 AS INT)] AS code")
+    return lx.linked_codes(v.articles(spark, sf_dir), lexicon, codes)
 
 
 # --- topics, stop words, suppressed alerts ----------------------------------------------------------------------

@@ -13,7 +13,7 @@ from ..operators import text as t
 from ..operators import views as v
 from .decision_queries import EDGES
 from .series_queries import rounded
-from .text_queries import ENTITIES, TFIDF, TOKENS
+from .text_queries import TFIDF, TOKENS, article_entities
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -224,7 +224,7 @@ def keyword_graph(spark, sf_dir):
 
 @query("gr04_summary_edges", f"{EDGES} SELECT src, dst, weight, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank FROM ed) WHERE rank <= 16")
 def summary_edges(spark, sf_dir):
-    e = t.relations(t.entities(v.articles(spark, sf_dir), ENTITIES)).orderBy(F.desc("weight"), "src", "dst").limit(16)
+    e = t.relations(article_entities(spark, sf_dir)).orderBy(F.desc("weight"), "src", "dst").limit(16)
     return e.withColumn("rank", F.row_number().over(t.W.orderBy(F.desc("weight"), "src", "dst")))  # 16 rows
 
 

@@ -9,7 +9,7 @@ from ..operators import tables as o
 from ..operators import text as t
 from ..operators import views as v
 from .series_queries import rounded
-from .text_queries import ENTITIES, ENTITY
+from .text_queries import ENTITY, article_entities
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +107,7 @@ def labels(spark, sf_dir):
 
 @query("gr03_nodes", f"{ENTITY} SELECT value AS id, type, count(*) AS freq, round(log2(count(*) + 1) * 30, 6) AS size FROM ent0 GROUP BY ALL HAVING count(*) >= 5")
 def nodes(spark, sf_dir):
-    return o.nodes(t.entities(v.articles(spark, sf_dir), ENTITIES), 5)
+    return o.nodes(article_entities(spark, sf_dir), 5)
 
 
 @query("rp01_bars", "m AS (SELECT industry, sum(hit_count) AS h FROM industry_daily GROUP BY industry) SELECT industry, repeat('█', CAST(floor(h * 20.0 / max(h) OVER ()) AS INT)) AS bar FROM m")

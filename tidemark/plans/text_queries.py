@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from ..operators import lexicon as lx
 from ..operators import text as t
 from ..operators import views as v
 from .series_queries import rounded
@@ -13,10 +14,6 @@ from .series_queries import rounded
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: Lexicons for the driver's texts, which are invented prose: frequent words stand for the model's keywords.
-LEXICON = {"energy": ["tion", "the"], "finance": ["aux", "que"], "transport": ["ung", "lich"], "health": ["ción", "mente"]}
-ENTITIES = {"org": [" of ", " and ", " les "], "place": [" der ", " la "], "topic": [" que ", " to "]}
-RULES = [("policy", ["ction", "ungs"]), ("market", ["aux ", "que "]), ("trade", [" the ", " der "])]
 SECRETS = {"email": r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]+", "card": r"\b[0-9]{16}\b", "key": r"(?i)api[_-]?key", "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"}
 TOKENS = r"tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2)) AS term FROM src)"
 TFIDF = """tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), nd AS (SELECT count(*) AS n FROM src),
@@ -59,9 +56,9 @@ def quality(spark, sf_dir):
     return v.articles(spark, sf_dir).select("doc_id", x.quality(F.col("title"), F.col("text"), QUALITY_WORDS, SPAM).alias("quality"))
 
 
-@query("fn13_event_category", "SELECT doc_id, CASE " + " ".join(f"WHEN {has('text', k)} THEN '{n}'" for n, k in RULES) + " ELSE 'other' END AS category FROM articles")
+@query("fn13_event_category", "SELECT doc_id, coalesce(min(grp), 'other') AS category FROM articles LEFT JOIN kw USING (doc_id) GROUP BY doc_id")
 def event_category(spark, sf_dir):
-    return v.articles(spark, sf_dir).select("doc_id", x.first_rule(F.col("text"), RULES).alias("category"))
+    return lx.first_rule(v.articles(spark, sf_dir), v.lexicon(spark, sf_dir))
 
 
 @query("fn14_event_intensity", """SELECT doc_id, round(greatest(.1, least(1, .5 * coalesce(greatest(CASE WHEN contains(text, 'tion') THEN .9 END, CASE WHEN contains(text, 'ment') THEN .6 END), .5)
@@ -108,31 +105,35 @@ def tfidf_keywords(spark, sf_dir):
     return t.tfidf_keywords(v.articles(spark, sf_dir))
 
 
-def _count(k):
-    return f"(length(text) - length(replace(text, '{k}', ''))) // {len(k)}"
-
-
-@query("ag03_lexicon_matches", "m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{g}' AS industry, CASE " + " ".join(f"WHEN contains(text, '{k}') THEN {_count(k)}" for k in keys) + " END AS hits FROM articles" for g, keys in LEXICON.items()) + ") SELECT industry, CAST(sum(hits) AS BIGINT) AS hit_count, count(DISTINCT doc_id) AS article_count FROM m WHERE hits IS NOT NULL GROUP BY industry")
+@query("ag03_lexicon_matches", """n AS (SELECT grp, title, min(doc_id) AS doc_id FROM kw JOIN articles USING (doc_id) WHERE title <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS rank FROM n),
+t AS (SELECT grp, string_agg(title, ' | ' ORDER BY rank) AS titles FROM r WHERE rank <= 5 GROUP BY grp)
+SELECT grp AS industry, CAST(sum(hits) AS BIGINT) AS hit_count, count(DISTINCT doc_id) AS article_count, any_value(titles) AS titles FROM kw LEFT JOIN t USING (grp) GROUP BY grp""")
 def lexicon_matches(spark, sf_dir):
-    return t.lexicon_matches(v.articles(spark, sf_dir), LEXICON)
+    return lx.industry_matches(v.articles(spark, sf_dir), v.lexicon(spark, sf_dir)).withColumn("titles", F.array_join("titles", " | "))
 
 
-@query("ag04_industry_words", "m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{g}' AS industry, text FROM articles WHERE {has('text', keys)}" for g, keys in LEXICON.items()) + r"), k AS (SELECT industry, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2)) AS word FROM m), c AS (SELECT industry, word, count(*) AS n FROM k GROUP BY ALL) SELECT industry, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 5")
+@query("ag04_industry_words", r"""k AS (SELECT grp AS industry, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2)) AS word FROM kw JOIN articles USING (doc_id)), c AS (SELECT industry, word, count(*) AS n FROM k GROUP BY ALL)
+SELECT industry, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 5""")
 def industry_words(spark, sf_dir):
-    return t.industry_words(v.articles(spark, sf_dir), LEXICON)
+    return lx.industry_words(v.articles(spark, sf_dir), v.lexicon(spark, sf_dir))
+
+
+#: Entities of articles: (doc_id, type, value).
+ENTITY = "ent0 AS (SELECT doc_id, grp AS type, phrase AS value FROM found)"
 
 
-ENTITY = "ent0 AS (" + " UNION ALL ".join(f"SELECT doc_id, '{g}' AS type, '{k}' AS value FROM articles WHERE contains(text, '{k}')" for g, keys in ENTITIES.items() for k in keys) + ")"
+def article_entities(spark, sf_dir):
+    return lx.entities(v.articles(spark, sf_dir), v.lexicon(spark, sf_dir))
 
 
 @query("ag12_entities", f"{ENTITY} SELECT type, value, count(*) AS freq FROM ent0 GROUP BY ALL")
 def entities(spark, sf_dir):
-    return t.entities(v.articles(spark, sf_dir), ENTITIES).groupBy("type", "value").agg(F.count("*").alias("freq"))
+    return article_entities(spark, sf_dir).groupBy("type", "value").agg(F.count("*").alias("freq"))
 
 
 @query("gr02_relations", f"{ENTITY} SELECT a.value AS src, b.value AS dst, count(*) AS weight FROM ent0 a JOIN ent0 b ON a.doc_id = b.doc_id AND a.value < b.value GROUP BY ALL HAVING count(*) >= 2")
 def relations(spark, sf_dir):
-    return t.relations(t.entities(v.articles(spark, sf_dir), ENTITIES))
+    return t.relations(article_entities(spark, sf_dir))
 
 
 @query("ag15_index_quantiles", "s AS (SELECT event_type, list_sort(list(value)) AS s, count(value) AS n FROM e WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, " + ", ".join(f"s[least(CAST(floor(n * {q}) AS BIGINT), n - 1) + 1] AS {p}" for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + ", s[1] AS low, s[n] AS high, n FROM s")

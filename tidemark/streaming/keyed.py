@@ -41,7 +41,8 @@ class Suppressor(StatefulProcessor):
                 self.handle.deleteTimer(self._due(before))
             self.last.update((last,))
             self.handle.registerTimer(self._due(last))
-        yield pd.DataFrame({"key": [key[0]] * len(fired), "ts": fired})
+        if fired:
+            yield pd.DataFrame({"key": [key[0]] * len(fired), "ts": pd.Series(fired, dtype="datetime64[ns]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         self.last.clear()
