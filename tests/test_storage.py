@@ -26,13 +26,6 @@ def test_archive_markdown_and_lines(spark, tmp_path):
     assert sorted(r.k for r in spark.read.json(str(tmp_path / "l")).collect()) == [1, 2]
 
 
-def test_write_day_rewrites_its_partition_alone(spark, tmp_path):
-    one = lambda x: {"metric": spark.createDataFrame([(x,)], "v int"), "keyword": spark.createDataFrame([(str(x),)], "w string")}
-    for date, x in (("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-01", 3)):
-        st.write_day(str(tmp_path), date, one(x))
-    assert sorted((str(r.date), r.v) for r in spark.read.parquet(f"{tmp_path}/metric").collect()) == [("2024-01-01", 3), ("2024-01-02", 2)]
-
-
 def test_cache(spark):
     t = lambda d: datetime.datetime(2024, 1, d)
     e = spark.createDataFrame([("a", "1", t(1)), ("a", "2", t(20)), ("b", "3", t(2))], "key string, value string, put_at timestamp")
@@ -48,13 +41,9 @@ def test_source_health(spark):
     assert got == {"s": (2, 1, 20), "f": (1, 1, 8)}
 
 
-def test_suppression_in_batch_and_stream(spark, tmp_path):
+def test_suppression_in_batch(spark):
     at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     rows = [("a", at(s)) for s in (0, 30, 59, 60, 100, 121)] + [("b", at(10))]
     want = [("a", at(0)), ("a", at(60)), ("a", at(121)), ("b", at(10))]
     df = spark.createDataFrame(rows, "key string, ts timestamp")
     assert sorted((r.key, r.ts) for r in al.suppressed(df).collect()) == want
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = al.suppress(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.key, r.ts) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
@@ -11,6 +13,8 @@ from ..operators import retrieval as r
 from ..operators import tables as o
 from ..operators import text as t
 from ..operators import views as v
+from ..sources import ledger as ld
+from ..sources import vectors as vs
 from .decision_queries import EDGES
 from .series_queries import rounded
 from .text_queries import TFIDF, TOKENS, article_entities
@@ -203,6 +207,59 @@ def vector_search(spark, sf_dir):
     return r.vector_top(e, e.filter("id % 100 = 0")).select("query_id", "vec_id", "score")
 
 
+def fresh_index(spark, sf_dir):
+    """RT3's index in a new folder: vectors of even labels build it, all others are added, those of label 3 come again, negated, and replace theirs."""
+    e = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    base = f"{v.checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index = vs.VectorIndex(spark, base)
+    index.build(e.filter("label % 2 = 0"))
+    index.add(e)
+    index.add(e.filter("label = 3").select("id", F.transform("v", lambda c: -c).alias("v")), replace=True)
+    return vs.VectorIndex(spark, base), e
+
+
+@query("rt03_index_members", "SELECT vec_id AS id, CAST(len(embedding) AS INT) AS size, round(CASE WHEN label = 3 THEN -1 ELSE 1 END * embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def index_members(spark, sf_dir):
+    return fresh_index(spark, sf_dir)[0].rows().select("id", F.size("v").alias("size"), F.col("v")[0].alias("first"))
+
+
+@query("rt03_index_search")
+def index_search(spark, sf_dir):
+    """The five best of the probed lists, of score .2 or more; tests measure recall."""
+    index, e = fresh_index(spark, sf_dir)
+    return index.search(e.filter("id % 100 = 0"), 5, 0.2).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+@query("rt05_encode_once", "SELECT run, CASE run WHEN 1 THEN n ELSE 0 END AS encoded, d AS documents FROM (SELECT count(DISTINCT text) AS n, count(*) AS d FROM articles), (SELECT unnest([1, 2]) AS run)")
+def encode_once(spark, sf_dir):
+    """RT5: hashed embeddings of all articles by content, in two runs; the second one finds every text encoded."""
+    store = vs.EmbeddingStore(spark, f"{v.checkpoint_dir(spark).rstrip('/')}/embeddings-{uuid.uuid4().hex}")
+    docs, out = v.articles(spark, sf_dir).select("doc_id", "text"), None
+    for run in (1, 2):
+        rows, n = store.encode(docs, t.hash_embedding)
+        without = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").count()  # too short for a gram
+        made = rows.agg((F.countDistinct("doc_id") + without).alias("documents")).select(F.lit(run).alias("run"), F.lit(n).cast("long").alias("encoded"), "documents")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query("snk03_daily_tables", """m AS (SELECT date FROM daily_metric), k AS (SELECT date FROM keyword_daily), i AS (SELECT date FROM industry_daily), l AS (SELECT DISTINCT date FROM m ORDER BY date DESC LIMIT 3)
+SELECT date, 'metric' AS name, count(*) AS n FROM m JOIN l USING (date) GROUP BY date UNION ALL SELECT date, 'keyword', count(*) FROM k JOIN l USING (date) GROUP BY date UNION ALL SELECT date, 'industry', count(*) FROM i JOIN l USING (date) GROUP BY date""")
+def daily_tables(spark, sf_dir):
+    """SNK3: the tables of the newest three days, each day published at once; the last day is written twice."""
+    base = f"{v.checkpoint_dir(spark).rstrip('/')}/days-{uuid.uuid4().hex}"
+    all_days = {"metric": v.daily_metric(spark, sf_dir), "keyword": v.keyword_daily(spark, sf_dir), "industry": v.industry_daily(spark, sf_dir)}
+    dates = [r.date for r in all_days["metric"].select("date").orderBy(F.desc("date")).limit(3).collect()]
+    for d in [*dates, *dates[-1:]]:
+        ld.write_day(spark, base, str(d), {name: df.filter(F.col("date") == F.lit(d)) for name, df in all_days.items()})
+    out = None
+    for d in dates:
+        for name, df in ld.read_day(spark, base, str(d)).items():
+            n = df.groupBy("date").agg(F.count("*").alias("n")).select("date", F.lit(name).alias("name"), "n")
+            out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("rt03_add_vectors", "SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'old' ELSE 'new' END AS kind, round(CASE WHEN label % 2 = 0 THEN embedding[1]::DOUBLE ELSE 0 END, 6) AS first FROM embeddings")
 def add_vectors(spark, sf_dir):
     """RT3's index: half of the vectors are there, all are added; those that were there stay."""

@@ -89,9 +89,3 @@ def cache_stats(entries: DataFrame, now: F.Column, keep: str) -> DataFrame:
     """SNK9: number of keys, of those alive, and of entries."""
     c = cached(entries, now, keep)
     return c.agg(F.count("*").alias("keys"), F.count_if("alive").alias("alive")).crossJoin(F.broadcast(entries.agg(F.count("*").alias("entries"))))  # one row each
-
-
-def write_day(path: str, date: str, tables: dict[str, DataFrame]) -> None:
-    """SNK3: the tables of one run, each in a folder of its own, rewriting the partition of the run's date alone."""
-    for name, df in tables.items():
-        df.withColumn("date", F.lit(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/{name}")

@@ -20,27 +20,6 @@ def alert_rows(daily: DataFrame, critical: float = 30, warning: float = 40, poli
     return daily.select("date", F.explode(F.array_compact(F.array(*rules))).alias("a")).select("date", "a.kind", "a.level")
 
 
-def suppress(alerts: DataFrame, seconds: int = 60) -> DataFrame:
-    """ST2: alerts (key, ts) that come at least `seconds` after the last fired one of their key, by keyed state."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def keep(key, pdfs, state):
-        last = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            fired = []
-            for ts in sorted(pdf["ts"]):
-                at = ts.timestamp()
-                if last is None or at - last >= seconds:
-                    fired.append(ts)
-                    last = at
-            yield pd.DataFrame({"key": [key[0]] * len(fired), "ts": fired})
-        if last is not None:
-            state.update((last,))
-
-    return alerts.groupBy("key").applyInPandasWithState(keep, "key string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """ST7: events (ts, event_type, value) by event-time window, with a watermark for late rows."""
     e = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", late)
