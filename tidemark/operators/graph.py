@@ -64,17 +64,17 @@ def community_summary(found: DataFrame, nodes: DataFrame, edges: DataFrame, rank
     inside = edges.join(found.select(F.col("node").alias("src"), "community"), "src").join(found.select(F.col("node").alias("dst"), F.col("community").alias("other")), "dst").filter("community = other")
     order = F.row_number().over(W.partitionBy("community").orderBy(F.desc("weight"), "src", "dst"))
     e = inside.withColumn("r", order).groupBy("community").agg(
-        F.count("*").alias("edge_count"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", F.concat_ws("-", "src", "dst").alias("e"))))), lambda x: x["e"]).alias("top_edges"))
+        F.count("*").alias("edge_count"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", F.struct("src", "dst").alias("e"))))), lambda x: x["e"]).alias("top_edges"))
     out = n.groupBy("community").agg(F.count("*").alias("node_count")).join(kinds, "community").join(tops, "community").join(e, "community", "left")
     text = F.concat(F.lit("community "), "label", F.lit(" ("), "node_count", F.lit(" nodes, "), "edge_count", F.lit(" edges). core: "), F.array_join(F.slice("top_nodes", 1, 3), " / "), F.lit("."))
-    return out.withColumn("edge_count", F.coalesce("edge_count", F.lit(0))).withColumn("top_edges", F.coalesce("top_edges", F.array().cast("array<string>"))).withColumn("summary", text)
+    return out.withColumn("edge_count", F.coalesce("edge_count", F.lit(0))).withColumn("top_edges", F.coalesce("top_edges", F.array().cast("array<struct<src:string,dst:string>>"))).withColumn("summary", text)
 
 
 def route(questions: DataFrame, communities_: DataFrame, top: int = 3) -> DataFrame:
     """GR8: (question_id, community, score, rank): 2 for each top node that the question (question_id, text) names, 1 for each top edge
     with an end in it. Communities with a score, best first; a question that names none gets the largest."""
     names = communities_.select("community", "node_count", F.explode("top_nodes").alias("name")).select("community", "node_count", "name", F.lit(2).alias("points"), F.lit(None).cast("string").alias("other"))
-    ends = communities_.select("community", "node_count", F.explode("top_edges").alias("e")).select("community", "node_count", F.split("e", "-")[0].alias("name"), F.lit(1).alias("points"), F.split("e", "-")[1].alias("other"))
+    ends = communities_.select("community", "node_count", F.explode("top_edges").alias("e")).select("community", "node_count", F.col("e.src").alias("name"), F.lit(1).alias("points"), F.col("e.dst").alias("other"))
     asked = questions.crossJoin(F.broadcast(names.unionByName(ends)))  # at most eight communities of ten rows
     hit = F.contains("text", "name") | F.coalesce(F.contains("text", "other"), F.lit(False))
     score = asked.groupBy("question_id", "community", "node_count").agg(F.sum(F.when(hit, F.col("points")).otherwise(0)).alias("score"))

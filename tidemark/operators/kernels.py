@@ -68,7 +68,10 @@ def enhanced_report(long: DataFrame, periods: DataFrame, horizons: tuple = (1, 3
 
 
 def regimes(long: DataFrame, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
-    """WN33: two-state Gaussian regimes by expectation maximisation with a Hamilton filter and a standard smoother."""
+    """WN33: two-state Gaussian regimes by expectation maximisation with a Hamilton filter and a standard smoother.
+
+    A row for each day: the chance of the state with the higher mean, the longest mean stay of the two states, and the days fitted.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
@@ -101,6 +104,7 @@ def regimes(long: DataFrame, rounds: int = 50, tolerance: float = 1e-4) -> DataF
             if abs(total - last) < tolerance:
                 break
             last = total
-        return pd.DataFrame({"series_id": pdf["series_id"], "date": pdf["date"], "p_high": post[:, int(mean.argmax())]})
+        stay = float((1 / np.maximum(1 - np.diag(move), 1e-6)).max())
+        return pd.DataFrame({"series_id": pdf["series_id"], "date": pdf["date"], "p_high": post[:, int(mean.argmax())], "sojourn": stay, "n_obs": n})
 
-    return long.groupBy("series_id").applyInPandas(fit, "series_id string, date date, p_high double")
+    return long.groupBy("series_id").applyInPandas(fit, "series_id string, date date, p_high double, sojourn double, n_obs long")

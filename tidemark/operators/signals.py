@@ -46,7 +46,7 @@ def _row(name: str, frame: DataFrame, score: Column, direction: Column) -> DataF
 def signals(policy: DataFrame, anomaly: DataFrame, forecast: DataFrame, volatility: DataFrame, market: DataFrame, events: DataFrame, topics: DataFrame, macro: DataFrame) -> DataFrame:
     """SG1: (date, signal, score, weight, place, direction), one row for each sub-signal that a day has.
 
-    policy: direction, confidence; anomaly: overall_risk; forecast: predicted, current; volatility: level; market: overall;
+    policy: direction, confidence; anomaly: overall_risk; forecast: predicted, current; volatility: level, index (which speaks where the level is unknown); market: overall;
     events: stance (a row for each event); topics: entropy; macro: category, value, previous (a row for each indicator).
     """
     s = F.col("score")
@@ -57,7 +57,7 @@ def signals(policy: DataFrame, anomaly: DataFrame, forecast: DataFrame, volatili
         _row("policy_stance", policy.filter("direction is not null"), lookup(F.col("direction"), POLICY) * F.col("confidence"), F.col("direction")),
         _row("anomaly_risk", anomaly, lookup(F.col("overall_risk"), RISK), F.when(s < 0, "bear").otherwise("bull")),
         _row("forecast", forecast, clip((F.col("predicted") - F.col("current")) / 20), side(s)),
-        _row("volatility", volatility, lookup(F.col("level"), CALM), side(s)),
+        _row("volatility", volatility, F.when((F.col("level") == "unknown") & F.col("index").between(0, 100) & (F.col("index") > 0), clip((50 - F.col("index")) / 50, -1.0, 0.3)).otherwise(lookup(F.col("level"), CALM)), side(s)),
         _row("market_correlation", market, lookup(F.col("overall"), MARKET), F.col("overall")),
         _row("events_net", net, F.col("net"), side(s)),
         _row("topic_dispersion", topics, (F.col("entropy") - 0.5) * 0.6, side(s)),
@@ -90,14 +90,19 @@ def synthesis(rows: DataFrame) -> DataFrame:
     return g.select("date", "score", "confidence", act.alias("action"), reasons.alias("reasons"), risks.alias("risks"), F.size("ranked").alias("n_signals"))
 
 
-def industry_signals(market: DataFrame, topics: DataFrame, top: int = 8) -> DataFrame:
-    """SG3: market stance and topic share of each industry; where both speak, their mean. The first speaker sets the action."""
+def industry_signals(market: DataFrame, topics: DataFrame, top: int = 8, most: int = 5) -> DataFrame:
+    """SG3: market stance and topic share of each industry, largest first; ties by name. The first speaker sets the action.
+
+    topics: date, place, industry, dominance; the first `most` of a date speak, one after the other, each taking the mean with what
+    was said before, to 3 digits (halves away from zero).
+    """
+    three = lambda x: F.round(x.cast("decimal(12,6)"), 3).cast("double")
     m = market.select("date", "industry", lookup(F.col("stance"), INDUSTRY).alias("m"))
-    t = topics.select("date", "industry", F.round(clip((F.col("dominance") - 0.2) * 1.5), 3).alias("t"))
-    j = m.join(t, ["date", "industry"], "full_outer")
-    score = F.round(F.when(F.col("m").isNull(), F.col("t")).when(F.col("t").isNull(), F.col("m")).otherwise((F.col("m") + F.col("t")) / 2), 4)
-    first = F.coalesce("m", "t")
-    j = j.select("date", "industry", score.alias("score"), F.when(first >= 0.4, "watch").when(first > -0.4, "wait").otherwise("avoid").alias("action"))
+    t = topics.filter(F.col("place") <= most).groupBy("date", "industry").agg(F.sort_array(F.collect_list(F.struct("place", clip((F.col("dominance") - 0.2) * 1.5).alias("t")))).alias("t"))  # five topics
+    j = m.join(t, ["date", "industry"], "full_outer").withColumn("t", F.coalesce(F.transform("t", lambda x: x["t"]), F.array().cast("array<double>")))
+    said = F.aggregate("t", F.col("m"), lambda a, x: F.when(a.isNull(), three(x)).otherwise(three((a + x) / 2)))
+    first = F.coalesce("m", F.get("t", F.lit(0)))
+    j = j.select("date", "industry", said.alias("score"), F.when(first >= 0.4, "watch").when(first > -0.4, "wait").otherwise("avoid").alias("action"))
     rank = F.row_number().over(W.partitionBy("date").orderBy(F.desc(F.abs("score")), "industry"))
     return j.withColumn("rank", rank).filter(F.col("rank") <= top)
 
@@ -166,33 +171,44 @@ def debate(rows: DataFrame) -> DataFrame:
     ).select("date", F.lit(2).alias("rounds"), F.col("verdict").alias("final_stance"), "consensus", F.concat_ws(" ", "verdict", "verdict").alias("stance_evolution"), "dissent", "key_risks", "key_opportunities")
 
 
-def causal_chains(days: DataFrame, daily: DataFrame, lags: tuple = (1, 3, 7), top: int = 6) -> DataFrame:
-    """CA1: by (category, mediator) the days seen, the lag of the largest mean change of sentiment, the change of breadth at it, strength.
+def causal_chains(days: DataFrame, daily: DataFrame, lags: tuple = (1, 3, 7), top: int = 6, lookback: int = 90) -> DataFrame:
+    """CA1: for each date, its (category, mediator) pairs with what followed on the days of the same pair in the `lookback` days up to it.
 
-    `days` has date, category and mediator. Without any change of sentiment the lag is 0 and the change of breadth 0. Chains
-    weaker than 0.2 are dropped.
+    `days` has date, category and mediator. hits counts those days, the date itself included; lag is that of the largest mean change
+    of sentiment after them, change the mean change of breadth at it. A change counts only if the day it ends on isn't after the
+    date, so nothing later than a date enters its chains: each lag is a range window that stops that many days before the date.
+    Without any change of sentiment the lag is 0 and the change 0. Chains weaker than 0.2 go, the `top` of each date stay.
     """
-    d = days.select("date", "category", "mediator").distinct()
     m = daily.select("date", F.col("sentiment_index").alias("s"), F.col("industry_count").cast("double").alias("b"))
-    seen = d.groupBy("category", "mediator").agg(F.count("*").alias("hits"))
-    moved = d.join(m, "date").withColumn("lag", F.explode(F.array(*[F.lit(x) for x in lags]))).withColumn("then", F.date_add("date", F.col("lag")))
-    moved = moved.join(m.select(F.col("date").alias("then"), F.col("s").alias("s1"), F.col("b").alias("b1")), "then")
-    g = moved.groupBy("category", "mediator", "lag").agg(F.avg(F.col("s1") - F.col("s")).alias("ds"), F.avg(F.col("b1") - F.col("b")).alias("db"))
-    best = F.row_number().over(W.partitionBy("category", "mediator").orderBy(F.desc(F.round(F.abs("ds"), 9)), "lag"))
-    g = g.withColumn("r", best).filter("r = 1").withColumn("moves", F.round(F.abs("ds"), 9) > 0)
-    j = seen.join(g, ["category", "mediator"])
-    j = j.withColumns({"change": F.when(F.col("moves"), F.col("db")).otherwise(0.0), "lag": F.when(F.col("moves"), F.col("lag")).otherwise(0)})
+    later = m.select(F.col("date").alias("then"), F.col("s").alias("s1"), F.col("b").alias("b1"))
+    moved = m.withColumn("lag", F.explode(F.array(*[F.lit(x) for x in lags]))).withColumn("then", F.date_add("date", F.col("lag"))).join(later, "then")
+    at = lambda x, of: F.max(F.when(F.col("lag") == x, F.col(of)))
+    effects = moved.groupBy("date").agg(*[at(x, "s1").alias(f"s{x}") for x in lags], *[at(x, "b1").alias(f"b{x}") for x in lags], F.first("s").alias("s"), F.first("b").alias("b"))
+    d = days.select("date", "category", "mediator").distinct().join(effects, "date", "left")
+    same = W.partitionBy("category", "mediator").orderBy(F.unix_date("date"))  # a row for each day
+    back = {x: same.rangeBetween(-lookback, -x) for x in lags}
+    d = d.withColumns({"hits": F.count("*").over(same.rangeBetween(-lookback, 0)), **{f"ds{x}": F.avg(F.col(f"s{x}") - F.col("s")).over(back[x]) for x in lags}, **{f"db{x}": F.avg(F.col(f"b{x}") - F.col("b")).over(back[x]) for x in lags}})
+    best = F.array_max(F.filter(F.array(*[F.struct(F.round(F.abs(f"ds{x}"), 9).alias("size"), F.lit(-x).alias("first"), F.col(f"db{x}").alias("db")) for x in lags]), lambda e: e["size"] > 0))
+    d = d.withColumn("best", best).withColumns({"lag": F.coalesce(-F.col("best.first"), F.lit(0)), "change": F.coalesce("best.db", F.lit(0.0))})
     strength = F.least(F.lit(1.0), F.col("hits") / 5 * 0.7 + F.least(F.lit(1.0), F.abs("change") / 3) * 0.3)
-    j = j.withColumn("strength", F.round(strength, 3)).filter("strength >= 0.2")
+    d = d.withColumn("strength", F.round(strength, 3)).filter("strength >= 0.2")
     response = F.when(F.col("change") > 0.3, "rising").when(F.col("change") < -0.3, "falling").otherwise("level")
-    return j.select("category", "mediator", "hits", "lag", "change", "strength", response.alias("response")).orderBy(F.desc("strength"), "category", "mediator").limit(top)
+    rank = F.row_number().over(W.partitionBy("date").orderBy(F.desc("strength"), "category", "mediator"))
+    return d.withColumn("rank", rank).filter(F.col("rank") <= top).select("date", "category", "mediator", "hits", "lag", "change", "strength", response.alias("response"), "rank")
 
 
 def event_study(events: DataFrame, days: int = 90, most: int = 6) -> DataFrame:
-    """EV1: by (date, category) the events, their largest intensity, and the events of the category in the `days` up to the date, `most` at most."""
-    n = events.groupBy("date", "category").agg(F.count("*").alias("n_events"), F.max("intensity").alias("intensity"))
+    """EV1: by (date, category) the events, their largest intensity, and the first events of the category in the `days` up to the date, `most` at most.
+
+    `events` has date, category, intensity, seq (the order within a day) and title. A day's first events are cut out before days
+    meet, so the window over days sees `most` titles a day.
+    """
+    place = F.row_number().over(W.partitionBy("date", "category").orderBy("seq"))
+    first = F.sort_array(F.collect_list(F.when(F.col("place") <= most, F.struct("date", "seq", "title"))))
+    n = events.withColumn("place", place).groupBy("date", "category").agg(F.count("*").alias("n_events"), F.max("intensity").alias("intensity"), first.alias("first"))
     w = W.partitionBy("category").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
-    return n.withColumn("historical_count", F.least(F.lit(most), F.sum("n_events").over(w)).cast("int")).withColumn("strong", F.col("intensity") >= 0.7)
+    n = n.withColumn("historical", F.slice(F.sort_array(F.flatten(F.collect_list("first").over(w))), 1, most)).drop("first")
+    return n.withColumn("historical_count", F.size("historical")).withColumn("strong", F.col("intensity") >= 0.7)
 
 
 def regime_signal(rows: DataFrame) -> DataFrame:

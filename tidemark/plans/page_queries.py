@@ -180,6 +180,17 @@ def judge(spark, sf_dir):
     return p.judged(v.articles(spark, sf_dir), p.dimensions(F.col("text"), WORDS, AGAINST, HEADS))
 
 
+@query("ag21_judge_panel", f"""o AS (SELECT user_id AS doc_id, event_type AS judge, ['{"', '".join(p.DIMENSIONS)}'][CAST(keyword AS INT) % 5 + 1] AS dimension, least(1, avg(value) / 40) AS score FROM e WHERE keyword IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+d AS (SELECT doc_id, dimension, avg(score) AS mean, stddev_pop(score) AS sd, greatest(0, 1 - 2.5e0 * stddev_pop(score)) AS consensus FROM o GROUP BY ALL), w AS (SELECT doc_id, sum(mean * CASE dimension WHEN 'consistency' THEN .2e0 WHEN 'groundedness' THEN .25e0 WHEN 'completeness' THEN .2e0 WHEN 'actionability' THEN .2e0 ELSE .15e0 END) AS overall, avg(consensus) AS level FROM d GROUP BY doc_id)
+SELECT doc_id, dimension, round(mean, 6) AS mean, round(sd, 6) AS sd, round(consensus, 6) AS consensus, round(overall, 6) AS overall, round(level, 6) AS level, round(overall, 9) >= .65 AND round(level, 9) >= .4 AS passed, round(CASE WHEN round(mean, 9) < .65 THEN greatest(.65e0, mean + .2e0) END, 6) AS target FROM d JOIN w USING (doc_id)""")
+def judge_panel(spark, sf_dir):
+    """JD1, AG21: event types as the judges of each user's five dimensions (by keyword)."""
+    e = v.events(spark, sf_dir).filter("keyword is not null and value is not null")
+    name = F.element_at(F.array(*[F.lit(d) for d in p.DIMENSIONS]), (F.col("keyword").cast("int") % 5 + 1))
+    o = e.groupBy(F.col("user_id").alias("doc_id"), F.col("event_type").alias("judge"), name.alias("dimension")).agg(F.least(F.lit(1.0), F.avg("value") / 40).alias("score"))
+    return p.panel(o)
+
+
 @query("jd02_quick_score", f"{SCORES} SELECT doc_id, round({_total((0.20, 0.25, 0.20, 0.20, 0.15))}, 6) AS overall, round({_total((0.20, 0.25, 0.20, 0.20, 0.15))}, 9) >= .65 AS passed FROM j2")
 def quick_score(spark, sf_dir):
     return p.judged(v.articles(spark, sf_dir), p.dimensions(F.col("text"), WORDS, AGAINST, HEADS)).select("doc_id", "overall", "passed")

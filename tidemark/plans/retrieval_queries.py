@@ -117,9 +117,9 @@ te AS (SELECT t[i + 1] AS a, t[i + 2] AS b, 2 * (least(i, n - 3) - greatest(0, i
 tg AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, CAST(sum(w) AS BIGINT) AS weight FROM te WHERE a <> b GROUP BY ALL)"""
 
 
-@query("ag06_textrank_edges", f"{PAIRS} SELECT src, dst, weight FROM tg WHERE weight >= 10")
+@query("ag06_textrank_edges", f"{PAIRS} SELECT src, dst, weight FROM tg")
 def textrank_edges(spark, sf_dir):
-    return t.textrank_edges(v.articles(spark, sf_dir)).filter("weight >= 10")
+    return t.textrank_edges(v.articles(spark, sf_dir))
 
 
 @query("ag06_textrank")
@@ -301,7 +301,7 @@ def graph_report(spark, sf_dir):
     """GR9 over GR5 and GR7."""
     nodes, edges = keyword_graph(spark, sf_dir)
     c = gr.report(edges, nodes, d.pagerank(edges))
-    return c.select("community", "place", "node_count", "edge_count", "label", F.array_join("top_nodes", " ").alias("top_nodes"), F.array_join("top_edges", " ").alias("top_edges"), "summary", "global_text")
+    return c.select("community", "place", "node_count", "edge_count", "label", F.array_join("top_nodes", " ").alias("top_nodes"), F.array_join(F.transform("top_edges", lambda e: F.concat_ws("-", e["src"], e["dst"])), " ").alias("top_edges"), "summary", "global_text")
 
 
 def routed(spark, sf_dir):

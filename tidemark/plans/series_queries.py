@@ -220,10 +220,10 @@ def risk_of_metrics(spark, sf_dir):
     return ts.risk(long(spark, sf_dir)).select("series_id", "n", "volatility")
 
 
-@query("wn18_next_day_report", f"""{LONG}, {FORECAST} SELECT series_id, round(ma + slope, 6) AS predicted, CASE WHEN abs(slope) < .1 THEN 'stable' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend, n FROM g WHERE series_id <> 'event_count'""")
+@query("wn18_next_day_report", f"""{LONG}, {FORECAST} SELECT series_id, round(ma + slope, 6) AS predicted, round(ma + slope - 1.96 * greatest(sd, .05), 6) AS lower, round(ma + slope + 1.96 * greatest(sd, .05), 6) AS upper, round(greatest(.2, least(.9, n / 20)), 6) AS confidence, CASE WHEN abs(slope) < .1 THEN 'stable' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend, 'MA+trend' AS method, n FROM g WHERE series_id <> 'event_count'""")
 def next_day_report(spark, sf_dir):
     """WN18: four metrics one day ahead, on ascending time."""
-    return ts.naive_forecast(long(spark, sf_dir).filter("series_id <> 'event_count'")).select("series_id", "predicted", "trend", "n")
+    return ts.naive_forecast(long(spark, sf_dir).filter("series_id <> 'event_count'"))
 
 
 @query("wn40_predict_metric", f"{LONG}, {FORECAST} SELECT series_id, round(ma + slope * 7, 6) AS predicted, n FROM g WHERE series_id = 'sentiment_index'")

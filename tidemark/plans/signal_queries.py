@@ -8,19 +8,22 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import kernels as k
 from ..operators import signals as g
 from ..operators import timeseries as ts
 from ..operators import views as v
+from ..sources.scratch import written
 from .series_queries import LONG, long, rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
     def keep(make):
         QUERIES[name] = lambda spark, sf_dir: rounded(make(spark, sf_dir))
-        ORACLES[name] = f"WITH {v.SQL.strip()}{'' if sql.lstrip().upper().startswith('SELECT') else ','} {sql}"
+        if sql:
+            ORACLES[name] = f"WITH {v.SQL.strip()}{'' if sql.lstrip().upper().startswith('SELECT') else ','} {sql}"
         return make
 
     return keep
@@ -38,26 +41,27 @@ def event_rows(spark, sf_dir):
     action = F.when(F.col("event_type") == "purchase", 0.9).when(F.col("event_type") == "error", 0.8).when(F.col("event_type") == "signup", 0.6).otherwise(0.5)
     subject = F.when(F.col("value") > 150, 0.9).when(F.col("value") > 80, 0.7).otherwise(0.5)
     e = v.events(spark, sf_dir)
-    return e.select("date", F.col("event_type").alias("category"), stance().alias("stance"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), 0.5 * action + 0.4 * subject)), 3).alias("intensity"), "keyword", "value")
+    return e.select("date", F.col("event_type").alias("category"), stance().alias("stance"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), 0.5 * action + 0.4 * subject)), 3).alias("intensity"), "keyword", "value", "event_id")
 
 
 EV = """ev AS (SELECT date, event_type AS category, CASE WHEN event_type IN ('purchase','signup') THEN 'bullish' WHEN event_type = 'error' THEN 'bearish' ELSE 'neutral' END AS stance, keyword, value,
  round(least(1, greatest(.1, .5 * CASE event_type WHEN 'purchase' THEN .9 WHEN 'error' THEN .8 WHEN 'signup' THEN .6 ELSE .5 END + .4 * CASE WHEN value > 150 THEN .9 WHEN value > 80 THEN .7 ELSE .5 END)), 3) AS intensity FROM e)"""
 
 
-def policy_daily(spark, sf_dir):
+def policy_daily(spark, sf_dir, daily=None):
     """(date, direction, confidence) and what AG11 needs."""
     p = F.col("policy_stance_score")
-    return v.daily_metric(spark, sf_dir).select("date", F.when(p > 0.22, "expansion").when(p < 0.18, "tightening").otherwise("neutral").alias("direction"), F.least(F.lit(1.0), 0.5 + F.abs(p)).alias("confidence"),
+    daily = daily if daily is not None else v.daily_metric(spark, sf_dir)
+    return daily.select("date", F.when(p > 0.22, "expansion").when(p < 0.18, "tightening").otherwise("neutral").alias("direction"), F.least(F.lit(1.0), 0.5 + F.abs(p)).alias("confidence"),
         F.col("industry_count").alias("hit_industries"), F.col("event_count").alias("events"), F.col("article_count").alias("articles"), F.col("attention_top_share").alias("top_share"), F.col("attention_entropy").alias("entropy"))
 
 
 POLICY = """pol AS (SELECT date, CASE WHEN policy_stance_score > .22 THEN 'expansion' WHEN policy_stance_score < .18 THEN 'tightening' ELSE 'neutral' END AS direction, least(1, .5 + abs(policy_stance_score)) AS confidence FROM daily_metric)"""
 
 
-def anomaly_daily(spark, sf_dir):
+def anomaly_daily(spark, sf_dir, daily=None):
     """(date, overall_risk) of days with anomalies: the worst severity."""
-    a = ts.anomalies(long(spark, sf_dir))
+    a = ts.anomalies(ts.to_long(daily if daily is not None else v.daily_metric(spark, sf_dir)))
     worst = F.max(F.when(F.abs("z") >= 3, 3).when(F.abs("z") >= 2, 2).otherwise(1))
     return a.groupBy("date").agg(worst.alias("w")).select("date", F.when(F.col("w") == 3, "high").when(F.col("w") == 2, "medium").otherwise("low").alias("overall_risk"))
 
@@ -67,9 +71,9 @@ aw AS (SELECT date, max(CASE WHEN abs((value - mean) / sd) >= 3 THEN 3 WHEN abs(
 an AS (SELECT date, CASE w WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS overall_risk FROM aw)"""
 
 
-def forecast_daily(spark, sf_dir):
+def forecast_daily(spark, sf_dir, daily=None):
     """(date, current, predicted): mean of five days and slope of fourteen, one step ahead."""
-    w, all_ = W.partitionBy(F.lit(1)).orderBy("date"), v.daily_metric(spark, sf_dir)  # one row for each day
+    w, all_ = W.partitionBy(F.lit(1)).orderBy("date"), daily if daily is not None else v.daily_metric(spark, sf_dir)  # one row for each day
     d = all_.select("date", F.col("sentiment_index").alias("current")).withColumn("i", F.row_number().over(w).cast("double"))
     d = d.withColumns({"ma": F.avg("current").over(w.rowsBetween(-4, 0)), "slope": F.regr_slope("current", "i").over(w.rowsBetween(-13, 0)), "n": F.count("*").over(w.rowsBetween(-13, 0))})
     return d.filter("n >= 3").select("date", "current", (F.col("ma") + F.col("slope")).alias("predicted"))
@@ -95,10 +99,10 @@ def market_rows(spark, sf_dir):
 MARKET = "mk AS (SELECT date, event_type AS industry, event_id AS name, (value - 50) / 10 AS change FROM e), mo AS (SELECT date, CASE WHEN avg(change) > .5 AND avg(CASE WHEN change > 0 THEN 1e0 ELSE 0e0 END) > .6 THEN 'bullish' WHEN avg(change) < -.5 AND avg(CASE WHEN change > 0 THEN 1e0 ELSE 0e0 END) < .4 THEN 'bearish' ELSE 'mixed' END AS overall FROM mk GROUP BY date)"
 
 
-def macro_rows(spark, sf_dir):
+def macro_rows(spark, sf_dir, daily=None):
     """(date, category, value, previous) of three indicators."""
     w = W.partitionBy(F.lit(1)).orderBy("date")  # one row for each day
-    d = v.daily_metric(spark, sf_dir)
+    d = daily if daily is not None else v.daily_metric(spark, sf_dir)
     own = {"growth": "article_count", "money": "event_count", "other": "unique_keywords"}
     d = d.select("date", *[F.struct(F.lit(k).alias("category"), F.col(c).cast("double").alias("value"), F.lag(F.col(c).cast("double")).over(w).alias("previous")).alias(k) for k, c in own.items()])
     return d.select("date", F.explode(F.array(*own)).alias("x")).select("date", "x.*")
@@ -120,10 +124,13 @@ s0 AS (SELECT date, 'policy_stance' AS signal, round(CASE direction WHEN 'expans
 sig AS (SELECT date, signal, score, weight, place, coalesce(direction, {SIDE}) AS direction FROM s0)"""
 
 
-def signal_rows(spark, sf_dir):
-    vol = ts.volatility(v.daily_metric(spark, sf_dir)).select("date", "level")
-    topics = v.daily_metric(spark, sf_dir).select("date", F.col("attention_entropy").alias("entropy"))
-    return g.signals(policy_daily(spark, sf_dir), anomaly_daily(spark, sf_dir), forecast_daily(spark, sf_dir), vol, g.market_overall(market_rows(spark, sf_dir), "date", "change"), event_rows(spark, sf_dir), topics, macro_rows(spark, sf_dir))
+def signal_rows(spark, sf_dir, daily=None):
+    """The sub-signals of each day; what they share, a row a day, is written once and read by each."""
+    daily = written(v.daily_metric(spark, sf_dir), "daily") if daily is None else daily
+    vol = ts.volatility(daily).select("date", "level", F.col("volatility_index").alias("index"))
+    topics = daily.select("date", F.col("attention_entropy").alias("entropy"))
+    rows = g.signals(policy_daily(spark, sf_dir, daily), anomaly_daily(spark, sf_dir, daily), forecast_daily(spark, sf_dir, daily), vol, g.market_overall(market_rows(spark, sf_dir), "date", "change"), event_rows(spark, sf_dir), topics, macro_rows(spark, sf_dir, daily))
+    return written(rows, "signals")
 
 
 # --- queries ----------------------------------------------------------------------------------------------------
@@ -152,13 +159,13 @@ def decision_board(spark, sf_dir):
 
 
 @query("sg03_industry_signals", """i AS (SELECT date, industry, stance, hit_count, row_number() OVER (PARTITION BY date ORDER BY hit_count DESC, industry) AS r, hit_count * 1e0 / sum(hit_count) OVER (PARTITION BY date) AS dominance FROM industry_daily),
-m AS (SELECT date, industry, CASE stance WHEN 'bullish' THEN .7 WHEN 'bearish' THEN -.7 ELSE 0 END AS m FROM i WHERE industry <> 'view'), t AS (SELECT date, industry, round(greatest(-1, least(1, (dominance - .2e0) * 1.5e0)), 3) AS t FROM i WHERE r <= 3),
-j AS (SELECT date, industry, round(CASE WHEN m IS NULL THEN t WHEN t IS NULL THEN m ELSE (m + t) / 2 END, 4) AS score, coalesce(m, t) AS f FROM m FULL JOIN t USING (date, industry))
+m AS (SELECT date, industry, CASE stance WHEN 'bullish' THEN .7 WHEN 'bearish' THEN -.7 ELSE 0 END AS m FROM i WHERE industry <> 'view'), t AS (SELECT date, industry, greatest(-1e0, least(1e0, (dominance - .2e0) * 1.5e0)) AS t FROM i WHERE r <= 5),
+j AS (SELECT date, industry, CAST(round(CAST(CASE WHEN m IS NULL THEN t WHEN t IS NULL THEN m ELSE (m + t) / 2 END AS DECIMAL(12,6)), 3) AS DOUBLE) AS score, coalesce(m, t) AS f FROM m FULL JOIN t USING (date, industry))
 SELECT date, industry, score, CASE WHEN f >= .4 THEN 'watch' WHEN f > -.4 THEN 'wait' ELSE 'avoid' END AS action, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(score) DESC, industry) AS rank FROM j) WHERE rank <= 8""")
 def industry_signals(spark, sf_dir):
     i = v.industry_daily(spark, sf_dir)
     share = F.col("hit_count") / F.sum("hit_count").over(W.partitionBy("date"))
-    topics = i.withColumns({"dominance": share, "r": F.row_number().over(W.partitionBy("date").orderBy(F.desc("hit_count"), "industry"))}).filter("r <= 3")
+    topics = i.withColumns({"dominance": share, "place": F.row_number().over(W.partitionBy("date").orderBy(F.desc("hit_count"), "industry"))})
     return g.industry_signals(i.filter("industry <> 'view'"), topics)
 
 
@@ -202,11 +209,11 @@ def debate(spark, sf_dir):
     return g.debate(opinion_rows(spark, sf_dir))
 
 
-@query("ca01_causal_chains", f"""{EV}, d AS (SELECT DISTINCT date, category, stance AS mediator FROM ev), h AS (SELECT category, mediator, count(*) AS hits FROM d GROUP BY ALL),
-g AS (SELECT category, mediator, lag, avg(b.sentiment_index - a.sentiment_index) AS ds, avg(b.industry_count - a.industry_count) AS db FROM d JOIN daily_metric a ON a.date = d.date, (SELECT unnest([1, 3, 7]) AS lag) l JOIN daily_metric b ON b.date = d.date + lag GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY category, mediator ORDER BY round(abs(ds), 9) DESC, lag) AS r FROM g), j AS (SELECT category, mediator, hits, CASE WHEN round(abs(ds), 9) > 0 THEN lag ELSE 0 END AS lag, CASE WHEN round(abs(ds), 9) > 0 THEN db ELSE 0 END AS change FROM h JOIN b USING (category, mediator) WHERE r = 1),
-s AS (SELECT *, round(least(1, hits / 5e0 * .7e0 + least(1, abs(change) / 3) * .3e0), 3) AS strength FROM j)
-SELECT category, mediator, hits, CAST(lag AS INT) AS lag, round(change, 6) AS change, strength, CASE WHEN change > .3 THEN 'rising' WHEN change < -.3 THEN 'falling' ELSE 'level' END AS response FROM s WHERE strength >= .2 ORDER BY strength DESC, category, mediator LIMIT 6""")
+@query("ca01_causal_chains", f"""{EV}, d AS (SELECT DISTINCT date, category, stance AS mediator FROM ev), p AS (SELECT t.date AS target, d.* FROM d t JOIN d USING (category, mediator) WHERE d.date BETWEEN t.date - 90 AND t.date), h AS (SELECT target, category, mediator, count(*) AS hits FROM p GROUP BY ALL),
+g AS (SELECT target, category, mediator, lag, avg(b.sentiment_index - a.sentiment_index) AS ds, avg(b.industry_count - a.industry_count) AS db FROM p JOIN daily_metric a ON a.date = p.date, (SELECT unnest([1, 3, 7]) AS lag) l JOIN daily_metric b ON b.date = p.date + lag WHERE p.date + lag <= target GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY target, category, mediator ORDER BY round(abs(ds), 9) DESC, lag) AS r FROM g WHERE round(abs(ds), 9) > 0), j AS (SELECT target, category, mediator, hits, coalesce(lag, 0) AS lag, coalesce(db, 0) AS change FROM h LEFT JOIN (SELECT * FROM b WHERE r = 1) USING (target, category, mediator)),
+s AS (SELECT *, round(least(1, hits / 5e0 * .7e0 + least(1, abs(change) / 3) * .3e0), 3) AS strength FROM j), k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY strength DESC, category, mediator) AS rank FROM s WHERE strength >= .2)
+SELECT target AS date, category, mediator, hits, CAST(lag AS INT) AS lag, round(change, 6) AS change, strength, CASE WHEN change > .3 THEN 'rising' WHEN change < -.3 THEN 'falling' ELSE 'level' END AS response, CAST(rank AS INT) AS rank FROM k WHERE rank <= 6""")
 def causal_chains(spark, sf_dir):
     return g.causal_chains(event_rows(spark, sf_dir).select("date", "category", F.col("stance").alias("mediator")), v.daily_metric(spark, sf_dir))
 
@@ -214,23 +221,23 @@ def causal_chains(spark, sf_dir):
 IMPACT = {"purchase": "demand rises", "signup": "reach grows", "error": "supply at risk"}
 
 
-@query("ev01_event_study", f"""{EV}, n AS (SELECT date, category, count(*) AS n_events, max(intensity) AS intensity FROM ev GROUP BY ALL)
-SELECT date, category, n_events, intensity, CAST(least(6, sum(n_events) OVER (PARTITION BY category ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW)) AS INT) AS historical_count, intensity >= .7 AS strong,
- CASE category {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in IMPACT.items())} ELSE 'no clear effect' END AS expected_impact FROM n""")
+@query("ev01_event_study", f"""{EV}, n AS (SELECT date, category, count(*) AS n_events, max(intensity) AS intensity FROM ev GROUP BY ALL), o AS (SELECT date, event_type AS category, event_id, event_type || ' ' || coalesce(keyword, '-') AS title FROM e),
+h AS (SELECT n.date, category, o.date AS d, event_id, title, row_number() OVER (PARTITION BY n.date, category ORDER BY o.date, event_id) AS r FROM n JOIN o USING (category) WHERE o.date BETWEEN n.date - 90 AND n.date),
+l AS (SELECT date, category, count(*) AS historical_count, string_agg(d || ' ' || title, '; ' ORDER BY r) AS historical FROM h WHERE r <= 6 GROUP BY ALL)
+SELECT date, category, n_events, intensity, CAST(historical_count AS INT) AS historical_count, historical, intensity >= .7 AS strong, CASE category {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in IMPACT.items())} ELSE 'no clear effect' END AS expected_impact FROM n JOIN l USING (date, category)""")
 def event_study(spark, sf_dir):
-    """EV1 with FN15's map from category to impact."""
+    """EV1 with FN15's map from category to impact; the titles of an event are its type and keyword."""
     impact = F.coalesce(*[F.when(F.col("category") == k, F.lit(x)) for k, x in IMPACT.items()], F.lit("no clear effect"))
-    return g.event_study(event_rows(spark, sf_dir)).withColumn("expected_impact", impact)
+    rows = event_rows(spark, sf_dir).withColumn("title", F.concat_ws(" ", "category", F.coalesce("keyword", F.lit("-")))).withColumnRenamed("event_id", "seq")
+    out = g.event_study(rows).withColumn("expected_impact", impact)
+    return out.withColumn("historical", F.array_join(F.transform("historical", lambda h: F.concat_ws(" ", h["date"].cast("string"), h["title"])), "; "))
 
 
-@query("wn34_regime_signal", """p AS (SELECT date, greatest(0, least(1, (sentiment_index - 20) / 40e0)) AS p_calm, industry_count / 2e0 AS sojourn, row_number() OVER (ORDER BY date) AS n_obs FROM daily_metric),
-s AS (SELECT *, CASE WHEN n_obs < 6 THEN 0 WHEN p_calm >= .7 THEN .4 WHEN p_calm >= .55 THEN .15 WHEN p_calm <= .3 THEN -.4 WHEN p_calm <= .45 THEN -.15 ELSE 0 END AS score FROM p)
-SELECT date, round(score, 4) AS score, CASE WHEN n_obs < 6 THEN 0 WHEN sojourn > 5 THEN .15 ELSE .08 END AS weight, CASE WHEN score > .05 THEN 'bullish' WHEN score < -.05 THEN 'bearish' ELSE 'neutral' END AS direction FROM s""")
+@query("wn34_regime_signal", None)
 def regime_signal(spark, sf_dir):
-    w = W.partitionBy(F.lit(1)).orderBy("date")  # one row for each day
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("sentiment_index") - 20) / 40))
-    rows = v.daily_metric(spark, sf_dir).select("date", p.alias("p_calm"), (F.col("industry_count") / 2).alias("sojourn"), F.row_number().over(w).alias("n_obs"))
-    return g.regime_signal(rows).select("date", "score", "weight", "direction")
+    """WN34 on WN33's regimes of the daily sentiment: the calm state is the one with the lower mean."""
+    rows = k.regimes(long(spark, sf_dir).filter("series_id = 'sentiment_index'")).withColumn("p_calm", 1 - F.col("p_high"))
+    return g.regime_signal(rows).select("date", "p_calm", "score", "weight", "direction")
 
 
 @query("ag10_sentiment", f"{EV} SELECT date, round((avg(CASE stance WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * intensity) + 1) * 50, 2) AS sentiment_index, round(stddev_pop(CASE stance WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * intensity), 4) AS dispersion FROM ev GROUP BY date")
