@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from ..operators import html as h
 from ..operators import lexicon as lx
 from ..operators import pages as p
 from ..operators import timeseries as ts
@@ -55,16 +56,32 @@ def site_links(spark, sf_dir):
 
 
 LANGS = {"en": "English", "de": "Deutsch", "fr": "Français"}
-ARTICLE = r"""b AS (SELECT page_id, url, html, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS body, trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS txt,
+ARTICLE = r"""b AS (SELECT page_id, url, html, regexp_replace(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '(?is)<div class="ad">.*?</div>', '', 'g') AS body,
  trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '(?s)<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS tt, regexp_extract(url, '/([a-z]{2})/[0-9]+', 1) AS code FROM pages),
-q AS (SELECT *, list_filter([trim(regexp_replace(regexp_replace(z, '(?s)<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) FOR z IN regexp_extract_all(body, '(?is)<p\b[^>]*>(.*?)</p>', 1)], lambda y: length(y) >= 4 AND regexp_matches(y, '[一-龥A-Za-z0-9]') AND NOT contains(y, 'license')) AS ps FROM b)"""
+q AS (SELECT *, list_filter([trim(regexp_replace(regexp_replace(regexp_extract(z, '(?is)^(.*?)(?:</p>|$)', 1), '(?s)<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) FOR z IN regexp_split_to_array(body, '(?i)<p\b[^>]*>')[2:]], lambda y: length(y) >= 4 AND regexp_matches(y, '[一-龥A-Za-z0-9]') AND NOT contains(y, 'license')) AS ps FROM b)"""
 
 
 @query("src05_article", f"""{ARTICLE} SELECT page_id, CASE WHEN length(h1) >= 4 THEN h1 ELSE trim(split_part(split_part(tt, '_', 1), '-', 1)) END AS title, CASE code WHEN '' THEN '' {' '.join(f"WHEN '{k}' THEN '{n}'" for k, n in LANGS.items())} ELSE 'other(' || code || ')' END AS channel,
  CAST(coalesce(list_sum([length(z) FOR z IN ps]), 0) AS INT) AS word_count, md5(array_to_string(ps, chr(10))) AS content_md5 FROM q""")
 def article(spark, sf_dir):
-    a = p.article(pages(spark, sf_dir), [r'(?is)<div id="rm_txt_zw"[^>]*>(.*?)</div>', r"(?is)<article\b[^>]*>(.*?)</article>"], LANGS, r"/([a-z]{2})/[0-9]+", stop=("license",))
-    return a.select("page_id", "title", "channel", "word_count", F.md5("content").alias("content_md5"))
+    site = h.Site(body=("#rm_txt_zw", "article"), noise=(".ad",), code=r"/([a-z]{2})/[0-9]+", names=LANGS, stop=("license",))
+    return h.articles(pages(spark, sf_dir), site).select("page_id", "title", "channel", "word_count", F.md5("content").alias("content_md5"))
+
+
+@query("src06_article", r"""a AS (SELECT doc_id AS page_id, source, lang, trim(regexp_replace(replace(replace(title, '<', ' '), '>', ' '), '[ \t\n\r]+', ' ', 'g')) AS t, list_filter([trim(regexp_replace(z, '[ \t\n\r]+', ' ', 'g')) FOR z IN string_split(replace(replace(text, '<', ' '), '>', ' '), chr(10))], lambda y: length(y) >= 4 AND regexp_matches(y, '[一-龥A-Za-z0-9]')) AS ps FROM articles)
+SELECT page_id, CASE WHEN length(t) >= 4 THEN t ELSE 'none' END AS title, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || ' 08:05' AS publish_time, coalesce(source, '') AS source, 'writer' || page_id % 90 AS reporter, 'ed' || page_id % 7 AS editor, CAST(coalesce(list_sum([length(z) FOR z IN ps]), 0) AS INT) AS word_count, md5(array_to_string(ps, chr(10))) AS content_md5 FROM a""")
+def second_site_article(spark, sf_dir):
+    """SRC6 on pages made of the documents in the second site's template, lines nested in the body between elements of noise."""
+    plain = lambda c: F.translate(c, "<>", "  ")
+    line = lambda x: F.concat(F.lit("<div><div><p>"), x, F.lit('</p></div><div class="ad"><div>ad</div><p>an ad here</p></div></div>'))
+    day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
+    html = F.concat(
+        F.lit('<html><head><meta name="NewsArticleSource" content="'), F.coalesce("source", F.lit("")), F.lit('"><meta name="NewsArticleAuthor" content="writer'), F.col("doc_id") % 90, F.lit('"><title>none</title></head><body><h1>'), plain(F.coalesce("title", F.lit(""))),
+        F.lit('</h1><div class="time">2024-01-'), day, F.lit(' 08:05</div><div class="foot">编辑：ed'), F.col("doc_id") % 7, F.lit('</div><div id="article">'), F.array_join(F.transform(F.split(plain(F.col("text")), "\n"), line), ""), F.lit("</div><p>after the end</p></body></html>"),
+    )
+    made = v.articles(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    site = h.Site(body=("#article", ".content", "#articleText"), noise=(".share", ".ad", ".edit"), time=(".time",), source=(".source", "#source"), author=(), line="", editor_pattern=r"编辑[：:]*([^\s|]{1,8})", meta_time="NewsArticlePubDay", meta_source="NewsArticleSource", meta_author="NewsArticleAuthor")
+    return h.articles(made, site).select("page_id", "title", "publish_time", "source", "reporter", "editor", "word_count", F.md5("content").alias("content_md5"))
 
 
 TIME = " ".join(f"WHEN regexp_extract(t, '{r}', 1) <> '' THEN lpad(regexp_extract(t, '{r}', 1), 4, '0') || '-' || lpad(regexp_extract(t, '{r}', 2), 2, '0') || '-' || lpad(regexp_extract(t, '{r}', 3), 2, '0') || ' ' || lpad(regexp_extract(t, '{r}', 4), 2, '0') || ':' || lpad(regexp_extract(t, '{r}', 5), 2, '0')" for r in p.TIMES)
