@@ -32,14 +32,26 @@ def weigh(tf: DataFrame, n: int) -> DataFrame:
     return w.withColumn("weight", F.col("w") / norm).drop("w", "tf")
 
 
-def tfidf(docs: DataFrame, least: int = 2) -> DataFrame:
-    """(doc_id, term, df, weight) of all documents. The postings' two readers share one shuffle."""
-    return weigh(postings(docs, least=least), docs.count())
+def tfidf(docs: DataFrame, least: int = 2, vocabulary: int | None = None) -> DataFrame:
+    """(doc_id, term, df, weight) of all documents. The postings' readers share one shuffle; `vocabulary` keeps the most frequent terms alone."""
+    return weigh(frequent(postings(docs, least=least), vocabulary), docs.count())
 
 
-def tfidf_keywords(docs: DataFrame, top: int = 20) -> DataFrame:
-    """AG5: terms by the sum of their weights over all documents."""
-    return tfidf(docs).groupBy("term").agg(F.sum("weight").alias("score")).orderBy(F.desc(F.round("score", 6)), "term").limit(top)
+def frequent(tf: DataFrame, vocabulary: int | None) -> DataFrame:
+    """Postings of the `vocabulary` terms with most occurrences, ties by term; all of them if None.
+
+    The counts are shuffled by term and each task sorts its own; only the heads of the sorted parts meet, and the terms found go back
+    to the postings by a semi join, so exactly that many terms stay, however large the vocabulary of the texts.
+    """
+    if vocabulary is None:
+        return tf
+    most = tf.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary)
+    return tf.join(most.select("term"), "term", "left_semi")
+
+
+def tfidf_keywords(docs: DataFrame, top: int = 20, vocabulary: int | None = None) -> DataFrame:
+    """AG5: terms by the sum of their weights over all documents; `vocabulary` as for `tfidf` (the model has 5000)."""
+    return tfidf(docs, vocabulary=vocabulary).groupBy("term").agg(F.sum("weight").alias("score")).orderBy(F.desc(F.round("score", 6)), "term").limit(top)
 
 
 def fuse(a: DataFrame, b: DataFrame, alpha: float = 0.5, top: int = 20) -> DataFrame:
@@ -128,14 +140,14 @@ def dedup_titles(docs: DataFrame) -> DataFrame:
     return docs.withColumn("title_key", title_key(F.col("title"))).withColumn("rank", rank).filter("rank = 1").drop("rank")
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:
-    """RT1: top documents of each query (query_id, text) by TF-IDF cosine, fitted on corpus and queries; score at least `least`.
+def lexical_search(docs: DataFrame, queries: DataFrame, top: int = 3, least: float = 0.05, vocabulary: int | None = None) -> DataFrame:
+    """RT1: top documents of each query (query_id, text) by TF-IDF cosine, fitted on corpus and queries; score at least `least`; `vocabulary` as for `tfidf`.
 
     Texts are read into postings once; the join on terms brings the document frequency and whether a query asks for the term, so
     that after lengths are known only asked postings go on.
     """
     tf = postings(docs.select(F.struct(F.lit(False).alias("asks"), F.col("doc_id").alias("id")).alias("doc_id"), "text").unionByName(queries.select(F.struct(F.lit(True).alias("asks"), F.col("query_id").alias("id")).alias("doc_id"), "text")))
-    n = docs.count() + queries.count()
+    tf, n = frequent(tf, vocabulary), docs.count() + queries.count()
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.max("doc_id.asks").alias("asked"))
     w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))

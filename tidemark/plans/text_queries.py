@@ -105,6 +105,22 @@ def tfidf_keywords(spark, sf_dir):
     return t.tfidf_keywords(v.articles(spark, sf_dir))
 
 
+VOCABULARY = "vt AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), vk AS (SELECT term FROM (SELECT term, sum(tf) AS n FROM vt GROUP BY term ORDER BY n DESC, term LIMIT {k}))"
+TFIDF_OF = TFIDF.replace("FROM tok GROUP BY ALL)", "FROM tok JOIN vk USING (term) GROUP BY ALL)", 1)
+
+
+@query("ag05_vocabulary", f"src AS (SELECT doc_id, text FROM articles), {TOKENS}, {VOCABULARY.format(k=500)}, {TFIDF_OF} SELECT term, round(sum(weight), 6) AS score FROM w GROUP BY term")
+def vocabulary_keywords(spark, sf_dir):
+    """AG5 on the 500 most frequent terms: all their scores."""
+    return t.tfidf(v.articles(spark, sf_dir), vocabulary=500).groupBy("term").agg(F.sum("weight").alias("score"))
+
+
+@query("rt01_vocabulary", f"src AS (SELECT 'd' || doc_id AS doc_id, text FROM articles UNION ALL SELECT 'q' || item_id, text FROM benchmark), {TOKENS}, {VOCABULARY.format(k=5000)}, {TFIDF_OF}, s AS (SELECT CAST(substr(a.doc_id, 2) AS BIGINT) AS query_id, CAST(substr(b.doc_id, 2) AS BIGINT) AS doc_id, sum(a.weight * b.weight) AS score FROM w a JOIN w b USING (term) WHERE a.doc_id LIKE 'q%' AND b.doc_id LIKE 'd%' GROUP BY ALL) SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 3 AND score >= .05")
+def vocabulary_search(spark, sf_dir):
+    """RT1 on the 5000 most frequent terms."""
+    return t.lexical_search(v.articles(spark, sf_dir), v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), vocabulary=5000)
+
+
 @query("ag03_lexicon_matches", """n AS (SELECT grp, title, min(doc_id) AS doc_id FROM kw JOIN articles USING (doc_id) WHERE title <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS rank FROM n),
 t AS (SELECT grp, string_agg(title, ' | ' ORDER BY rank) AS titles FROM r WHERE rank <= 5 GROUP BY grp)
 SELECT grp AS industry, CAST(sum(hits) AS BIGINT) AS hit_count, count(DISTINCT doc_id) AS article_count, any_value(titles) AS titles FROM kw LEFT JOIN t USING (grp) GROUP BY grp""")
