@@ -112,7 +112,7 @@ def test_log_likelihoods_against_their_definition(spark):
     for a, b in zip(tox.shared_levels(docs, prune=0.0), shared):
         for k in ("code", "share", "context", "rest"):
             assert np.allclose(a[k], b[k])
-    pruned = tox.shared_levels(docs, prune=0.02)
+    pruned = tox.shared_levels(docs, prune=0.1)
     assert sum(len(x["code"]) for x in pruned) < sum(len(x["code"]) for x in shared)
     for x in pruned:  # what is pruned stays in the weight of falling back
         _, at = np.unique(x["code"] >> tox.BITS, return_inverse=True)

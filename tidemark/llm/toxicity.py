@@ -10,8 +10,11 @@ texts of all documents (they need no labels).
 
 Bounds: the class models are fitted on at most `rows_per_class` labelled documents of each class, those of smallest hash (a
 quarter of them serves for the logistic function); the shared counts cover every document and stay on the executors. What comes to
-the driver of them are the n-grams with at least PRUNE of the count of their order, which are 1 / PRUNE at most at any size; the
-mass of the others stays in the weight of falling back. Scoring needs no shuffle: the model goes with the task.
+the driver of them are the n-grams of up to SHARED symbols, SYMBOLS ** 2 at most at any size (a hundred thousand in texts of four
+languages). Those of less than `prune` of their order's count could be left out, their mass then stays in the weight of falling
+back; by default none is. Code points from DIRECT on share the rest of the alphabet: unlike characters of other scripts may be one
+symbol (3,069 of them, so a character of 10,000 shares its symbol with two or three others). Scoring needs no shuffle: the model
+goes with the task.
 
 The logistic function is fitted with a prior (log-odds of the labels; SLOPE), whose weight is that of PRIOR_ROWS rows: however few
 rows are left for it, it is fitted the same way.
@@ -36,13 +39,13 @@ from pyspark.sql import types as T
 
 from .common import pieces, stash, table, tenant, texts, with_arrow
 
-ORDER, SHARED = 5, 3
+ORDER, SHARED = 5, 2
 #: Bits of a symbol: code points below DIRECT are symbols of their own, the others share the rest of the alphabet.
 BITS, DIRECT = 12, 0x400
 SYMBOLS = 1 << BITS
 START, END = 1, 2
 PASSAGE = 5
-PRUNE = 1e-7
+PRUNE = 0.0
 SLOPE, PRIOR_ROWS = 5.0, 4.0
 #: Expressions whose values a Python worker keeps, and the longest of them.
 CACHE, CACHED_LETTERS = 120_000, 64
@@ -258,7 +261,7 @@ def counted(docs: DataFrame, order: int, text_col: str, by: str | None = None) -
 
 
 def shared_levels(docs: DataFrame, text_col: str = "text", prune: float = PRUNE) -> list[dict]:
-    """Kneser-Ney tables of orders 1 to SHARED over all documents, without n-grams of less than `prune` of their order's count."""
+    """Kneser-Ney tables of orders 1 to SHARED over all documents; n-grams of less than `prune` of their order's count are left out."""
     top = stash(counted(docs, SHARED + 1, text_col), "grams")
     above, out = top.filter(F.col("k") == SHARED + 1).select("code"), []
     for k in range(SHARED, 0, -1):
@@ -269,7 +272,7 @@ def shared_levels(docs: DataFrame, text_col: str = "text", prune: float = PRUNE)
         context = F.shiftright("code", BITS)
         of = count.groupBy(context.alias("c")).agg(F.sum("n").alias("of"))
         kept = count.filter(F.col("n") >= prune * (whole.n or 0)).join(of, context == F.col("c"))
-        rows = kept.select("code", (F.greatest(F.lit(0.0), F.col("n") - discount) / F.col("of")).alias("share")).toPandas()  # 1 / prune rows at most
+        rows = kept.select("code", (F.greatest(F.lit(0.0), F.col("n") - discount) / F.col("of")).alias("share")).toPandas()  # SYMBOLS ** 2 rows at most
         order = np.argsort(rows["code"].to_numpy(np.int64))
         code, share = rows["code"].to_numpy(np.int64)[order], rows["share"].to_numpy(float)[order]
         names, back = np.unique(code >> BITS, return_inverse=True)
@@ -318,7 +321,7 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text", keep: l
     new = [("score", T.DoubleType()), ("predicted", T.IntegerType())]
     if isinstance(model, float):
         return (docs if keep is None else docs.select(*keep)).withColumns({"score": F.lit(model), "predicted": F.lit(int(model >= 0.5))})
-    state = docs.sparkSession.sparkContext.broadcast(model.bare())  # n-grams of a bounded sample, and 1 / PRUNE of each shared order at most
+    state = docs.sparkSession.sparkContext.broadcast(model.bare())  # n-grams of a bounded sample, and those of up to SHARED symbols
 
     def make(part: pa.RecordBatch) -> dict:
         s = _worker_model(state).scores([words_of(x) for x in texts(part, text_col)])
