@@ -2,9 +2,10 @@
 
 Operator 8's index finds fingerprints that differ in 3 bits, which texts of similarity 0.8 seldom do. Candidates therefore come from
 two sources: that index, and bands of shingle minima (MinHash): texts of similarity s agree in one of BANDS bands of ROWS minima with
-the chance 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8 and more above. Candidates only gather texts into groups. Inside a group the
-shingle sets themselves are compared, breadth-first: a found set leaves the open ones, so that m near copies cost about m
-comparisons. A large group is dealt in blocks, and each pair of blocks is a task of its own.
+the chance 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8 and more above. First, each text is compared with the smallest of its band (and the
+index's pairs with each other), by the shingle sets themselves, so that m near copies of one text cost m comparisons. Only bands in
+which more than two texts meet and aren't all linked by then go on: their texts are gathered into groups, in which sets are compared
+breadth-first, a found set leaving the open ones. A large group is dealt in blocks, and each pair of blocks is a task of its own.
 
 Defined results: rows are told apart by a key of their own, so ids may be null or repeat; a text of fewer words is one shingle; null
 text has no words, and texts without words are copies of each other. Shingles are compared by 64-bit hashes.
@@ -99,14 +100,38 @@ def similar(sets: list[np.ndarray], ids: list[int], similarity: float) -> list[t
     return out
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, root): groups of classes (rep, fp, bands) that a band or operator 8's index brings together; and the tables it reads."""
-    posted = classes.select("rep", F.explode("bands").alias("k"))
-    centre = stash(posted.groupBy("k").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("k", "a"), "bands")
-    found = posted.join(centre, "k").select("a", F.col("rep").alias("b"))
-    prints = stash(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
-    same = classes.select("fp", F.col("rep").alias("b")).join(prints.withColumnRenamed("rep", "a"), "fp").select("a", "b")
-    return components(thin(found.unionByName(same).filter("a <> b")).unionByName(simhash.links(prints))), [centre, prints]
+def buckets(classes: DataFrame) -> DataFrame:
+    """(rep, k): each class (rep, fp, bands) under the keys of its bands, and under its fingerprint."""
+    prints = F.xxhash64(F.lit("fp"), F.col("fp"))
+    return classes.select("rep", F.explode(F.array_append(F.coalesce("bands", F.array().cast("array<bigint>")), prints)).alias("k"))
+
+
+def sets_of(rows: DataFrame, key: str, text_col: str, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, set) of the rows whose key is a node."""
+
+    def make(part: pa.RecordBatch) -> dict:
+        return {"set": pa.array([s.tobytes() for s in shingle_sets(part, "__text", words)], pa.binary())}
+
+    text = rows.select(F.col(key).alias("node"), F.col(text_col).alias("__text")).join(nodes, "node", "left_semi")
+    return with_arrow(text, [("set", T.BinaryType())], make, ["node"], "__text")
+
+
+def confirmed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets share `similarity` of their union; each side brings its set to the link."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+            found = []
+            for i, (s, t) in enumerate(zip(x, y)):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                if shared >= similarity * (len(s) + len(t) - shared) - 1e-9:
+                    found.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], ["a", "b"])
+
+    one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in ("a", "b"))
+    return links.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def near_copies(rows: DataFrame, key: str, words: int = WORDS, similarity: float = SIMILARITY, text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -116,26 +141,30 @@ def near_copies(rows: DataFrame, key: str, words: int = WORDS, similarity: float
     """
     own = stash(sketches(rows, key, words, text_col), "sketches")
     classes = stash(own.groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.min_by("fp", key).alias("fp"), F.min_by("bands", key).alias("bands"), F.min("n").alias("n")), "classes")
-    found, used = candidates(classes)
-    groups = stash(found.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "groups")
-    discard(*used)
+    prints = stash(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
+    centre = stash(buckets(classes).groupBy("k").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1"), "centres")
+    star = buckets(classes).join(centre, "k").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    star = stash(star.unionByName(simhash.links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "star")
+    sets = stash(sets_of(rows, key, text_col, star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "sets")
+    sure = stash(confirmed(star, sets, similarity), "confirmed")
+    first = stash(components(sure), "first")
+
+    # buckets of more than two classes that are still apart: all of these meet, in blocks
+    whose = buckets(classes).join(centre.filter("c > 2").select("k", "a"), "k").join(first, F.col("rep") == F.col("node"), "left").select("k", "a", "rep", F.coalesce("root", "rep").alias("now"))
+    apart = stash(whose.groupBy("k").agg(F.min("now").alias("x"), F.max("now").alias("y")).filter("x <> y").select("k"), "apart")
+    groups = components(thin(whose.join(apart, "k", "left_semi").select("a", F.col("rep").alias("b")).filter("a <> b")))
+    groups = stash(groups.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "groups")
     sizes = stash(groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "sizes")
     dealt = stash(groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))), "dealt")
-    discard(groups, sizes)
-
-    def make(part: pa.RecordBatch) -> dict:
-        return {"set": pa.array([s.tobytes() for s in shingle_sets(part, "__text", words)], pa.binary())}
-
-    text = rows.select(F.col(key).alias("node"), F.col(text_col).alias("__text")).join(dealt, "node")
-    sets = with_arrow(text, [("set", T.BinaryType())], make, ["node", "root", "blocks", "own"], "__text")
-    sets = sets.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "set")
+    discard(groups, sizes, star, prints, centre, apart, first)
+    pairs = dealt.join(sets, "node").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "set")
 
     def compare(group: pa.Table) -> pa.Table:
         found = similar([np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()], group.column("node").to_pylist(), similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    roots = components(sets.groupBy("root", "a", "b").applyInArrow(compare, "a long, b long"))
+    roots = components(pairs.groupBy("root", "a", "b").applyInArrow(compare, "a long, b long").unionByName(sure))
     named = stash(classes.join(roots, classes.rep == roots.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("component")), "named")
     out = stash(own.select(key, "d1", "d2").join(named, ["d1", "d2"]).select(key, "component"), "near-copies")
-    discard(own, classes, dealt, named)
+    discard(own, classes, dealt, named, sets, sure)
     return out
