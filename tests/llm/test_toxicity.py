@@ -147,3 +147,18 @@ def test_query(spark):
     rows = {r.doc_id: r for r in tox.op3_toxicity(spark, sf).collect()}
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for i, r in rows.items())
+
+
+def test_logistic_reaches_the_optimum():
+    """Few toxic rows of steep evidence, where whole Newton steps throw each other about."""
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        n, m = rng.integers(5, 200), rng.integers(1, 8)
+        x, y = np.concatenate([rng.normal(0.25, 0.15, n), rng.normal(rng.uniform(0.5, 6), 1, m)]), np.repeat([0.0, 1.0], [n, m])
+        weight = len(y) * np.where(y == 1, 0.12 / m, 0.88 / n)
+        prior = (-2.0, tox.SLOPE)
+        w = tox.logistic(x, y, weight, prior)
+        p = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
+        scaled = np.array([w[0] - prior[0], w[1] / tox.SLOPE - 1])
+        g = np.array([(weight * (p - y)).sum(), (weight * (p - y) * x * tox.SLOPE).sum()]) + tox.PRIOR_ROWS / 4 * scaled
+        assert abs(g[0]) < 1e-5 and (abs(g[1]) < 1e-5 or w[1] == tox.SLOPE / 10 and g[1] > 0), trial

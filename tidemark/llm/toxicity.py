@@ -214,20 +214,36 @@ def _restore(state: tuple) -> Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: tuple[float, float]) -> np.ndarray:
-    """Constant and slope by Newton steps on the likelihood of the rows and a prior that weighs as much as PRIOR_ROWS of them."""
+    """Constant and slope by Newton steps on the likelihood of the rows and a prior that weighs as much as PRIOR_ROWS of them.
+
+    A step is halved until it lowers the loss, which is convex: few rows of steep evidence would throw whole steps past each other.
+    The slope is at least a tenth of the prior's: where a handful of rows says the contrary, the constant alone is fitted.
+    """
     scale = np.array([1.0, max(prior[1], 1e-9)])
     a = np.column_stack([np.ones(len(x)), x * scale[1]])
     middle = np.array(prior) / scale
-    w = middle.copy()
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (p - y)) + PRIOR_ROWS / 4 * (w - middle)
-        h = (a * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + PRIOR_ROWS / 4 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w * scale
+
+    def loss(w):
+        z = a @ w
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + PRIOR_ROWS / 8 * ((w - middle) ** 2).sum()
+
+    def descend(w, free):
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            g = a.T @ (weight * (p - y)) + PRIOR_ROWS / 4 * (w - middle)
+            h = (a * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + PRIOR_ROWS / 4 * np.eye(2)
+            step = np.zeros(2)
+            step[:free] = np.linalg.solve(h[:free, :free], g[:free])
+            now = loss(w)
+            while loss(w - step) > now and np.abs(step).max() > 1e-9:
+                step /= 2
+            w = w - step
+            if np.abs(step).max() < 1e-8:
+                break
+        return w
+
+    w = descend(middle, 2)
+    return (w if w[1] >= 0.1 else descend(np.array([w[0], 0.1]), 1)) * scale
 
 
 def in_fold(id_col) -> F.Column:
