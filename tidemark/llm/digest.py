@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, stash, table, texts, with_arrow
+from .common import mix64, pieces, stash, table, texts, with_arrow
 
 BUCKETS = 256
 #: Most that lengths add to a difference.
@@ -107,7 +107,7 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
         part = TaskContext.get().partitionId()
         last = None  # (id, text, digest) of the row before
         first = True
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, "text")):
             rows, head = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
