@@ -159,10 +159,13 @@ def lexical_search(docs: DataFrame, queries: DataFrame, top: int = 3, least: flo
 
 
 def co_occurrence(docs: DataFrame, word: str, window: int = 5, top: int = 20) -> DataFrame:
-    """SM3: words within `window` places of a word, most frequent first; the places are an explode, not a self-join."""
+    """SM3: words within `window` places of a token that holds `word`, without those that hold it themselves, most frequent first.
+
+    The places are an explode, not a self-join.
+    """
     t = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    near = t.select("t", F.posexplode("t").alias("at", "w")).filter(F.col("w") == word).select(F.explode(F.slice("t", F.greatest(F.lit(1), F.col("at") + 1 - window), F.least(F.col("at"), F.lit(window)) + 1 + window)).alias("word"))
-    return near.filter(F.col("word") != word).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
+    near = t.select("t", F.posexplode("t").alias("at", "w")).filter(F.contains("w", F.lit(word))).select(F.explode(F.slice("t", F.greatest(F.lit(1), F.col("at") + 1 - window), F.least(F.col("at"), F.lit(window)) + 1 + window)).alias("word"))
+    return near.filter(~F.contains("word", F.lit(word))).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
 
 
 def index_quantiles(df: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:

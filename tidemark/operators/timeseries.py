@@ -329,6 +329,13 @@ SCENARIOS = [
 ]
 
 
-def scenarios(spark) -> DataFrame:
-    """WN32: the catalogue as a table."""
-    return spark.createDataFrame(SCENARIOS, "scenario string, sentiment double, policy double, industries double, vol_mult double, horizon int")
+def scenarios(long: DataFrame, shocks: tuple = ("sentiment_index", "policy_stance_score", "industry_count")) -> DataFrame:
+    """WN32 over WN29: (scenario, series_id, horizon, start, drift, volatility): what each scenario of the catalogue starts from.
+
+    start is the newest value of a series with the scenario's shock (the columns' order is that of `shocks`, the series' names); the
+    volatility is the series' own times the scenario's factor.
+    """
+    catalogue = long.sparkSession.createDataFrame(SCENARIOS, "scenario string, a double, b double, c double, vol_mult double, horizon int")
+    each = catalogue.select("scenario", "vol_mult", "horizon", F.explode(F.array(*[F.struct(F.lit(s).alias("series_id"), F.col(x).alias("shock")) for s, x in zip(shocks, "abc")])).alias("x")).select("scenario", "vol_mult", "horizon", "x.*")
+    now = drift(long).join(long.groupBy("series_id").agg(F.max_by("value", "date").alias("value")), "series_id")
+    return each.join(now, "series_id").select("scenario", "series_id", "horizon", (F.col("value") + F.col("shock")).alias("start"), "drift", (F.col("volatility") * F.col("vol_mult")).alias("volatility"))

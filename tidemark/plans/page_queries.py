@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expressions as x
 from ..operators import html as h
@@ -110,10 +111,10 @@ def clean_html(spark, sf_dir):
 
 
 @query("fn11_extract", r"""s AS (SELECT doc_id, text, list_filter([trim(regexp_replace(z, '[ \t\n\r]+', ' ', 'g')) FOR z IN string_split(text, '.')], lambda y: length(y) > 10) AS l FROM articles)
-SELECT doc_id, coalesce(left(l[1], 50), '') AS title, md5(left(array_to_string(l[1:15], '.'), 2000)) AS content_md5, CASE WHEN regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 1) <> '' THEN regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 1) || '-' || lpad(regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 3), 2, '0') ELSE '' END AS publish_time FROM s""")
+SELECT doc_id, coalesce(left(l[1], 50), '') AS title, md5(left(array_to_string(l[1:15], '.'), 2000)) AS content_md5, CASE WHEN regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 1) <> '' THEN regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 1) || '-' || lpad(regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(text, '(\d{4})-(\d{1,2})-(\d{1,2})', 3), 2, '0') ELSE '' END AS publish_time, regexp_extract(text, '(?i)with ([^\s|]{2,30})', 1) AS source FROM s""")
 def extract(spark, sf_dir):
-    a = v.articles(spark, sf_dir).select("doc_id", p.extract(F.col("text"), ".").alias("x"))
-    return a.select("doc_id", "x.title", F.md5("x.content").alias("content_md5"), "x.publish_time")
+    a = v.articles(spark, sf_dir).select("doc_id", p.extract(F.col("text"), ".", r"(?i)with ([^\s|]{2,30})").alias("x"))
+    return a.select("doc_id", "x.title", F.md5("x.content").alias("content_md5"), "x.publish_time", "x.source")
 
 
 @query("src03_date_token", r"SELECT page_id, regexp_extract(url, '(/[a-z]{2}/)[0-9]+', 1) AS token FROM pages WHERE contains(url, '/en/')")
@@ -174,9 +175,11 @@ def sections(spark, sf_dir):
     return v.articles(spark, sf_dir).select("doc_id", p.sections(F.col("text"), HEADS[:2]).alias("n"))
 
 
-@query("fn30_truncate", "SELECT doc_id, md5(array_to_string([left(z, 30) FOR z IN string_split(text, chr(10))], chr(10))) AS cut_md5 FROM articles")
+@query("fn30_truncate", "SELECT doc_id, md5(array_to_string([array_to_string([left(w, 5) FOR w IN string_split(z, ' ')], ' ') FOR z IN string_split(text, chr(10))], chr(10))) AS cut_md5 FROM articles")
 def truncate(spark, sf_dir):
-    return v.articles(spark, sf_dir).select("doc_id", F.md5(F.array_join(p.truncate(F.split("text", "\n"), 30), "\n")).alias("cut_md5"))
+    """FN30 on the words of lines."""
+    cut = p.truncate(F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")), 5, T.ArrayType(T.ArrayType(T.StringType())))
+    return v.articles(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.transform(cut, lambda x: F.array_join(x, " ")), "\n")).alias("cut_md5"))
 
 
 WORDS = {"consistency": ["the ", "der "], "groundedness": ["[0-9]+", "tion"], "actionability": ["ing", "keit"], "novelty": ["aux", "ción"], "domains": ["energy", "the", "und", "les", "que", "with"]}

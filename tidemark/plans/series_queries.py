@@ -249,9 +249,11 @@ def enhanced_report(spark, sf_dir):
     return kernels.enhanced_report(s, ts.detect_periods(s))
 
 
-@query("wn32_scenarios", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}e0, {b}e0, {c}e0, {m}e0, {h})" for n, a, b, c, m, h in ts.SCENARIOS) + ") t(scenario, sentiment, policy, industries, vol_mult, horizon)")
+@query("wn32_scenarios", f"{LONG}, c AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}', {x}e0, {m}e0, {h})" for n, a, b, c, m, h in ts.SCENARIOS for s, x in (("sentiment_index", a), ("policy_stance_score", b), ("industry_count", c))) + """) t(scenario, series_id, shock, mult, horizon)),
+d AS (SELECT series_id, date, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS d FROM long), g AS (SELECT series_id, avg(d) AS drift, greatest(coalesce(stddev_pop(d), 0), .01) AS vol, max_by(value, date) AS value FROM d GROUP BY series_id)
+SELECT scenario, series_id, horizon, round(value + shock, 6) AS start, round(drift, 6) AS drift, round(vol * mult, 6) AS volatility FROM c JOIN g USING (series_id)""")
 def scenarios(spark, sf_dir):
-    return ts.scenarios(spark)
+    return ts.scenarios(long(spark, sf_dir))
 
 
 @query("wn37_keyword_changes", """a AS (SELECT DISTINCT date, keyword FROM keyword_daily), b AS (SELECT DISTINCT CAST(date + 1 AS DATE) AS date, keyword FROM keyword_daily), c AS (SELECT *, 'new' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'vanished' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)),

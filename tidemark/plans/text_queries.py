@@ -157,7 +157,7 @@ def index_quantiles(spark, sf_dir):
     return t.index_quantiles(v.events(spark, sf_dir), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query("sm03_co_occurrence", f"src AS (SELECT doc_id, text FROM articles), l AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2) AS l FROM src), p AS (SELECT l, unnest(range(1, len(l) + 1)) AS pos FROM l), k AS (SELECT unnest(l[greatest(1, pos - 5):pos + 5]) AS word FROM p WHERE l[pos] = 'with') SELECT word, count(*) AS n FROM k WHERE word <> 'with' GROUP BY word ORDER BY n DESC, word LIMIT 20")
+@query("sm03_co_occurrence", f"src AS (SELECT doc_id, text FROM articles), l AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2) AS l FROM src), p AS (SELECT l, unnest(range(1, len(l) + 1)) AS pos FROM l), k AS (SELECT unnest(l[greatest(1, pos - 5):pos + 5]) AS word FROM p WHERE contains(l[pos], 'with')) SELECT word, count(*) AS n FROM k WHERE NOT contains(word, 'with') GROUP BY word ORDER BY n DESC, word LIMIT 20")
 def co_occurrence(spark, sf_dir):
     return t.co_occurrence(v.articles(spark, sf_dir), "with")
 
