@@ -251,14 +251,6 @@ def upsert(spark, sf_dir):
     return latest(old, new, ["id"], "seq")
 
 
-@query("snk06_dashboard_payload", "SELECT m.date, round(sentiment_index, 4) AS sentiment, round(attention_entropy, 4) AS entropy, k.words, i.hits FROM daily_metric m JOIN (SELECT date, string_agg(keyword || '=' || freq, ',' ORDER BY freq DESC, keyword) AS words FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY freq DESC, keyword) AS r FROM keyword_daily WHERE keyword IS NOT NULL) WHERE r <= 10 GROUP BY date) k USING (date) JOIN (SELECT date, string_agg(industry || '=' || hit_count, ',' ORDER BY industry) AS hits FROM industry_daily GROUP BY date) i USING (date)")
-def dashboard_payload(spark, sf_dir):
-    """SNK6: the series of a day's charts as one JSON payload, read back."""
-    from ..sources.storage import payload, read_payload
-
-    return read_payload(payload(v.daily_metric(spark, sf_dir), v.keyword_daily(spark, sf_dir), v.industry_daily(spark, sf_dir)))
-
-
 @query("snk09_cache", "c AS (SELECT user_id AS key, arg_max(event_id, (ts, event_id)) AS value, max(ts) AS put_at FROM e GROUP BY user_id) SELECT key, value, put_at + INTERVAL 10 DAY > TIMESTAMP '2024-01-31 00:00:00' AS alive FROM c")
 def cache(spark, sf_dir):
     """SNK9: the last entry of each key and whether it is alive at a time, ten days after it was put."""

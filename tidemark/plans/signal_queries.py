@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import dashboard as db
 from ..operators import kernels as k
 from ..operators import signals as g
 from ..operators import timeseries as ts
@@ -240,6 +241,37 @@ def regime_signal(spark, sf_dir):
     return g.regime_signal(rows).select("date", "p_calm", "score", "weight", "direction")
 
 
+def dashboards(spark, sf_dir):
+    """SNK6: each day's payload with the reports that this library makes for a day."""
+    daily = written(v.daily_metric(spark, sf_dir), "daily")
+    entities = v.events(spark, sf_dir).groupBy("date", F.col("event_type").alias("type"), F.concat(F.lit("user "), F.col("user_id") % 40).alias("value")).agg(F.count("*").alias("freq"))
+    rows = signal_rows(spark, sf_dir, daily)
+    ev = event_rows(spark, sf_dir).withColumn("title", F.concat_ws(" ", "category", F.coalesce("keyword", F.lit("-")))).withColumnRenamed("event_id", "seq")
+    reports = {
+        "anomaly": anomaly_daily(spark, sf_dir, daily), "forecast": forecast_daily(spark, sf_dir, daily), "market": g.market_overall(market_rows(spark, sf_dir), "date", "change"), "macro": macro_rows(spark, sf_dir, daily).filter("previous is not null"),
+        "volatility": ts.volatility(daily), "events": g.event_study(ev), "causal": g.causal_chains(ev.select("date", "category", F.col("stance").alias("mediator")), daily), "signals": rows.drop("place"), "board": g.synthesis(rows),
+    }
+    return db.payload(daily, v.keyword_daily(spark, sf_dir), v.industry_daily(spark, sf_dir), entities, reports), list(reports)
+
+
+LINES = " UNION ALL ".join(f"SELECT d.date, '{chart}', CAST(row_number() OVER (PARTITION BY d.date ORDER BY m.date) - 1 AS INT), CAST(m.date AS VARCHAR), round(m.{c} * 1e0, 6), {note} FROM daily_metric d JOIN daily_metric m ON m.date BETWEEN d.date - 14 AND d.date" for chart, c, note in (("sentiment", "sentiment_index", "NULL"), ("policy", "policy_stance_score", "CAST(m.article_count AS VARCHAR)"), ("attention", "attention_entropy", "NULL"), ("top_share", "attention_top_share", "NULL")))
+
+
+@query("snk06_dashboard_payload", f"""kr AS (SELECT date, keyword, freq, row_number() OVER (PARTITION BY date ORDER BY freq DESC, keyword) AS r FROM keyword_daily WHERE keyword IS NOT NULL), ir AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY hit_count DESC, industry, stance) AS r FROM industry_daily),
+en AS (SELECT date, event_type AS type, 'user ' || (user_id % 40) AS value, count(*) AS freq FROM e GROUP BY ALL), er AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY freq DESC, value, type) AS r FROM en)
+SELECT date, 'keywords' AS chart, CAST(r - 1 AS INT) AS place, keyword AS label, freq * 1e0 AS value, NULL AS note FROM kr WHERE r <= 15 UNION ALL SELECT date, 'industries', CAST(r - 1 AS INT), industry, hit_count * 1e0, stance FROM ir WHERE r <= 12 UNION ALL SELECT date, 'entities', CAST(r - 1 AS INT), value, freq * 1e0, type FROM er WHERE r <= 15
+UNION ALL SELECT t.date, 'keyword_trend', CAST(row_number() OVER (PARTITION BY t.date ORDER BY t.r, k.date) - 1 AS INT), CAST(k.date AS VARCHAR), k.freq * 1e0, k.keyword FROM kr t JOIN kr k ON k.keyword = t.keyword AND k.date BETWEEN t.date - 14 AND t.date WHERE t.r <= 5 UNION ALL {LINES}""")
+def dashboard_charts(spark, sf_dir):
+    return db.points(dashboards(spark, sf_dir)[0])
+
+
+@query("snk06_dashboard_reports", f"""{SIGNALS}, r AS (SELECT date, 'anomaly' AS report, count(*) AS n FROM an GROUP BY date UNION ALL SELECT date, 'forecast', count(*) FROM fc GROUP BY date UNION ALL SELECT date, 'market', count(*) FROM mo GROUP BY date UNION ALL SELECT date, 'macro', count(*) FROM mp WHERE previous IS NOT NULL GROUP BY date
+ UNION ALL SELECT date, 'volatility', count(*) FROM vol GROUP BY date UNION ALL SELECT date, 'events', count(DISTINCT category) FROM ev GROUP BY date UNION ALL SELECT date, 'causal', least(6, count(DISTINCT (category, stance))) FROM ev WHERE date >= (SELECT min(date) FROM ev) + 1 GROUP BY date UNION ALL SELECT date, 'signals', count(*) FROM sig GROUP BY date UNION ALL SELECT date, 'board', count(DISTINCT date) FROM sig GROUP BY date)
+SELECT m.date, x.report, CAST(coalesce(n, 0) AS INT) AS n FROM daily_metric m CROSS JOIN (SELECT DISTINCT report FROM r) x LEFT JOIN r ON r.date = m.date AND r.report = x.report""")
+def dashboard_reports(spark, sf_dir):
+    return db.report_sizes(*dashboards(spark, sf_dir))
+
+
 @query("ag10_sentiment", f"{EV} SELECT date, round((avg(CASE stance WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * intensity) + 1) * 50, 2) AS sentiment_index, round(stddev_pop(CASE stance WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * intensity), 4) AS dispersion FROM ev GROUP BY date")
 def sentiment(spark, sf_dir):
     e = event_rows(spark, sf_dir).withColumn("stance", g.lookup(F.col("stance"), {"bullish": 1.0, "bearish": -1.0}))

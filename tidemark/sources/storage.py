@@ -60,25 +60,6 @@ def history(reports: DataFrame, articles: DataFrame, before: str, most: int = 40
     return r.unionByName(a.select(*r.columns))
 
 
-def payload(daily: DataFrame, keywords: DataFrame, industries: DataFrame, top: int = 10) -> DataFrame:
-    """SNK6: (date, payload): metrics, top keywords and industries of a day as one JSON object."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("date").orderBy(F.desc("freq"), "keyword"))
-    k = keywords.filter("keyword is not null").withColumn("r", rank).filter(F.col("r") <= top).groupBy("date").agg(F.array_sort(F.collect_list(F.struct("r", "keyword", "freq"))).alias("keywords"))
-    i = industries.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("industry", "hit_count"))).alias("industries"))
-    m = daily.select("date", F.struct(F.round("sentiment_index", 4).alias("sentiment"), F.round("attention_entropy", 4).alias("entropy")).alias("metrics"))
-    return m.join(k, "date").join(i, "date").select("date", F.to_json(F.struct("metrics", "keywords", "industries")).alias("payload"))
-
-
-def read_payload(rows: DataFrame) -> DataFrame:
-    """SNK6 read back: (date, sentiment, entropy, words, hits)."""
-    schema = "metrics struct<sentiment double, entropy double>, keywords array<struct<keyword string, freq long>>, industries array<struct<industry string, hit_count long>>"
-    p = rows.select("date", F.from_json("payload", schema).alias("p"))
-    pairs = lambda xs, a, b: F.array_join(F.transform(xs, lambda x: F.concat_ws("=", x[a], x[b])), ",")
-    return p.select("date", "p.metrics.sentiment", "p.metrics.entropy", pairs(F.col("p.keywords"), "keyword", "freq").alias("words"), pairs(F.col("p.industries"), "industry", "hit_count").alias("hits"))
-
-
 def cached(entries: DataFrame, now: F.Column, keep: str) -> DataFrame:
     """SNK9: (key, value, put_at, alive): the last entry put under each key, and whether it is younger than `keep` at `now`."""
     last = entries.groupBy("key").agg(F.max_by("value", F.struct("put_at", "value")).alias("value"), F.max("put_at").alias("put_at"))
