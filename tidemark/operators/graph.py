@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import settle
+from ..sources.scratch import drop, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -26,15 +26,16 @@ def communities(edges: DataFrame, rounds: int = 20, most: int = 8) -> DataFrame:
     Nodes change in turns (by a hash of the name, halves), since all at once two neighbours could swap for ever. Then, while
     there are more than `most` communities, those beyond the largest most - 1 join the one that most of their nodes touch.
     """
-    links = settle(both_ways(edges))
-    label, still = settle(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))), 0
+    links = written(both_ways(edges), "links")
+    label, last, still = links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), None, 0
     for i in range(2 * rounds):
         votes = links.join(label, links.dst == label.node).groupBy("src", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("new"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        new = settle(label.join(best, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label"), (turn & (F.col("new") != F.col("label"))).alias("moved")))
+        new = written(label.join(best, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label"), (turn & (F.col("new") != F.col("label"))).alias("moved")), "labels")
         still = still + 1 if new.filter("moved").isEmpty() else 0
-        label = new.drop("moved")
+        drop(*[last] if last is not None else [])
+        label, last = new.drop("moved"), new
         if still == 2:  # neither half moves
             break
     return merge_small(label.withColumnRenamed("label", "community"), links, most)

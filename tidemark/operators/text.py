@@ -109,14 +109,6 @@ def greedy(pairs: DataFrame) -> DataFrame:
     return select_in_order(pairs)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the session's checkpoint folder."""
-    from .views import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def full_dedup(docs: DataFrame, least: float = 0.85) -> DataFrame:
     """DD3: DD1 by title, then DD2 by content; documents (doc_id, title, text)."""
     one = dedup_titles(docs)
