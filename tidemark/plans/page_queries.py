@@ -81,6 +81,7 @@ def second_site_article(spark, sf_dir):
         F.lit('</h1><div class="time">2024-01-'), day, F.lit(' 08:05</div><div class="foot">编辑：ed'), F.col("doc_id") % 7, F.lit('</div><div id="article">'), F.array_join(F.transform(F.split(plain(F.col("text")), "\n"), line), ""), F.lit("</div><p>after the end</p></body></html>"),
     )
     made = v.articles(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    # fixed values of the model: selectors, pattern and meta tags of the second site
     site = h.Site(body=("#article", ".content", "#articleText"), noise=(".share", ".ad", ".edit"), time=(".time",), source=(".source", "#source"), author=(), line="", editor_pattern=r"编辑[：:]*([^\s|]{1,8})", meta_time="NewsArticlePubDay", meta_source="NewsArticleSource", meta_author="NewsArticleAuthor")
     return h.articles(made, site).select("page_id", "title", "publish_time", "source", "reporter", "editor", "word_count", F.md5("content").alias("content_md5"))
 
