@@ -178,3 +178,27 @@ def test_pair_similarity(spark):
 def test_no_copies_meet(spark):
     df = spark.createDataFrame([(i, "a long enough text") for i in range(50)], "doc_id long, text string")
     assert t.classes(df, F.sha2("text", 256)).select("rep").distinct().count() == 1
+
+
+def shuffled(spark):
+    """Bytes that the session's shuffles have written so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def meeting_corpus(n=1500):
+    """Documents that all share words with many others; each tenth one is nearly the one before it."""
+    rng = random.Random(12)
+    docs = [[f"word{rng.randrange(3000)}" for _ in range(80)] for _ in range(n)]
+    for i in range(1, n, 10):
+        docs[i] = docs[i - 1][:-2] + ["more", "words"]
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+def test_meetings_of_cosine_stay_in_tasks(spark):
+    docs = meeting_corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    before = shuffled(spark)
+    got = {(r.i, r.j) for r in t.cosine(df).collect()}
+    assert got == {(i - 1, i) for i in range(1, len(docs), 10)}
+    assert shuffled(spark) - before < 2 * sum(len(s) for _, s in docs)

@@ -1,11 +1,11 @@
-"""Similarity joins with bounds, and selection in order among similar documents.
-
-`cosine_join` is exact. Terms stand in one order, from frequent to rare. A document's head is its longest run of leading terms whose
-weights together are shorter than the threshold; only the rest, its tail, is indexed, as two vectors that reach the threshold share a
-tail term. The index is joined with itself; for each pair it sums the products of the shared tail terms and keeps how much of
-either vector stands before the first of them. Terms before that place can only be common within one of the two heads, so by
-Cauchy-Schwarz the whole product is at most sum + (norm of one's head) * (norm of the other's part before the place). Pairs below
-the threshold by that bound go before any vector is fetched; what is left is about as many pairs as results.
+"""Similar pairs of weights given as rows, by bounds, and selection in order among similar documents.
+
+`candidates` bounds the pairs of a table of weights (doc_id, term, df, weight); `bags` has the joins of whole texts. Terms stand in one
+order, from frequent to rare. A document's head is its longest run of leading terms whose weights together are shorter than the
+threshold; only the rest, its tail, is indexed, as two vectors that reach the threshold share a tail term. The index is joined with
+itself; for each pair it sums the products of the shared tail terms and keeps how much of either vector stands before the first of
+them. Terms before that place can only be common within one of the two heads, so by Cauchy-Schwarz the whole product is at most
+sum + (norm of one's head) * (norm of the other's part before the place).
 """
 
 from __future__ import annotations
@@ -40,42 +40,6 @@ def candidates(weights: DataFrame, least: float) -> DataFrame:
     return met.filter(bound >= least - SLACK).select("i", "j")
 
 
-def _matched(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (i, j, wi, wj) of every term that a candidate pair shares, and a table to drop once they are read."""
-    pairs = written(candidates(vectors, least), "candidates")
-    some = vectors.join(pairs.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    a, b = (some.select(F.col("doc_id").alias(i), "term", F.col("weight").alias(f"w{i}")) for i in ("i", "j"))
-    return pairs.join(a, "i").join(b, ["j", "term"]), pairs
-
-
-def cosine_join(weights: DataFrame, least: float) -> DataFrame:
-    """(i, j, sim), i < j, of all pairs of (doc_id, term, df, weight) with a cosine of `least` or more; vectors have length 1."""
-    w = written(weights, "weights")
-    rows, pairs = _matched(w, least)
-    sim = rows.groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")).filter(F.col("sim") >= least - SLACK)
-    out = written(sim, "similar")
-    drop(w, pairs)
-    return out
-
-
-def jaccard_join(terms: DataFrame, least: float) -> DataFrame:
-    """(i, j, sim), i < j, of all pairs of sets (doc_id, term) that share `least` of their union.
-
-    Sets are vectors of equal entries: a pair that shares that much has a cosine of 2 least / (1 + least) or more, since the mean of
-    two sizes is at least the root of their product. Entries stay squares until the end, so the sizes come out whole.
-    """
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    size = F.count("*").over(W.partitionBy("doc_id"))
-    w = written(terms.join(df, "term").withColumn("weight", 1 / F.sqrt(size.cast("double"))), "weights")
-    rows, pairs = _matched(w, 2 * least / (1 + least))
-    n = lambda c: F.round(1 / (F.first(c) * F.first(c)))
-    shared = rows.groupBy("i", "j").agg(F.count("*").alias("shared"), n("wi").alias("ni"), n("wj").alias("nj"))
-    sim = shared.select("i", "j", (F.col("shared") / (F.col("ni") + F.col("nj") - F.col("shared"))).alias("sim")).filter(F.col("sim") >= least - SLACK)
-    out = written(sim, "similar")
-    drop(w, pairs)
-    return out
-
-
 # --- selection in order ------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import title_key, tokens
-from .similar import cosine_join, jaccard_join, select_in_order
+from .bags import cosine_join, jaccard_join
+from .similar import select_in_order
 
 
 def postings(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
@@ -96,12 +97,12 @@ def classes(docs: DataFrame, key: F.Column) -> DataFrame:
 
 def jaccard(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """SM1: (i, j, sim), i < j, of documents whose sets of tokens share `least` of their union; each document is a set of its own."""
-    return jaccard_join(postings(docs).select("doc_id", "term"), least)
+    return jaccard_join(docs, least)
 
 
 def cosine(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """SM2: (i, j, sim), i < j, of documents whose TF-IDF vectors have a cosine of `least` or more."""
-    return cosine_join(tfidf(docs), least)
+    return cosine_join(docs, least)
 
 
 def greedy(pairs: DataFrame) -> DataFrame:

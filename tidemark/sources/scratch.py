@@ -14,11 +14,14 @@ _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _kept: dict[str, SparkSession] = {}
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as Parquet in the shared folder, read back: cuts lineage and survives lost executors. Goes when the driver's Python ends."""
+def written(df: DataFrame, label: str, most_rows: int = 0) -> DataFrame:
+    """`df` as Parquet in the shared folder, read back: cuts lineage and survives lost executors. Goes when the driver's Python ends.
+
+    Files have `most_rows` rows at most, if given.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", most_rows).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out], _kept[path] = path, spark
     return out
