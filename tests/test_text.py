@@ -202,3 +202,12 @@ def test_meetings_of_cosine_stay_in_tasks(spark):
     got = {(r.i, r.j) for r in t.cosine(df).collect()}
     assert got == {(i - 1, i) for i in range(1, len(docs), 10)}
     assert shuffled(spark) - before < 2 * sum(len(s) for _, s in docs)
+
+
+def test_meetings_of_jaccard_stay_in_tasks(spark):
+    docs = meeting_corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    before = shuffled(spark)
+    got = {(r.i, r.j) for r in t.jaccard(df).collect()}
+    assert got == {(i - 1, i) for i in range(1, len(docs), 10)}
+    assert shuffled(spark) - before < 2 * sum(len(s) for _, s in docs)
