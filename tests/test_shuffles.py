@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from tidemark.operators import html as h
 from tidemark.plans import retrieval_queries as q
 
 
@@ -25,3 +28,14 @@ def test_texts_of_hits_stay_where_they_are(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(1, "lexical:7"), (1, "lexical:8"), (2, "lexical:9")}
     assert shuffled(spark) - before < 0.2 * sum(map(len, texts))
+
+
+def test_pages_are_shuffled_before_they_become_tokens(spark):
+    """Each token of a page has its page's number and place and its text; they aren't shuffled."""
+    rng = random.Random(5)
+    pages = [(i, "".join(f"<p>{rng.randrange(10**6)}</p>" for _ in range(3000))) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, html string").repartition(4)
+    rows = h.tokens(df).groupBy("row").agg(F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in rows) == [9000] * 40
+    plan = h.tokens(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
