@@ -211,3 +211,11 @@ def test_meetings_of_jaccard_stay_in_tasks(spark):
     got = {(r.i, r.j) for r in t.jaccard(df).collect()}
     assert got == {(i - 1, i) for i in range(1, len(docs), 10)}
     assert shuffled(spark) - before < 2 * sum(len(s) for _, s in docs)
+
+
+def test_meetings_of_greedy_stay_in_tasks(spark):
+    docs = meeting_corpus()
+    before = shuffled(spark)
+    got = {r.doc_id for r in t.greedy(t.cosine(spark.createDataFrame(docs, "doc_id long, text string"), 0.85)).collect()}
+    assert got == set(range(1, len(docs), 10))
+    assert shuffled(spark) - before < 2.5 * sum(len(s) for _, s in docs)

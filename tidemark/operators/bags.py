@@ -29,10 +29,18 @@ SPARE = 0.04
 MARGIN = 1e-7
 SLACK = 1e-9
 #: Documents and postings of a block, blocks that meet an indexed one in a task, sums and meetings held at once.
-DOCS, POSTINGS, TOGETHER, SUMS, MEETINGS = 10_000, 3_500_000, 16, 2_000_000, 500_000
+DOCS, POSTINGS, TOGETHER, SUMS, MEETINGS = 6_000, 2_000_000, 24, 500_000, 250_000
 VECTOR = "doc_id long, ids array<int>, tf array<int>, df array<int>, alone double"
 
 
+def _slices(batches):
+    """Batches of DOCS documents at most, so that a task's memory doesn't hang on the session's batches."""
+    for b in batches:
+        for at in range(0, b.num_rows, DOCS):
+            yield b.slice(at, DOCS)
+        pa.default_memory_pool().release_unused()
+
+
 def _lists(offsets, values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
@@ -41,7 +49,7 @@ def bags(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, terms, tf): the distinct tokens of each document and how often it has them. doc_id tells documents apart."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             lists = b.column(1)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             coded = lists.flatten().dictionary_encode()
@@ -80,7 +88,7 @@ def vectors(made: DataFrame, terms: DataFrame, begin: dict[int, int]) -> DataFra
     files = _parts(terms)
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             lists, tf = b.column(1), b.column(2).flatten().to_numpy(zero_copy_only=False)
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             coded = lists.flatten().dictionary_encode()
@@ -166,13 +174,14 @@ class Index:
             k, end = np.searchsorted(y, [y0, y0 + step])
             if k == end:
                 continue
-            sums = np.zeros(min(step, len(other.doc) - y0) * many)
+            cells, sums = min(step, len(other.doc) - y0) * many, None
             while k < end:
                 to = min(end, max(k + 1, np.searchsorted(total, total[k] + MEETINGS, "right") - 1))
                 r = n[k:to]
                 place = np.arange(total[to] - total[k]) + np.repeat(begin[k:to] - (total[k:to] - total[k]), r)
                 cell = np.repeat((y[k:to].astype(np.int64) - y0) * many, r) + self.doc[place]
-                sums += np.bincount(cell, self.w[place] * np.repeat(w[k:to], r), len(sums))
+                more = np.bincount(cell, self.w[place] * np.repeat(w[k:to], r), cells)
+                sums = more if sums is None else sums + more
                 k = to
             hit = np.flatnonzero(sums >= least)
             if len(hit):
