@@ -219,3 +219,11 @@ def test_meetings_of_greedy_stay_in_tasks(spark):
     got = {r.doc_id for r in t.greedy(t.cosine(spark.createDataFrame(docs, "doc_id long, text string"), 0.85)).collect()}
     assert got == set(range(1, len(docs), 10))
     assert shuffled(spark) - before < 2.5 * sum(len(s) for _, s in docs)
+
+
+def test_meetings_of_full_dedup_stay_in_tasks(spark):
+    docs = [(i, f"title {i}", s) for i, s in meeting_corpus()]
+    before = shuffled(spark)
+    got = {r.doc_id for r in t.full_dedup(spark.createDataFrame(docs, "doc_id long, title string, text string")).collect()}
+    assert got == {i for i in range(len(docs)) if i % 10 != 1}
+    assert shuffled(spark) - before < 4 * sum(len(s) for *_, s in docs)

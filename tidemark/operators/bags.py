@@ -12,17 +12,22 @@ of the documents as long as the vocabulary doesn't grow, memory doesn't.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import tokens
 from ..sources.scratch import drop, written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package on their path
+
 #: How far below the threshold the rest of a product may reach; less makes fewer meetings and more pairs to compute.
 SPARE = 0.04
 #: Room for rounding in bounds.
